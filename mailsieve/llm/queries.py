@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, toxicity
+from . import decontaminate, line_dedup, pieces, quality, toxicity
 from ._common import table
 
+#: Where the vocabulary files are; see the README.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,6 +25,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_report(docs, model_path)
+
+
+def piece_report(docs: DataFrame, model_path: str = PIECE_MODEL) -> DataFrame:
+    """One row per document: the best segmentation as a digest, the scores of the N best, and whether decoding gives the text back."""
+    out = pieces.decode(pieces.encode(docs, model_path), model_path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        F.col("others.score").alias("other_scores"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -40,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_line_dedup, op7_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op6_line_dedup, op7_toxicity, op10_quality_rules)}
 
 _OP1 = r"""
 with dw as (
