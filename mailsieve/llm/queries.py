@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, pieces, quality, toxicity
+from . import chat, decontaminate, line_dedup, pieces, quality, toxicity, url_filter
 from ._common import table
 
 #: Where the vocabulary files are; see the README.
@@ -43,6 +43,36 @@ def piece_report(docs: DataFrame, model_path: str = PIECE_MODEL) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat.format_conversations(rows)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("segments"))
+    return out.select(
+        "conv_id",
+        F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        digest(turns).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        digest(loss).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+#: The rules that the query applies.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in RULES))))
+    return url_filter.judge(pages, outcomes, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -61,7 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op6_line_dedup, op7_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op6_line_dedup, op7_toxicity, op9_url_filter, op10_quality_rules)}
 
 _OP1 = r"""
 with dw as (
@@ -135,4 +165,60 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
 from base
 """
 
-ORACLES = {"op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
+_CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>")
+
+
+def _escapes(c: str) -> str:
+    """How many characters escaping adds, in SQL."""
+    return " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in ("\\", *_CONTROLS))
+
+
+_OP4 = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized as (
+  select *, {len("<|im_start|><|im_sep|><|im_end|>") + 1} + length(role) + length(text) + {_escapes("role")} + {_escapes("text")} as size,
+         lag(role) over (partition by conv_id order by turn, role, text) as before
+  from rows),
+judged as (
+  select *, case when before is null then role in ('system', 'user') when before = 'system' then role = 'user' when before = 'user' then role = 'assistant' when before = 'assistant' then role = 'user' else false end as fits,
+         before is not null as later, role = 'system' as told
+  from sized),
+summed as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+         coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+         cast(sum(size) as bigint) as formatted_chars, bool_and(fits) and max_by(role, turn) <> 'system' as valid
+  from judged group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, valid from summed
+"""
+
+_OP9 = r"""
+with rules(rule, rule_host, rule_path, v) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+p as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+fits as (select page_id, host, path, arg_min(rule, (-length(rule), rule)) as rule, arg_min(v, (-length(rule), rule)) as v
+  from p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id, host, path),
+good as (select doc_id, max(quality) as good from labels where quality is not null group by doc_id),
+h as (
+  select host, string_split(regexp_replace(host, ':\d*$', ''), '.') as l, count(good) as n, coalesce(sum(good), 0) as k
+  from p left join good on page_id = doc_id group by host),
+hosts as (select host, n, k, l[-1] as suffix, case when len(l) > 1 then l[-2] || '.' || l[-1] else l[-1] end as domain from h),
+top as (select case when sum(n) > 0 then (sum(k) + 0.5) / (sum(n) + 1) else 0.5 end as m from hosts),
+s0 as (select suffix, sum(n) as n, sum(k) as k from hosts group by suffix),
+t0 as (select case when count(*) = 0 or sum(n - 1) = 0 then 1.0 else 1 / least(0.9, greatest(1e-3, (sum(n * pow(k / n - m, 2) / (m * (1 - m))) - count(*)) / sum(n - 1))) - 1 end as s from s0, top where n > 0),
+s1 as (select suffix, (k + s * m) / (n + s) as suffix_mean from s0, t0, top),
+d0 as (select domain, suffix, suffix_mean, sum(n) as n, sum(k) as k from hosts join s1 using (suffix) group by domain, suffix, suffix_mean),
+t1 as (select case when count(*) = 0 or sum(n - 1) = 0 then 1.0 else 1 / least(0.9, greatest(1e-3, (sum(n * pow(k / n - suffix_mean, 2) / (suffix_mean * (1 - suffix_mean))) - count(*)) / sum(n - 1))) - 1 end as s from d0 where n > 0),
+d1 as (select domain, (k + s * suffix_mean) / (n + s) as domain_mean from d0, t1),
+h0 as (select host, n, k, domain_mean as m from hosts join d1 using (domain)),
+t2 as (select case when count(*) = 0 or sum(n - 1) = 0 then 1.0 else 1 / least(0.9, greatest(1e-3, (sum(n * pow(k / n - m, 2) / (m * (1 - m))) - count(*)) / sum(n - 1))) - 1 end as s from h0 where n > 0),
+h1 as (select host, k + s * m as a, n - k + s * (1 - m) as b from h0, t2),
+h2 as (select host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as bound from h1)
+select p.page_id, p.host, p.path, rule, coalesce(v, case when bound >= 0.5 then 'allow' else 'block' end) as verdict
+from p join h2 using (host) left join (select distinct page_id, host, path, rule, v from fits) as f on p.page_id is not distinct from f.page_id and p.host = f.host and p.path = f.path
+"""
+
+ORACLES = {"op4_chat_formatting": _OP4, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
