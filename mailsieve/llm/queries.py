@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, pieces, quality, toxicity, url_filter
+from . import chat, decontaminate, line_dedup, pieces, quality, substring_dedup, toxicity, url_filter
 from ._common import table
 
 #: Where the vocabulary files are; see the README.
@@ -73,6 +73,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, outcomes, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.dedup_substrings(docs)
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"], s["first_doc"])), ",")
+    return out.select("doc_id", "n_units", "n_removed", cut.alias("removed_chars"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -91,7 +99,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op6_line_dedup, op7_toxicity, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op5_substring_dedup, op6_line_dedup, op7_toxicity, op9_url_filter, op10_quality_rules)}
 
 _OP1 = r"""
 with dw as (
@@ -221,4 +229,44 @@ select p.page_id, p.host, p.path, rule, coalesce(v, case when bound >= 0.5 then
 from p join h2 using (host) left join (select distinct page_id, host, path, rule, v from fits) as f on p.page_id is not distinct from f.page_id and p.host = f.host and p.path = f.path
 """
 
-ORACLES = {"op4_chat_formatting": _OP4, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
+_OP5 = r"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln
+  from documents where text is not null and text <> ''),
+lines as (
+  select *, sum(length(line) + 1) over (partition by doc_id order by ln) - length(line) - 1 as a,
+         array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') as k,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 8 as unit
+  from l),
+s as (
+  select doc_id, ln, a as line_a, k as line_k, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+')) as piece, generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+'), 1) as pn
+  from lines where unit),
+sent as (
+  select *, line_a + sum(length(piece)) over (partition by doc_id, ln order by pn) - length(piece) as a,
+         array_to_string(regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') as k,
+         len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) >= 8 as long
+  from s),
+occ as (
+  select doc_id, ln, 0 as pn, a, a + length(line) as b, k from lines where unit
+  union all select doc_id, ln, pn, a, a + length(piece), k from sent where long and k <> line_k),
+firsts as (select k, min((doc_id, a, b)) as f from occ group by k having count(*) > 1),
+gone as (select occ.*, f[1] as first_doc from occ join firsts on occ.k = firsts.k where (doc_id, a, b) <> f),
+gone_lines as (select * from gone where pn = 0),
+gone_sent as (select gone.* from gone left join gone_lines g on gone.doc_id = g.doc_id and gone.ln = g.ln where gone.pn > 0 and g.doc_id is null),
+removed as (select * from gone_lines union all select * from gone_sent),
+kept_sent as (
+  select sent.doc_id, sent.ln, coalesce(string_agg(piece, '' order by sent.pn) filter (where g.doc_id is null), '') as line
+  from sent left join gone_sent g on sent.doc_id = g.doc_id and sent.ln = g.ln and sent.pn = g.pn group by sent.doc_id, sent.ln),
+kept as (
+  select lines.doc_id, string_agg(coalesce(ks.line, lines.line), chr(10) order by lines.ln) as t
+  from lines left join kept_sent ks on lines.doc_id = ks.doc_id and lines.ln = ks.ln
+  left join gone_lines g on lines.doc_id = g.doc_id and lines.ln = g.ln where g.doc_id is null group by lines.doc_id),
+n as (select doc_id, count(*) as n from occ group by doc_id),
+r as (
+  select doc_id, count(*) as n, cast(sum(b - a) as bigint) as chars, string_agg(a || '-' || b || '-' || first_doc, ',' order by a) as spans
+  from removed group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_units, coalesce(r.n, 0) as n_removed, coalesce(r.chars, 0) as removed_chars, coalesce(r.spans, '') as removed_spans, sha256(coalesce(kept.t, '')) as kept_sha256
+from documents d left join n using (doc_id) left join r using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES = {"op5_substring_dedup": _OP5, "op4_chat_formatting": _OP4, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
