@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, pieces, quality, substring_dedup, toxicity, url_filter
+from . import chat, decontaminate, jaccard, line_dedup, pieces, quality, substring_dedup, toxicity, url_filter
 from ._common import table
 
 #: Where the vocabulary files are; see the README.
@@ -66,6 +66,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -99,7 +103,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op5_substring_dedup, op6_line_dedup, op7_toxicity, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op5_substring_dedup, op6_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_url_filter, op10_quality_rules)}
 
 _OP1 = r"""
 with dw as (
@@ -269,4 +273,22 @@ select d.doc_id, coalesce(n.n, 0) as n_units, coalesce(r.n, 0) as n_removed, coa
 from documents d left join n using (doc_id) left join r using (doc_id) left join kept using (doc_id)
 """
 
-ORACLES = {"op5_substring_dedup": _OP5, "op4_chat_formatting": _OP4, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
+_OP8 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select distinct doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as pos from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+often as (select g from g group by g having count(*) > 1),
+shared as (select g.* from g join often using (g)),
+overlap as (select a.doc_id as a, b.doc_id as b, count(*) as c from shared a join shared b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from overlap join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * c >= 75 * (na.n + nb.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select a, b from edges union select reach.doc_id, edges.b from reach join edges on reach.other = edges.a),
+low as (select doc_id, min(other) as other from reach group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(low.other, w.doc_id)) as component_id
+from w left join n using (doc_id) left join low using (doc_id)
+"""
+
+ORACLES = {"op8_ngram_jaccard": _OP8, "op5_substring_dedup": _OP5, "op4_chat_formatting": _OP4, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op1_decontamination": _OP1, "op6_line_dedup": _OP6}
