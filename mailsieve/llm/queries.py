@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, line_dedup, pieces, quality, substring_dedup, toxicity, url_filter
+from . import chat, decontaminate, jaccard, line_dedup, pieces, pii, quality, substring_dedup, toxicity, url_filter
 from ._common import table
 
 #: Where the vocabulary files are; see the README.
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "a key for the query only") -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    counts = [(F.size("entities") - F.size(F.array_remove("entities", t))).cast("long").alias(f"n_{t}") for t in pii.TYPES]
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, "text")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_report(docs, model_path)
@@ -103,7 +109,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op4_chat_formatting, op5_substring_dedup, op6_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii_surrogates, op3_sentencepiece, op4_chat_formatting, op5_substring_dedup, op6_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_url_filter, op10_quality_rules)}
 
 _OP1 = r"""
 with dw as (
