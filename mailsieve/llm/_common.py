@@ -38,6 +38,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
     out = spark.read.schema(df.schema).parquet(path)
     out._mailsieve_path = path
     return out

@@ -3,7 +3,8 @@
 The distinct n-grams of a text are its set.  All n-grams have one global order:
 those common in the corpus last, the others by their hash.  Two sets that are
 similar enough share an n-gram among the first of this order (prefix filter),
-so candidate pairs come from documents that meet at such an n-gram.  The order
+so candidate pairs come from documents that meet at such an n-gram, and only
+those that meet at enough of them are candidates.  The order
 is cut into fragments; the overlap of a candidate pair is counted in each
 fragment separately and the counts are summed per pair.
 
@@ -34,8 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, written
@@ -43,27 +43,64 @@ from .graph import components
 
 _LAST_ID = 2**63 - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-class _Words(dict):
-    """Hashes of words; forgotten all at once when there are too many."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def shingles(text: str | None, n: int, words: _Words) -> np.ndarray:
+_BLOCK = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Hasher:
+    """64-bit hashes of the words of a text: sums of a random number per byte times powers of an odd base.
+
+    Sums of a whole block are taken at once; a word's is the difference of two,
+    times the inverse power of where it starts.
+    """
+
+    def __init__(self) -> None:
+        self.bytes = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 256, np.uint64)
+        self._room(_BLOCK)
+
+    def _room(self, n: int) -> None:
+        base = 0xD1342543DE82EF97
+        powers = []
+        for b in (base, pow(base, -1, 2**64)):
+            p = np.full(n + 1, b, np.uint64)
+            p[0] = 1
+            powers.append(np.cumprod(p, dtype=np.uint64))
+        self.power, self.back = powers
+
+    def words(self, raw: bytes) -> np.ndarray:
+        if len(raw) <= _BLOCK:
+            return self._block(raw)
+        out, at = [], 0
+        while at < len(raw):
+            end = min(at + _BLOCK, len(raw))
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+            out.append(self._block(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _block(self, raw: bytes) -> np.ndarray:
+        b = np.frombuffer(raw, np.uint8)
+        inside = np.concatenate([[False], ~_SPACE[b], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        if len(b) > len(self.power):
+            self._room(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.bytes[b] * self.power[: len(b)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.back[start]
+        h ^= h >> np.uint64(31)
+        h *= _M[2]
+        return h ^ (h >> np.uint64(30))
+
+
+def shingles(text: str | None, n: int, words: _Hasher) -> np.ndarray:
     """The set of a text: sorted distinct 64-bit hashes."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    size = len(found)
+    h = words.words(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
+    size = len(h)
     if not size:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, size)
+        return h
     k = min(n, size)
     out = np.full(size - k + 1, k, np.uint64)
     for i in range(k):
@@ -87,7 +124,7 @@ def _facts(docs: DataFrame, n: int, heavy_span: int, heavy_min: int) -> DataFram
     """From ``doc`` and ``text``: a row per document (``size``, id of its set) and, with a null ``size``, n-grams found often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = _Hasher()
         held: list[np.ndarray] = []
         total = 0
 
@@ -127,30 +164,31 @@ def _ordered(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[~last], s[last]
 
 
+def _first(size: Column | int, t: Fraction) -> Column | int:
+    """How many n-grams of a set are its prefix: one more than it may lack in a similar set."""
+    need = t.numerator * size
+    return size - (F.ceil(need / t.denominator) if isinstance(size, Column) else -(-need // t.denominator)) + 1
+
+
 def _prefixes(docs: DataFrame, n: int, t: Fraction, heavy) -> DataFrame:
-    """For each document the n-grams of its prefix (``g``) with its class and size; ``near`` marks those that
-    it needs as the smaller one of a pair."""
+    """For each document the n-grams of its prefix (``g``) and its class: ``c1``, and ``meta`` with c2 and the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _Words(), heavy.value
+        words, last = _Hasher(), heavy.value
         for batch in batches:
             for part in slices(batch, 200):
-                grams, c1, c2 = [], [], []
+                grams, c1, meta = [], [], []
                 for text in part.column(0).to_pylist():
                     s = shingles(text, n, words)
-                    size = len(s)
-                    if not size:
+                    if not len(s):
                         continue
                     a, b = _id(s)
-                    first = size - -(-t.numerator * size // t.denominator) + 1
-                    need = -(-2 * t.numerator * size // (t.numerator + t.denominator))
+                    first = _first(len(s), t)
                     grams.append(np.concatenate(_ordered(s, last))[:first].view(np.int64))
                     c1.append(np.full(first, a, np.int64))
-                    meta = np.full(first, (b << 32) | (size << 1), np.int64)
-                    meta[: size - need + 1] |= 1
-                    c2.append(meta)
+                    meta.append(np.full(first, (b << 32) | len(s), np.int64))
                 if grams:
-                    yield _table({"g": (np.concatenate(grams), pa.int64()), "c1": (np.concatenate(c1), pa.int64()), "meta": (np.concatenate(c2), pa.int64())})
+                    yield _table({"g": (np.concatenate(grams), pa.int64()), "c1": (np.concatenate(c1), pa.int64()), "meta": (np.concatenate(meta), pa.int64())})
 
     return docs.mapInArrow(run, "g long, c1 long, meta long")
 
@@ -159,7 +197,7 @@ def _fragments(docs: DataFrame, n: int, heavy, cuts: int) -> DataFrame:
     """The sets of documents (``id``, ``c1``, ``text``) cut along the global order; rows whose set is not ``c1`` go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _Words(), heavy.value
+        words, last = _Hasher(), heavy.value
         edges = np.array([k * 2**64 // cuts for k in range(1, cuts)], np.uint64)
         for batch in batches:
             for part in slices(batch, 200):
@@ -217,39 +255,36 @@ def near_duplicates(
 
     classes = written(rows.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("id"), F.first("size").alias("size")), "jaccard-classes")
     w = Window.partitionBy("g")
-    prefixes = _prefixes(own.select("text"), n, t, heavy)
-    shared = prefixes.withColumns({"lo": F.min("c1").over(w), "hi": F.max("c1").over(w)}).where("lo < hi")
-    shared = shared.select("g", "c1", F.shiftright("meta", 32).cast("int").alias("c2"), (F.col("meta") % 2 != 0).alias("near")).distinct()
-    shared = written(shared.join(classes, ["c1", "c2"]).select("g", "c1", "id", "size", "near"), "jaccard-shared")
-
-    hub = shared.groupBy("g").agg(F.min(F.struct("id", "c1", "size")).alias("h"))
-    pairs = _pairs(shared.join(hub, "g").select(F.col("id").alias("a"), F.col("c1").alias("a1"), F.col("size").alias("na"), F.col("h.id").alias("b"), F.col("h.c1").alias("b1"), F.col("h.size").alias("nb")), t)
-    first = written(pairs, "jaccard-pairs")
-
-    needed = shared.select("id", "c1").distinct()
-    texts = own.join(needed.hint("shuffle_hash"), F.col("doc") == F.col("id")).select("id", "c1", "text")
-    sets = written(_fragments(texts, n, heavy, cuts), "jaccard-sets")
-
-    # rows of one id that differ are one node
-    joined = rows.join(classes.select("c1", "c2", "id"), ["c1", "c2"]).where("doc <> id").select(F.col("doc").alias("u"), F.col("id").alias("v"))
-    again = rows.where("size > 0").groupBy("doc").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x < y").select("doc")
-    twice = joined.join(again.withColumnRenamed("doc", "u"), "u")
-    links = written(_linked(first, sets, t).union(twice), "jaccard-links")
+    key = F.struct("c1", "meta")
+    met = _prefixes(own.select("text"), n, t, heavy).withColumns({"lo": F.min(key).over(w), "hi": F.max(key).over(w)}).where("lo < hi")
+    shared = written(met.dropDuplicates(["g", "c1", "meta"]).select("g", "c1", "meta", F.col("lo.c1").alias("lo1"), F.col("lo.meta").alias("lom")), "jaccard-shared")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes (``x1``, ``xm``, ``y1``, ``ym``) by the ids of their first documents."""
+        for side, c1, meta in (("a", "x1", "xm"), ("b", "y1", "ym")):
+            own_class = classes.select(F.col("c1").alias(c1), F.col("c2").alias("c2"), F.col("id").alias(side))
+            pairs = pairs.withColumn("c2", F.shiftright(meta, 32).cast("int")).join(own_class, [c1, "c2"]).drop("c2")
+        return pairs.select("a", F.col("x1").alias("a1"), _size("xm").alias("na"), "b", F.col("y1").alias("b1"), _size("ym").alias("nb"))
+
+    # each class with the first one that it meets at an n-gram
+    hubs = shared.where("c1 <> lo1 or meta <> lom").select(F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lo1").alias("y1"), F.col("lom").alias("ym"))
+    first = written(named(_likely(hubs, t)), "jaccard-pairs")
+    links = written(_linked(first, _sets_of(own, first, n, heavy, cuts), t).union(_twice(rows, classes)), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
 
-    named = shared.join(roots, "id", "left").select("g", "c1", "id", "size", "near", F.coalesce("root", "id").alias("root"))
-    named = written(named, "jaccard-named")
-    mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-    meets = written(named.join(mixed, "g"), "jaccard-meets")
-    groups = meets.select("g", "root").distinct()
-    across = groups.join(groups.select("g", F.col("root").alias("other")), "g").where("root < other")
-    x = meets.select("g", "root", F.col("id").alias("a"), F.col("c1").alias("a1"), F.col("size").alias("na"), F.col("near").alias("xa"))
-    y = meets.select("g", F.col("root").alias("other"), F.col("id").alias("b"), F.col("c1").alias("b1"), F.col("size").alias("nb"), F.col("near").alias("xb"))
-    smaller = F.when(F.col("na") < F.col("nb"), F.col("xa")).when(F.col("nb") < F.col("na"), F.col("xb")).otherwise(F.col("xa") & F.col("xb"))
-    rest = across.join(x, ["g", "root"]).join(y, ["g", "other"]).where(smaller)
-    rest = _pairs(rest, t).join(first.select("a", "a1", "b", "b1"), ["a", "a1", "b", "b1"], "left_anti")
-    more = _linked(written(rest, "jaccard-rest"), sets, t)
-    links = written(more.union(roots.select(F.col("id"), F.col("root"))), "jaccard-links")
+    # pairs of different components, at the n-grams where several meet
+    found = classes.join(roots, "id").withColumn("meta", F.shiftleft(F.col("c2").cast("long"), 32).bitwiseOR(F.col("size")))
+    found = written(found.select("c1", "meta", F.min("c1").over(Window.partitionBy("root")).alias("part")), "jaccard-parts")
+    parts = shared.select("g", "c1", "meta").join(found, ["c1", "meta"], "left").withColumn("part", F.coalesce("part", "c1"))
+    mixed = parts.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo < hi")
+    mixed = written(mixed.select("g", "part", "c1", "meta"), "jaccard-mixed")
+    groups = mixed.groupBy("g", "part").agg(F.lit(1).alias("one")).drop("one")
+    across = groups.join(groups.select("g", F.col("part").alias("other")), "g").where("part < other")
+    x = mixed.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"))
+    y = mixed.select("g", F.col("part").alias("other"), F.col("c1").alias("y1"), F.col("meta").alias("ym"))
+    rest = _likely(across.join(x, ["g", "part"]).join(y, ["g", "other"]).select("x1", "xm", "y1", "ym"), t)
+    rest = written(named(rest), "jaccard-rest")
+    links = written(_linked(rest, _sets_of(own, rest, n, heavy, cuts), t).union(roots.select("id", "root")), "jaccard-links")
     roots = components(links)
 
     # the smallest id of a component is that of its smallest class, as a class has the smallest id of its copies
@@ -260,9 +295,34 @@ def near_duplicates(
     return out.select(null("doc").alias(id_col), "n_shingles", null("component").alias("component_id"))
 
 
-def _pairs(pairs: DataFrame, t: Fraction) -> DataFrame:
-    """Each pair once, the smaller node first, without those whose sizes differ too much."""
-    a, b = F.struct("a", "a1", "na"), F.struct("b", "b1", "nb")
-    fits = F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator
-    both = pairs.where(fits & (F.col("a1") != F.col("b1"))).select(F.when(a < b, F.struct("a", "a1", "na", "b", "b1", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("b1").alias("a1"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("a1").alias("b1"), F.col("na").alias("nb"))).alias("p"))
-    return both.select("p.*").distinct()
+def _size(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit(2**32 - 1))
+
+
+def _likely(meets: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of classes that can be similar enough by their sizes and by how many n-grams of both prefixes they share.
+
+    Up to the end of the prefix that ends first the two have the counted n-grams
+    in common, after it at most what is left of that set.
+    """
+    x, y = _size("xm"), _size("ym")
+    meets = meets.where(F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator)
+    counted = meets.groupBy("x1", "xm", "y1", "ym").agg(F.count("*").alias("c"))
+    overlap = F.ceil((x + y) * t.numerator / (t.numerator + t.denominator))
+    return counted.where(F.col("c") + F.greatest(x - _first(x, t), y - _first(y, t)) >= overlap).drop("c")
+
+
+def _sets_of(own: DataFrame, pairs: DataFrame, n: int, heavy, cuts: int, max_broadcast: int = 1_000_000) -> DataFrame:
+    """The fragments of the sets that pairs are of.  Their ids are broadcast if they are at most ``max_broadcast``
+    (16 bytes each), and otherwise joined."""
+    needed = written(pairs.select(F.col("a").alias("id"), F.col("a1").alias("c1")).union(pairs.select("b", "b1")).distinct(), "jaccard-needed")
+    small = needed.limit(max_broadcast + 1).count() <= max_broadcast
+    texts = own.join(F.broadcast(needed) if small else needed.hint("shuffle_hash"), F.col("doc") == F.col("id")).select("id", "c1", "text")
+    return written(_fragments(texts, n, heavy, cuts), "jaccard-sets")
+
+
+def _twice(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that make the rows of one id one node where their sets differ."""
+    again = rows.where("size > 0").groupBy("doc").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x < y").select("doc")
+    both = rows.join(again, "doc").join(classes.select("c1", "c2", "id"), ["c1", "c2"])
+    return both.select(F.col("doc").alias("u"), F.col("id").alias("v"))
