@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -42,6 +43,14 @@ MARK = "▁"
 #: Stands for a space mark of the text itself while it is cut; no piece has it.
 _LITERAL = ""
 _WORST = float("-inf")
+#: Parts of more characters are searched one by one.
+_LONG = 40
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(texts: list[str], n: int) -> np.ndarray:
+    """The characters of texts of one length, a row each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n)
 
 
 class PieceModel:
@@ -67,6 +76,8 @@ class PieceModel:
             raise ValueError("the model has no piece for some byte")
         self.unknown = min(s for _, s in self.scores.values()) - 10
         self._parts = re.compile(self._pattern())
+        self._index()
+        self._searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         #: pieces, and False for what only starts one
         self._starts: dict[str, tuple[int, float] | bool] = {p[:k]: False for p in self.scores for k in range(1, len(p))} | self.scores
         self._memory: dict[str, tuple[tuple[int, ...], float, float]] = {}
@@ -144,83 +155,179 @@ class PieceModel:
                     heapq.heappush(agenda, (done - s - forward[start], own + ids, start, done - s))
         return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
-    def _part(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """Best ids, their score and the loss of the second best, from one forward pass that keeps the best two scores."""
-        if found := self._older.get(part):
-            return self._remember(part, found)
-        lookup, unknown = self._starts.get, self.unknown
+    def _hashed(self, codes: np.ndarray) -> np.ndarray:
+        """Sums over the characters of each row up to each place; a part's hash follows from two of them."""
+        c = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
+        c ^= c >> np.uint64(29)
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        np.cumsum(c * self._power[: codes.shape[1]], axis=1, out=out[:, 1:])
+        return out
+
+    def _index(self) -> None:
+        """The pieces by their hashes."""
+        n = max(map(len, self.scores))
+        base = 0xD1342543DE82EF97
+        for name, b in (("_power", base), ("_back", pow(base, -1, 2**64))):
+            p = np.full(max(n, _LONG) + 1, b, np.uint64)
+            p[0] = 1
+            setattr(self, name, np.cumprod(p, dtype=np.uint64))
+        self.longest = n
+        hashes, ids, scores = [], [], []
+        for piece, (i, s) in self.scores.items():
+            hashes.append(self._hashed(_codes([piece], len(piece)))[0, -1])
+            ids.append(i)
+            scores.append(s)
+        order = np.argsort(np.array(hashes, np.uint64))
+        self._hash = np.array(hashes, np.uint64)[order]
+        self._id, self._score = np.array(ids, np.int32)[order], np.array(scores, np.float64)[order]
+        self._sieve = np.zeros(1 << 22, bool)
+        self._sieve[self._hash >> np.uint64(42)] = True
+
+    def _solve(self, parts: list[str]) -> None:
+        """Best ids, their score and the loss of the second best, for many parts at once: one forward pass
+        over the positions that keeps the best two scores, for all parts of a length together."""
+        by_size: dict[int, list[str]] = {}
+        for p in parts:
+            by_size.setdefault(len(p), []).append(p)
+        for n, own in by_size.items():
+            for at in range(0, len(own), 20_000):
+                group = own[at : at + 20_000]
+                if n > _LONG:
+                    for p in group:
+                        self._remember(p, self._alone(p))
+                else:
+                    self._solve_group(group, n)
+
+    def _solve_group(self, group: list[str], n: int) -> None:
+        size = len(group)
+        sums = self._hashed(_codes(group, n))
+        first, second = np.full((n + 1, size), _WORST), np.full((n + 1, size), _WORST)
+        first[0] = 0.0
+        start, piece = np.zeros((n + 1, size), np.int32), np.full((n + 1, size), -1, np.int32)
+        for a in range(n):
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                h = (sums[:, b] - sums[:, a]) * self._back[a]
+                which = np.flatnonzero(self._sieve[h >> np.uint64(42)])
+                k = np.searchsorted(self._hash, h[which])
+                hit = self._hash[np.minimum(k, len(self._hash) - 1)] == h[which]
+                which, k = which[hit], k[hit]
+                s, i = self._score[k], self._id[k]
+                if b == a + 1 and len(which) < size:
+                    all_s, all_i = np.full(size, float(self.unknown)), np.full(size, -1, np.int32)
+                    all_s[which], all_i[which] = s, i
+                    which, s, i = np.arange(size), all_s, all_i
+                if not len(which):
+                    continue
+                v, top = first[a, which] + s, first[b, which]
+                better = v > top
+                second[b, which] = np.where(better, np.maximum(top, second[a, which] + s), np.maximum(second[b, which], v))
+                w = which[better]
+                first[b, w], start[b, w], piece[b, w] = v[better], a, i[better]
+        scores, losses = first[n].tolist(), (first[n] - second[n]).tolist()
+        starts, pieces_ = start.T.tolist(), piece.T.tolist()
+        for p, score, loss, st, pc in zip(group, scores, losses, starts, pieces_, strict=True):
+            ids: list[int] = []
+            end = n
+            while end:
+                if pc[end] < 0:
+                    ids.extend(reversed(self._unknown(p[st[end]])))
+                else:
+                    ids.append(pc[end])
+                end = st[end]
+            self._remember(p, (tuple(reversed(ids)), score, loss))
+
+    def _alone(self, part: str) -> tuple[tuple[int, ...], float, float]:
+        """The same for one long part."""
+        into = self.edges(part)
         n = len(part)
         first, second = [0.0] + [_WORST] * n, [_WORST] * (n + 1)
         back: list[tuple] = [()] * (n + 1)
-        for start in range(n):
-            x, y, at = first[start], second[start], start + 1
-            for end in range(at, n + 1):
-                found = lookup(part[start:end])
-                if found:
-                    piece, s = found
-                elif end == at:
-                    piece, s = None, unknown
-                elif found is None:
-                    break
-                else:
-                    continue
-                v = x + s
+        for end in range(1, n + 1):
+            for start, s, ids in into[end]:
+                v = first[start] + s
                 if v > first[end]:
-                    second[end] = max(first[end], y + s)
+                    second[end] = max(first[end], second[start] + s)
                     first[end] = v
-                    back[end] = (start, piece)
+                    back[end] = (start, ids)
                 elif v > second[end]:
                     second[end] = v
-                if found is None:
-                    break
-        ids: list[int] = []
+        out: list[int] = []
         end = n
         while end:
-            start, piece = back[end]
-            if piece is None:
-                ids.extend(reversed(self._unknown(part[start])))
-            else:
-                ids.append(piece)
-            end = start
-        return self._remember(part, (tuple(reversed(ids)), first[n], first[n] - second[n]))
+            end, ids = back[end]
+            out.extend(reversed(ids))
+        return tuple(reversed(out)), first[n], first[n] - second[n]
 
-    def _remember(self, part: str, found: tuple) -> tuple:
+    def _remember(self, part: str, found: tuple) -> None:
         """Two generations: what is used again moves on, the rest is forgotten when the younger one is full."""
         if len(self._memory) >= self.cache_size:
             self._older = dict(self._memory)
             self._memory.clear()
         self._memory[part] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """Ids and score of the best segmentation, and the next N - 1: the score of each and what it has
-        in place of the best ids (position, how many, which instead)."""
-        memory, make = self._memory, self._part
-        parts = self.parts(text or "")
-        found = [memory.get(p) or make(p) for p in parts]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        score = sum([f[1] for f in found])
-        return ids, score, self._others(parts, found, score) if self.n_best > 1 else []
-
-    def _others(self, parts, found, score):
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[list[int], float, list]]:
+        """For each text: ids and score of the best segmentation, and the next N - 1: the score of each and what it
+        has in place of the best ids (position, how many, which instead)."""
+        out = []
+        some: list[list[str]] = []
+        count = 0
+        for k, text in enumerate(texts):
+            some.append(self.parts(text or ""))
+            count += len(some[-1])
+            if count >= 60_000 or k == len(texts) - 1:  # few enough for the memory to hold them all
+                out += self._encode_parts(some)
+                some, count = [], 0
+        return out
+
+    def _encode_parts(self, many: list[list[str]]) -> list[tuple[list[int], float, list]]:
+        memory, older = self._memory, self._older
+        known: dict[str, tuple] = {}
+        new: list[str] = []
+        for p in set(chain.from_iterable(many)):
+            if found := memory.get(p) or older.get(p):
+                known[p] = found
+            else:
+                new.append(p)
+        for p, found in known.items():
+            if p not in memory:
+                self._remember(p, found)
+        for at in range(0, len(new), self.cache_size):
+            block = new[at : at + self.cache_size]
+            self._solve(block)
+            known |= {p: self._memory.get(p) or self._older[p] for p in block}
+        out = []
+        for parts in many:
+            found = [known[p] for p in parts]
+            score = sum([f[1] for f in found])
+            out.append((list(chain.from_iterable([f[0] for f in found])), score, self._others(parts, found, score) if self.n_best > 1 else []))
+        return out
+
+    def encode(self, text: str | None) -> tuple[list[int], float, list]:
+        return self.encode_all([text])[0]
+
+    def _options(self, part: str, found: tuple) -> list[tuple[float, tuple[int, ...]]]:
+        if (own := self._searched.get(part)) is None:
+            if len(self._searched) >= 20_000:
+                self._searched.clear()
+            ids, top, _ = found
+            own = self._searched[part] = [(top, ids), *[o for o in self.best(part, self.n_best) if o[1] != ids][: self.n_best - 1]]
+        return own
+
+    def _others(self, parts: list[str], found: list[tuple], score: float) -> list[tuple[float, list[tuple[int, int, list[int]]]]]:
         n = self.n_best
-        loose = heapq.nsmallest(n - 1, [(f[2], i) for i, f in enumerate(found) if f[2] != float("inf")])
-        loose = sorted(i for _, i in loose)
-        options = []
-        for i in loose:
-            ids, top, _ = found[i]
-            options.append([(top, ids), *[o for o in self.best(parts[i], n) if o[1] != ids][: n - 1]])
+        losses = np.array([f[2] for f in found])
+        loose = sorted(i for i in np.argsort(losses, kind="stable")[: n - 1].tolist() if losses[i] != np.inf)
+        options = [self._options(parts[i], found[i]) for i in loose]
         combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for own in options:
-            grown = [(loss + own[0][0] - s, (*which, k)) for loss, which in combos for k, (s, _) in enumerate(own)]
-            combos = heapq.nsmallest(n, grown)
-        starts, at = {}, 0
-        for i, f in enumerate(found if loose else ()):
-            if i in loose:
-                starts[i] = at
-            at += len(f[0])
+            combos = heapq.nsmallest(n, [(loss + own[0][0] - s, (*which, k)) for loss, which in combos for k, (s, _) in enumerate(own)])
+        starts, at, done = [], 0, 0
+        for i in loose:
+            at += sum([len(f[0]) for f in found[done:i]])
+            starts.append(at)
+            done = i
         return [
-            (score - loss, [(starts[i], len(found[i][0]), list(own[k][1])) for i, own, k in zip(loose, options, which, strict=True) if k])
+            (score - loss, [(start, len(own[0][1]), list(own[k][1])) for start, own, k in zip(starts, options, which, strict=True) if k])
             for loss, which in combos[1:]
         ]
 
@@ -264,7 +371,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", n_best:
         model = _model(name, n_best)
 
         def f(columns: list[list]) -> list[list]:
-            rows = [model.encode(t) for t in columns[0]]
+            rows = model.encode_all(columns[0])
             others = [[{"score": s, "changes": [{"at": a, "n": n, "ids": i} for a, n, i in ch]} for s, ch in r[2]] for r in rows]
             return [[r[0] for r in rows], [r[1] + 0.0 for r in rows], others]
 
