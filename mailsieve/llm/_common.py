@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,6 +54,13 @@ def dropped(*frames: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(df: DataFrame, ids: DataFrame, id_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` without the rows whose id is in ``ids`` (one long column, written): they are broadcast if they
+    are at most ``max_broadcast``, and otherwise joined."""
+    small = ids.limit(max_broadcast + 1).count() <= max_broadcast
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_anti").select(*df.columns)
+
+
 def with_columns_from(
     df: DataFrame,
     fields: Iterable[tuple[str, T.DataType]],
@@ -95,6 +103,11 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
 
 
 def _values(column: pa.Array) -> list:
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.null_count:
+        flat = column.flatten()  # much faster than to_pylist for long lists
+        if not flat.null_count:
+            numbers, ends = flat.to_numpy().tolist(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+            return [numbers[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     return column.to_pylist()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, line_dedup, pieces, pii, quality, substring_dedup, toxicity, url_filter
@@ -97,11 +97,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """The rows that no model here learns from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0)) == 2
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4, F.lit(0)) == 2
-    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=lambda c: ~held(c))
-    return toxicity.score(docs, lexicon).select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=lambda c: ~held_out(c))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
