@@ -11,10 +11,11 @@ fragment separately and the counts are summed per pair.
 What a skewed corpus needs:
 
 - Equal sets are one class from the start; copies are never compared.
-- N-grams found often (at least ``heavy_min`` times among any ``heavy_span`` n-grams
-  read in a row) are last in the order; at most ``max_heavy`` of them, the most
-  frequent, are broadcast.  The order decides about cost only, not about results.
-- At each shared n-gram every class is first compared with one of them only.
+- N-grams found often (``heavy_min`` times among any ``heavy_span`` n-grams read in
+  a row, so in a share of the documents that does not depend on how many there
+  are) are last in the order; at most ``max_heavy`` of them, the most frequent,
+  are broadcast (8 bytes each).  The order decides about cost only, not results.
+- At each shared n-gram every class is first compared with the smallest one only.
   The links found make components, and after that only pairs of different
   components are compared, so a large group of near copies costs as many
   comparisons as it has members, and no link between components is lost.
@@ -171,26 +172,32 @@ def _first(size: Column | int, t: Fraction) -> Column | int:
 
 
 def _prefixes(docs: DataFrame, n: int, t: Fraction, heavy) -> DataFrame:
-    """For each document the n-grams of its prefix (``g``) and its class: ``c1``, and ``meta`` with c2 and the size."""
+    """For each document the n-grams of its prefix (``g``) and its class: ``c1``, ``meta`` with c2 and the size, and
+    ``lead`` with how many n-grams of the prefix are not heavy and, in the last bit, whether this one is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = _Hasher(), heavy.value
         for batch in batches:
             for part in slices(batch, 200):
-                grams, c1, meta = [], [], []
+                grams, c1, meta, lead = [], [], [], []
                 for text in part.column(0).to_pylist():
                     s = shingles(text, n, words)
                     if not len(s):
                         continue
                     a, b = _id(s)
                     first = _first(len(s), t)
-                    grams.append(np.concatenate(_ordered(s, last))[:first].view(np.int64))
+                    rare, often = _ordered(s, last)
+                    light = min(first, len(rare))
+                    grams.append(np.concatenate([rare, often])[:first].view(np.int64))
+                    own = np.full(first, 2 * light, np.int64)
+                    own[light:] += 1
+                    lead.append(own)
                     c1.append(np.full(first, a, np.int64))
                     meta.append(np.full(first, (b << 32) | len(s), np.int64))
                 if grams:
-                    yield _table({"g": (np.concatenate(grams), pa.int64()), "c1": (np.concatenate(c1), pa.int64()), "meta": (np.concatenate(meta), pa.int64())})
+                    yield _table({"g": (np.concatenate(grams), pa.int64()), "c1": (np.concatenate(c1), pa.int64()), "meta": (np.concatenate(meta), pa.int64()), "lead": (np.concatenate(lead), pa.int64())})
 
-    return docs.mapInArrow(run, "g long, c1 long, meta long")
+    return docs.mapInArrow(run, "g long, c1 long, meta long, lead long")
 
 
 def _fragments(docs: DataFrame, n: int, heavy, cuts: int) -> DataFrame:
@@ -240,9 +247,9 @@ def near_duplicates(
     n: int = 5,
     similarity: float | Fraction = Fraction(3, 4),
     cuts: int = 4,
-    heavy_span: int = 1_000_000,
-    heavy_min: int = 4,
-    max_heavy: int = 200_000,
+    heavy_span: int = 4_000_000,
+    heavy_min: int = 2,
+    max_heavy: int = 500_000,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     t = Fraction(similarity).limit_denominator(10_000)
@@ -254,10 +261,11 @@ def near_duplicates(
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r.c1 for r in found.select("c1").collect()], np.int64).view(np.uint64)))
 
     classes = written(rows.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("id"), F.first("size").alias("size")), "jaccard-classes")
+    # each class meets the smallest set that has the n-gram too: one that is close to what its neighbours share
     w = Window.partitionBy("g")
-    key = F.struct("c1", "meta")
-    met = _prefixes(own.select("text"), n, t, heavy).withColumns({"lo": F.min(key).over(w), "hi": F.max(key).over(w)}).where("lo < hi")
-    shared = written(met.dropDuplicates(["g", "c1", "meta"]).select("g", "c1", "meta", F.col("lo.c1").alias("lo1"), F.col("lo.meta").alias("lom")), "jaccard-shared")
+    smallest = F.min(F.struct(_size("meta").alias("n"), "c1", "meta", "lead")).over(w)
+    met = _prefixes(own.select("text"), n, t, heavy).withColumns({"hub": smallest, "lo": F.min(F.struct("c1", "meta")).over(w), "hi": F.max(F.struct("c1", "meta")).over(w)}).where("lo < hi")
+    shared = written(met.dropDuplicates(["g", "c1", "meta"]).select("g", "c1", "meta", "lead", "hub"), "jaccard-shared")
 
     def named(pairs: DataFrame) -> DataFrame:
         """Pairs of classes (``x1``, ``xm``, ``y1``, ``ym``) by the ids of their first documents."""
@@ -266,23 +274,32 @@ def near_duplicates(
             pairs = pairs.withColumn("c2", F.shiftright(meta, 32).cast("int")).join(own_class, [c1, "c2"]).drop("c2")
         return pairs.select("a", F.col("x1").alias("a1"), _size("xm").alias("na"), "b", F.col("y1").alias("b1"), _size("ym").alias("nb"))
 
-    # each class with the first one that it meets at an n-gram
-    hubs = shared.where("c1 <> lo1 or meta <> lom").select(F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lo1").alias("y1"), F.col("lom").alias("ym"))
-    first = written(named(_likely(hubs, t)), "jaccard-pairs")
+    hubs = shared.where("c1 <> hub.c1 or meta <> hub.meta").select(
+        F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"), F.col("hub.c1").alias("y1"), F.col("hub.meta").alias("ym"), F.col("hub.lead").alias("yl")
+    )
+    # an n-gram may have a smaller hub than the next one, so not all that the two share are counted here
+    first = written(named(_likely(hubs, t, counted_at_least=0.5)), "jaccard-pairs")
     links = written(_linked(first, _sets_of(own, first, n, heavy, cuts), t).union(_twice(rows, classes)), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
 
     # pairs of different components, at the n-grams where several meet
     found = classes.join(roots, "id").withColumn("meta", F.shiftleft(F.col("c2").cast("long"), 32).bitwiseOR(F.col("size")))
     found = written(found.select("c1", "meta", F.min("c1").over(Window.partitionBy("root")).alias("part")), "jaccard-parts")
-    parts = shared.select("g", "c1", "meta").join(found, ["c1", "meta"], "left").withColumn("part", F.coalesce("part", "c1"))
+    parts = shared.select("g", "c1", "meta", "lead").join(found, ["c1", "meta"], "left").withColumn("part", F.coalesce("part", "c1"))
     mixed = parts.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo < hi")
-    mixed = written(mixed.select("g", "part", "c1", "meta"), "jaccard-mixed")
-    groups = mixed.groupBy("g", "part").agg(F.lit(1).alias("one")).drop("one")
+    mixed = written(mixed.select("g", "part", "c1", "meta", "lead"), "jaccard-mixed")
+    heavy_rows, light = mixed.where("lead % 2 <> 0"), mixed.where("lead % 2 = 0")
+    x = light.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"))
+    y = light.select("g", F.col("part").alias("other"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
+    few = x.join(y, (x.g == y.g) & (F.col("part") < F.col("other")) & _sizes_fit(t)).select("x1", "xm", "xl", "y1", "ym", "yl")
+    # a heavy n-gram may be in very many sets: only its components are paired, and their members where they can be similar
+    groups = heavy_rows.groupBy("g", "part").agg(F.lit(1).alias("one")).drop("one")
     across = groups.join(groups.select("g", F.col("part").alias("other")), "g").where("part < other")
-    x = mixed.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"))
-    y = mixed.select("g", F.col("part").alias("other"), F.col("c1").alias("y1"), F.col("meta").alias("ym"))
-    rest = _likely(across.join(x, ["g", "part"]).join(y, ["g", "other"]).select("x1", "xm", "y1", "ym"), t)
+    x = heavy_rows.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"))
+    y = heavy_rows.select(F.col("g").alias("yg"), F.col("part").alias("other_part"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
+    many = across.join(x, ["g", "part"])
+    many = many.join(y, (F.col("g") == F.col("yg")) & (F.col("other") == F.col("other_part")) & _sizes_fit(t) & _heavy_fit(t)).select("x1", "xm", "xl", "y1", "ym", "yl")
+    rest = _likely(few.union(many), t)
     rest = written(named(rest), "jaccard-rest")
     links = written(_linked(rest, _sets_of(own, rest, n, heavy, cuts), t).union(roots.select("id", "root")), "jaccard-links")
     roots = components(links)
@@ -299,17 +316,38 @@ def _size(meta: str) -> Column:
     return F.col(meta).bitwiseAND(F.lit(2**32 - 1))
 
 
-def _likely(meets: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of classes that can be similar enough by their sizes and by how many n-grams of both prefixes they share.
+def _overlap(t: Fraction) -> Column:
+    """How many n-grams two sets have in common at least, if they are similar enough."""
+    return F.ceil((_size("xm") + _size("ym")) * t.numerator / (t.numerator + t.denominator))
 
-    Up to the end of the prefix that ends first the two have the counted n-grams
-    in common, after it at most what is left of that set.
-    """
+
+def _sizes_fit(t: Fraction) -> Column:
     x, y = _size("xm"), _size("ym")
-    meets = meets.where(F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator)
-    counted = meets.groupBy("x1", "xm", "y1", "ym").agg(F.count("*").alias("c"))
-    overlap = F.ceil((x + y) * t.numerator / (t.numerator + t.denominator))
-    return counted.where(F.col("c") + F.greatest(x - _first(x, t), y - _first(y, t)) >= overlap).drop("c")
+    return F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
+
+
+def _left(meta: str, lead: str) -> Column:
+    """How many n-grams of a set come after those of its prefix that are not heavy."""
+    return _size(meta) - F.shiftright(lead, 1)
+
+
+def _heavy_fit(t: Fraction) -> Column:
+    """Two sets that share heavy n-grams only have at most as many in common as the one with fewer of them has."""
+    return F.least(_left("xm", "xl"), _left("ym", "yl")) >= _overlap(t)
+
+
+def _likely(meets: DataFrame, t: Fraction, counted_at_least: float = 1.0) -> DataFrame:
+    """Pairs of classes that can be similar enough.
+
+    Up to the end of the light prefix that ends first the two have the counted light n-grams in common, after it
+    at most what is left of that set.  Those that meet at heavy n-grams only are judged by what is left.
+    """
+    light = (F.col("xl") % 2 == 0) & (F.col("yl") % 2 == 0)
+    short = lambda c: F.col(c) - F.col(c) % 2
+    counted = meets.where(_sizes_fit(t)).withColumn("light", light.cast("int")).withColumns({"xl": short("xl"), "yl": short("yl")})
+    counted = counted.groupBy("x1", "xm", "y1", "ym").agg(F.sum("light").alias("c"), F.min("light").alias("all_light"), F.first("xl").alias("xl"), F.first("yl").alias("yl"))
+    need = (_overlap(t) - F.greatest(_left("xm", "xl"), _left("ym", "yl"))) * counted_at_least
+    return counted.where(((F.col("c") >= 1) & (F.col("c") >= need)) | ((F.col("all_light") == 0) & _heavy_fit(t))).select("x1", "xm", "y1", "ym")
 
 
 def _sets_of(own: DataFrame, pairs: DataFrame, n: int, heavy, cuts: int, max_broadcast: int = 1_000_000) -> DataFrame:
