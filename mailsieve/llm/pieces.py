@@ -180,8 +180,14 @@ class PieceModel:
         order = np.argsort(np.array(hashes, np.uint64))
         self._hash = np.array(hashes, np.uint64)[order]
         self._id, self._score = np.array(ids, np.int32)[order], np.array(scores, np.float64)[order]
-        self._sieve = np.zeros(1 << 22, bool)
+        # two sieves by the first bits of a hash: what can be a piece, and what can be the start of a longer one
+        self._sieve, self._more = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self._sieve[self._hash >> np.uint64(42)] = True
+        by_size: dict[int, list[str]] = {}
+        for piece in self.scores:
+            by_size.setdefault(len(piece), []).append(piece)
+        for size, own in by_size.items():
+            self._more[(self._hashed(_codes(own, size))[:, 1:-1] >> np.uint64(42)).ravel()] = True
 
     def _solve(self, parts: list[str]) -> None:
         """Best ids, their score and the loss of the second best, for many parts at once: one forward pass
@@ -205,24 +211,28 @@ class PieceModel:
         first[0] = 0.0
         start, piece = np.zeros((n + 1, size), np.int32), np.full((n + 1, size), -1, np.int32)
         for a in range(n):
+            alive = np.arange(size)
             for b in range(a + 1, min(n, a + self.longest) + 1):
-                h = (sums[:, b] - sums[:, a]) * self._back[a]
-                which = np.flatnonzero(self._sieve[h >> np.uint64(42)])
-                k = np.searchsorted(self._hash, h[which])
-                hit = self._hash[np.minimum(k, len(self._hash) - 1)] == h[which]
-                which, k = which[hit], k[hit]
+                h = (sums[alive, b] - sums[alive, a]) * self._back[a]
+                bits = h >> np.uint64(42)
+                can = np.flatnonzero(self._sieve[bits])
+                k = np.searchsorted(self._hash, h[can])
+                hit = self._hash[np.minimum(k, len(self._hash) - 1)] == h[can]
+                which, k = alive[can[hit]], k[hit]
                 s, i = self._score[k], self._id[k]
                 if b == a + 1 and len(which) < size:
                     all_s, all_i = np.full(size, float(self.unknown)), np.full(size, -1, np.int32)
                     all_s[which], all_i[which] = s, i
-                    which, s, i = np.arange(size), all_s, all_i
-                if not len(which):
-                    continue
-                v, top = first[a, which] + s, first[b, which]
-                better = v > top
-                second[b, which] = np.where(better, np.maximum(top, second[a, which] + s), np.maximum(second[b, which], v))
-                w = which[better]
-                first[b, w], start[b, w], piece[b, w] = v[better], a, i[better]
+                    which, s, i = alive, all_s, all_i
+                if len(which):
+                    x, top = first[a, which] + s, first[b, which]
+                    better = x > top
+                    second[b, which] = np.where(better, np.maximum(top, second[a, which] + s), np.maximum(second[b, which], x))
+                    w = which[better]
+                    first[b, w], start[b, w], piece[b, w] = x[better], a, i[better]
+                alive = alive[self._more[bits]]
+                if not len(alive):
+                    break
         scores, losses = first[n].tolist(), (first[n] - second[n]).tolist()
         starts, pieces_ = start.T.tolist(), piece.T.tolist()
         for p, score, loss, st, pc in zip(group, scores, losses, starts, pieces_, strict=True):
@@ -274,7 +284,7 @@ class PieceModel:
         for k, text in enumerate(texts):
             some.append(self.parts(text or ""))
             count += len(some[-1])
-            if count >= 60_000 or k == len(texts) - 1:  # few enough for the memory to hold them all
+            if count >= 150_000 or k == len(texts) - 1:  # few enough for the memory to hold them all
                 out += self._encode_parts(some)
                 some, count = [], 0
         return out
@@ -362,10 +372,11 @@ def _shipped(df: DataFrame, model_path: str) -> str:
     return os.path.basename(model_path)
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", n_best: int = 4) -> DataFrame:
-    """``docs`` with ``ids``, ``score`` and ``others`` (the N - 1 next best, as changes of ``ids``)."""
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", n_best: int = 4, round_trip: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, ``score`` and ``others`` (the N - 1 next best, as changes of ``ids``); with ``round_trip``
+    also whether decoding gives the text back."""
     name = _shipped(docs, model_path)
-    fields = [("ids", T.ArrayType(T.IntegerType())), ("score", T.DoubleType()), ("others", T.ArrayType(_OTHER))]
+    fields = [("ids", T.ArrayType(T.IntegerType())), ("score", T.DoubleType()), ("others", T.ArrayType(_OTHER)), *([("round_trip", T.BooleanType())] if round_trip else [])]
 
     def make() -> Callable:
         model = _model(name, n_best)
@@ -373,11 +384,12 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", n_best:
         def f(columns: list[list]) -> list[list]:
             rows = model.encode_all(columns[0])
             others = [[{"score": s, "changes": [{"at": a, "n": n, "ids": i} for a, n, i in ch]} for s, ch in r[2]] for r in rows]
-            return [[r[0] for r in rows], [r[1] + 0.0 for r in rows], others]
+            same = [[model.decode(r[0]) == (t or "") for r, t in zip(rows, columns[0], strict=True)]] if round_trip else []
+            return [[r[0] for r in rows], [r[1] + 0.0 for r in rows], others, *same]
 
         return f
 
-    return with_columns_from(docs, fields, [text_col], make)
+    return with_columns_from(docs, fields, [text_col], make, drop=() if keep_text else [text_col])
 
 
 def decode(docs: DataFrame, model_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
