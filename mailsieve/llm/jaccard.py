@@ -249,7 +249,7 @@ def near_duplicates(
     cuts: int = 4,
     heavy_span: int = 4_000_000,
     heavy_min: int = 2,
-    max_heavy: int = 500_000,
+    max_heavy: int = 400_000,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     t = Fraction(similarity).limit_denominator(10_000)
@@ -257,8 +257,7 @@ def near_duplicates(
     own = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc"), F.col(text_col).alias("text"))
     facts = written(_facts(own, n, heavy_span, heavy_min), "jaccard-facts")
     rows = facts.where("size is not null")
-    found = facts.where("size is null").groupBy("c1").agg(F.sum("doc").alias("times")).orderBy(F.desc("times"), "c1").limit(max_heavy)
-    heavy = spark.sparkContext.broadcast(np.sort(np.array([r.c1 for r in found.select("c1").collect()], np.int64).view(np.uint64)))
+    heavy = spark.sparkContext.broadcast(_heaviest(facts.where("size is null"), max_heavy))
 
     classes = written(rows.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("id"), F.first("size").alias("size")), "jaccard-classes")
     # each class meets the smallest set that has the n-gram too: one that is close to what its neighbours share
@@ -312,6 +311,20 @@ def near_duplicates(
     return out.select(null("doc").alias(id_col), "n_shingles", null("component").alias("component_id"))
 
 
+def _heaviest(found: DataFrame, most: int) -> np.ndarray:
+    """The n-grams (``c1``) found at least so often that they are no more than ``most``."""
+    times = written(found.groupBy("c1").agg(F.sum("doc").alias("times")), "jaccard-heavy")
+    steps = {r.t: r.n for r in times.groupBy(F.least("times", F.lit(10_000)).alias("t")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, max(steps, default=0) + 1
+    for t in sorted(steps, reverse=True):
+        total += steps[t]
+        if total > most:
+            break
+        least = t
+    got = times.where(F.col("times") >= least).select("c1").toArrow().column("c1").to_numpy()
+    return np.sort(got.astype(np.int64).view(np.uint64))
+
+
 def _size(meta: str) -> Column:
     return F.col(meta).bitwiseAND(F.lit(2**32 - 1))
 
