@@ -117,12 +117,14 @@ def _card(canon: Column, seed: Column) -> Column:
     return let(body, lambda made: F.concat(made, F.pmod(_luhn(canon) - _luhn(F.concat(made, F.lit("0"))), F.lit(10)).cast("string")))
 
 
-def _email(canon: Column, seed: Column, key: str) -> Column:
+def _email(canon: Column, seed: Column, key: str, attempt: Column) -> Column:
+    """From the fifth attempt on, where short names run out, digits are added to the name."""
     domain = F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     host = let(_seed(key, F.lit("domain"), domain, F.lit(0)), lambda own: _scrambled(labels, own))
-    return F.concat(_scrambled(F.substring_index(canon, "@", 1), seed), F.lit("@"), host, F.lit("."), top)
+    more = F.when(attempt >= 4, F.conv(F.substr(seed, F.lit(1), F.lit(6)), 16, 10)).otherwise("")
+    return F.concat(_scrambled(F.substring_index(canon, "@", 1), seed), more, F.lit("@"), host, F.lit("."), top)
 
 
 def _name(kind: Column, canon: Column, seed: Column, attempt: Column) -> Column:
@@ -144,7 +146,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         digits = let(_numbers(seed, F.length(canon)), lambda numbers: F.array_join(F.transform(F.slice(numbers, 1, F.length(canon)), lambda x: F.lower(F.hex(F.pmod(x, F.lit(16))))), ""))
         hexed = F.when(canon == F.upper(canon), F.upper(digits)).otherwise(digits)
         return (
-            F.when(kind == "email", _email(canon, seed, key))
+            F.when(kind == "email", _email(canon, seed, key, attempt))
             .when(kind == "ip", octets)
             .when(kind == "card", _card(canon, seed))
             .when((kind == "secret") & canon.rlike("^[0-9a-fA-F]+$"), hexed)
@@ -183,7 +185,8 @@ def _tokens(found: Column, kind: Column) -> Column:
 def _as_written(found: Column, kind: Column, made: Column) -> Column:
     """The surrogate parts in the format of the entity as it is in the text."""
     first = F.get(made, F.lit(0))
-    cased = F.array_join(F.zip_with(_chars(found), _chars(first), lambda c, m: F.when(c != F.lower(c), F.upper(m)).otherwise(m)), "")
+    cased = F.array_join(F.zip_with(_chars(found), _chars(first), lambda c, m: F.when(c.isNotNull() & (c != F.lower(c)), F.upper(m)).otherwise(m)), "")
+    cased = F.when(F.length(first) == F.length(found), cased).otherwise(first)
     before = lambda i: F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), r"\D", ""))
     filled = F.array_join(F.transform(_chars(found), lambda c, i: F.when(c.rlike(r"\d"), F.substr(first, before(i), F.lit(1))).otherwise(c)), "")
     names = F.concat(F.substring_index(found, " ", 1), F.lit(" "), F.array_join(F.transform(made, F.initcap), " "))

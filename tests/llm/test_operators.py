@@ -1,0 +1,359 @@
+"""Each operator against a plain version, on small rows with the odd cases in them."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("mailsieve.llm")
+from mailsieve.llm import chat, decontaminate, graph, jaccard, line_dedup, pieces, pii, quality, substring_dedup, toxicity, url_filter
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(LOREM) + str(r.randrange(50)) for _ in range(n))
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+ODD = [(100, None), (101, ""), (102, "   \n \t"), (103, "word " * 30_000), (None, "no id at all"), (104, "twice"), (104, "twice")]
+
+
+# -- decontamination
+
+
+def plain_hits(text, items, n=10):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    hit, found = set(), set()
+    for item, t in items:
+        if item is None or not t:
+            continue
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            g = w[k : k + n]
+            for i in range(len(words) - len(g) + 1):
+                if words[i : i + len(g)] == g:
+                    hit |= set(range(i, i + len(g)))
+                    found.add(str(item))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_chars", [64_000_000, 60])
+def test_decontamination(spark, block_chars):
+    bench = [(1, prose(1, 14)), (2, prose(2, 10)), (3, "Solo"), (4, "a b c"), (5, None), (6, "..."), (None, prose(1, 12)), (10, prose(1, 14))]
+    docs = [(1, prose(9, 30) + " " + prose(1, 14).upper() + "! " + prose(8, 5)), (2, "x SOLO y"), (3, "a, B; c a b c"), (4, prose(1, 9)), *ODD]
+    got = decontaminate.find_contamination(frame(spark, docs).withColumn("n_hit", F.lit("clash")), frame(spark, bench, "item_id long, text string"), block_chars=block_chars).collect()
+    assert len(got) == len(docs)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r.item_ids) for r in got) == sorted((d or -1, *plain_hits(t, bench)) for d, t in docs)
+    for r in got:
+        cut = "".join(r.text[a:b] for a, b in r.hit_spans)
+        assert len(decontaminate.words_of(" ".join(r.text[a:b] for a, b in r.hit_spans))) == r.n_hit, cut
+
+
+def test_decontamination_removes(spark):
+    bench = frame(spark, [(1, prose(1, 12))], "item_id long, text string")
+    docs = frame(spark, [(1, "héllo " + prose(1, 12) + " end"), (2, "clean")])
+    assert [r.doc_id for r in decontaminate.remove_contamination(docs, bench).collect()] == [2]
+    assert {r.doc_id: r.text for r in decontaminate.remove_contamination(docs, bench, mode="spans").collect()} == {1: "héllo  end", 2: "clean"}
+    none = bench.limit(0)
+    assert decontaminate.remove_contamination(docs, none).count() == 2
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+
+
+# -- line dedup
+
+
+def plain_lines(docs, min_chars=40, min_docs=5):
+    key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\r\x0b\x0c"))
+    rank = lambda d: -(2**63) if d is None else d
+    held = {}
+    for d, t in docs:
+        for x in (t or "").split("\n"):
+            held.setdefault(key(x), set()).add(rank(d))
+    common = {k: max(v) for k, v in held.items() if len(k) >= min_chars and len(v) >= min_docs}
+    out = []
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if common.get(key(x), rank(d)) == rank(d)]
+        out.append((rank(d), len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def test_line_dedup(spark):
+    same = "This line is shared by a good many documents, É."
+    docs = [(i, f"{same.upper().replace('É', 'É')}  \nown {i}\n\t{same}" if i < 7 else f"own {i}\n{prose(i, 3)}") for i in range(12)]
+    docs += [(20, "é" * 40 + "\nx"), *((30 + i, "é" * 40) for i in range(4)), (40, same), (40, same), *ODD]
+    got = line_dedup.dedup_lines(frame(spark, docs).withColumn("n_lines", F.lit(0))).collect()
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got) == plain_lines(docs)
+    assert line_dedup.dedup_lines(frame(spark, []).limit(0)).count() == 0
+
+
+# -- substring dedup
+
+
+def test_substring_dedup(spark):
+    p = " ".join(f"passage{i} word{i} here." if i % 9 == 8 else f"passage{i} word{i}" for i in range(40)) + "."
+    docs = [(3, f"Own start here. {p} Own end."), (1, f"first line\n{p}\nlast"), (2, p.upper()), (5, "short one."), (6, f"{prose(1, 9)}\n{prose(1, 9)}"), *ODD]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, docs)).collect()}
+    assert got[1].n_removed == 0 and got[1].text == docs[1][1]
+    assert got[2].text == "" and got[2].removed[0].first_doc == 1
+    assert "passage7" not in got[3].text and got[3].text.startswith("Own start here.") and got[3].text.endswith(" Own end.")
+    assert got[6].text == prose(1, 9) and got[100].text is None and got[104].text == "twice"
+    for d, t in docs:
+        r = got[d]
+        if t and d != 103:
+            spans = [(x.start, x.end) for x in r.removed] + [(x.start, x.end) for x in r.kept_spans]
+            assert "".join(t[a:b] for a, b in sorted(spans)) == t.replace("\n", "")
+            assert "".join(t[x.start : x.end] for x in r.kept_spans) == r.text.replace("\n", "")
+    ranked = substring_dedup.dedup_substrings(frame(spark, [(1, p, 9), (2, p, 1)], "doc_id long, text string, r int"), rank_col="r").collect()
+    assert {r.doc_id: r.text for r in ranked} == {1: "", 2: p}
+    assert substring_dedup.dedup_substrings(frame(spark, docs).limit(0)).count() == 0
+
+
+# -- Jaccard join
+
+
+def plain_components(docs, n=5):
+    sets = []
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append((2**63 - 1 if d is None else d, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()))
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                a_, b_ = find(a), find(b)
+                root[max(a_, b_)] = min(a_, b_)
+    # no loop, as roots only get smaller
+    null = lambda v: None if v == 2**63 - 1 else v
+    return sorted(((str(null(d)), len(s), str(null(find(d)))) for d, s in sets))
+
+
+def edited(text, seed, k):
+    r = random.Random(seed)
+    w = text.split()
+    for _ in range(k):
+        w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("heavy_min", [2, 10**9])
+def test_jaccard(spark, heavy_min):
+    docs = [(i, prose(i, 60)) for i in range(20)]
+    docs += [(100 + i, edited(prose(3, 60), i, 1 + i % 4)) for i in range(30)]
+    docs += [(200 + i, f"{prose(77, 40)} {prose(300 + i, 4 + i)}") for i in range(25)]  # one passage and a tail of its own
+    docs += [(300 + i, prose(5, 60).upper()) for i in range(5)] + [(400, "one two"), (401, "ONE  two"), (402, "one"), (50, prose(7, 60)), (50, prose(8, 60))]
+    docs += [(d if d is None or d < 100 else d + 900, t) for d, t in ODD]
+    got = jaccard.near_duplicates(frame(spark, docs), heavy_min=heavy_min, heavy_span=500).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(docs)
+
+
+def test_jaccard_empty(spark):
+    assert jaccard.near_duplicates(frame(spark, []).limit(0)).count() == 0
+    assert [tuple(r) for r in jaccard.near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_long_words_and_texts_hash_the_same():
+    h = jaccard._Hasher()
+    text = ("ab " * 400_000 + "x" * 2_000_000 + " end").encode()
+    assert len(h.words(text)) == 400_002 and len(set(h.words(text).tolist())) == 3
+
+
+def test_components(spark):
+    r = random.Random(4)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 100) for i in range(20)] + [(200 + i, 201 + i) for i in range(30)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.id: x.root for x in graph.components(frame(spark, links, "u long, v long")).collect()}
+    assert got == {x: root[x] for x in {y for a, b in links if a != b for y in (a, b)}}
+
+
+# -- toxicity
+
+
+def test_toxicity_learns_and_folds(spark):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        words = prose(1000 + i, 40).split() + (["vilest", "vileness"] * 2 if bad else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    labels += [(9999, 1), (None, 0), (5, None)]
+    lexicon = toxicity.fit(frame(spark, rows), frame(spark, labels, "doc_id long, toxic int"))
+    assert any(t.startswith("vile") for t in lexicon.terms) and len(lexicon.terms) <= 2000
+    cases = frame(spark, [(1, prose(5, 40) + " V1LEST vіlest vilest vilest"), (2, prose(6, 40)), (3, None), (4, "")]).withColumn("score", F.lit("x"))
+    got = {x.doc_id: x for x in toxicity.score(cases, lexicon).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == got[3].predicted == got[4].predicted == 0
+    assert all(0 <= x.score <= 1 for x in got.values())
+
+
+def test_toxicity_without_labels(spark):
+    lexicon = toxicity.fit(frame(spark, [(1, "a")]), frame(spark, [], "doc_id long, toxic int"))
+    assert [x.predicted for x in toxicity.score(frame(spark, [(1, "a"), (2, None)]), lexicon).collect()] == [1, 1]
+
+
+def test_exceptions_spare_hits():
+    model = toxicity.Lexicon({"trash": 3.0}, ["trash can"])
+    a = model.automaton()
+    assert toxicity.features(toxicity.fold("the trash can"), a)[2] == 0 and toxicity.features(toxicity.fold("such TR4SH"), a)[2] == 1
+
+
+# -- SentencePiece
+
+
+def brute(model, text, n):
+    part = "".join(model.parts(text))
+    into = model.edges(part)
+    paths = [[(0.0, ())]] + [[] for _ in part]
+    for e in range(1, len(part) + 1):
+        for start, s, ids in into[e]:
+            paths[e] += [(x + s, y + ids) for x, y in paths[start]]
+    return sorted(paths[-1], key=lambda x: (-x[0], x[1]))[:n] if part else []
+
+
+def test_pieces_against_all_paths():
+    model = pieces.PieceModel(open(MODEL, "rb").read(), 4)
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdethin .,\n漢é▁😀") for _ in range(r.randint(0, 9))) for _ in range(150)]
+    for text, (ids, score, others) in zip(texts, model.encode_all(texts), strict=True):
+        want = brute(model, text, 4)
+        assert [round(x, 6) for x in [score, *(o[0] for o in others)]] == [round(x[0], 6) for x in want] if want else ids == []
+        every = [ids, *(pieces.applied(ids, c) for _, c in others)]
+        assert all(model.decode(x) == text for x in every) and len({tuple(x) for x in every}) == len(every)
+
+
+def test_pieces_frame(spark):
+    docs = frame(spark, [(1, "Hello  world.\n"), (2, "x" * 300), *ODD]).withColumn("ids", F.lit(1))
+    out = pieces.decode(pieces.encode(docs, MODEL), MODEL).collect()
+    assert len(out) == 2 + len(ODD) and all((r.text or "") == r.decoded for r in out)
+
+
+# -- chat
+
+
+TURNS = [(1, 0, "system", "Be <|im_end|>\n kind \\ \\<"), (1, 1, "user", "</s>[INST] a"), (1, 2, "assistant", "<|im_start|>\\"), (2, 0, "assistant", "first"), (3, 1, "user", None), (3, 0, None, "x"), (4, 0, "user", "a"), (4, 0, "user", "a"), (None, None, "user", "lost"), (5, 0, "system", "only")]
+
+
+@pytest.mark.parametrize("turns_per_part", [256, 1])
+def test_chat_reads_back(spark, turns_per_part):
+    rows = TURNS + [(6, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(600)]
+    df = frame(spark, rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_conversations(df, turns_per_part=turns_per_part)
+    got = {r.conv_id: r for r in out.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.loss_text(F.col("segments"))}).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        assert [(t.role, t.text) for t in got[c].turns] == [(r[2] or "", r[3] or "") for r in own]
+        assert got[c].loss == "".join(r[3] or "" for r in own if r[2] == "assistant")
+        body = got[c].formatted.replace("<|im_start|>", "").replace("<|im_sep|>", "").replace("<|im_end|>", "")
+        assert "</s>" not in body and "[INST]" not in body and got[c].formatted.count("<|im_end|>") == len(own)
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: True, 5: False, 6: True}
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+# -- url filter
+
+
+def test_urls(spark):
+    pages = [(1, "http://a.EXAMPLE.net/en/x?y"), (2, "https://example.net/fr"), (3, "http://b.example.com/de/1"), (4, "http://x.org/fr/#t"), (5, "http://x.org"), (6, None), (7, "no scheme"), (8, "http://notexample.net/en/"), (9, "ftp://q.io/p://z/"), (1, "http://a.EXAMPLE.net/en/x?y")]
+    rules = frame(spark, [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")], "rule string, verdict string")
+    good = frame(spark, [(9, 0), (9, None), (5, 1)], "page_id long, good int")
+    got = sorted({tuple(r) for r in url_filter.judge(frame(spark, pages, "page_id long, url string").withColumn("rule", F.lit(1)), good, rules).select("page_id", "host", "path", "rule").collect()}, key=str)
+    assert got == [
+        (1, "a.example.net", "/en/x", "example.net/en/"), (2, "example.net", "/fr", "net/"), (3, "b.example.com", "/de/1", "example.com/de/"), (4, "x.org", "/fr/", "org/fr/"), (5, "x.org", "", None),
+        (6, "", "", None), (7, "", "", None), (8, "notexample.net", "/en/", "net/"), (9, "q.io", "/p://z/", None),
+    ]
+    assert url_filter.judge(frame(spark, [], "page_id long, url string"), good, rules).count() == 0
+
+
+def test_reputation_blocks_bad_hosts(spark):
+    rows = [(i, f"http://bad.example.com/{i}", 0) for i in range(60)] + [(100 + i, f"http://good.example.org/{i}", 1) for i in range(60)] + [(500, "http://new.example.org/", None)]
+    df = frame(spark, rows, "page_id long, url string, good int")
+    rules = frame(spark, [], "rule string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df.drop("good"), df.select("page_id", "good"), rules).collect()}
+    assert got[0] == "block" and got[100] == "allow"
+
+
+# -- quality
+
+
+def test_quality_measures(spark):
+    text = "a b c d e f g h i\na b c d e f g h i\nx # y\n\nx # y"
+    n, chars, symbols, dup, repeat, failed, lost, keep, clean = quality.measure(text, min_words=20, max_repeat=0.3, max_lost=0.3)
+    words = text.split()
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    spots = {p for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for p in range(i, i + 8)}
+    assert (n, chars, symbols, dup, repeat) == (len(words), sum(map(len, words)), 2, 2, len(spots)) and failed and not keep
+    good = prose(1, 60) + ".\n" + prose(2, 30) + "."
+    menu = " | ".join(prose(3, 40).split())
+    shout = " ".join(w.upper() + "!!" for w in prose(4, 40).split())
+    odd = " ".join(w + "***" for w in prose(5, 40).split())
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, [(1, good), (2, menu), (3, shout), (4, odd), (5, good + "\nLicensed under X 2.0."), *ODD])).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4, 5, 100, 101, 103)] == [True, False, False, False, True, False, False, False]
+    assert got[5].clean_text == good and got[100].clean_text is None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_words(seed):
+    r = random.Random(seed)
+    words = [r.choice("ab").encode() for _ in range(60)]
+    grams = Counter(tuple(words[i : i + 8]) for i in range(53))
+    assert quality.repeated_words(words) == len({p for i in range(53) if grams[tuple(words[i : i + 8])] > 1 for p in range(i, i + 8)})
+
+
+# -- personal data
+
+
+def test_surrogates(spark):
+    docs = [
+        (1, "Write to und.34@Mail7.example.com or 169.122.221.182, call +1 (377) 555-0271. Card 4111 1111 1111 1111! Mr John Smith met Mrs. Anna Berg."),
+        (2, "und.34@mail7.example.com, Mr. Smith and +13775550271; 9233A8ECF7C5B09FE5949719B6B82BC439E9329B; 4111111111111111; госпожа Иванова"),
+        (5, "nothing 12 here, 1.5"), *ODD,
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(frame(spark, docs).withColumn("entities", F.lit(1)), "key").collect()}
+    a, b = got[1], got[2]
+    assert a.entities == ["email", "ip", "phone", "card", "person", "person"] and b.entities == ["email", "person", "phone", "secret", "card", "person"]
+    for original in ("und.34@", "169.122", "555-0271", "4111", "Smith", "Anna", "Berg", "9233A8", "Иванова", "3775550271"):
+        assert original.lower() not in a.text.lower() + b.text.lower()
+    mail_a, mail_b = (re.search(r"\S+@\S+\w", x.text)[0] for x in (a, b))
+    assert mail_a.lower() == mail_b and mail_b.endswith(".com")
+    phone = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", a.text)[0]
+    assert re.sub(r"\D", "", phone) == re.search(r"and \+(\d{11})", b.text)[1]
+    card = re.search(r"Card (\d{4} \d{4} \d{4} \d{4})", a.text)[1].replace(" ", "")
+    assert card in b.text and sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, card))) % 10 == 0
+    assert re.search(r"Mr \w+ (\w+)", a.text)[1] == re.search(r"Mr\. (\w+)", b.text)[1] and re.search(r"госпожа [А-Я][а-я]+", b.text)
+    assert [got[d].text for d, t in docs[2:] if d] == [t for d, t in docs[2:] if d] and got[100].entities == []
+    other = {r.doc_id: r.text for r in pii.pseudonymize(frame(spark, docs), "another key").collect()}
+    assert other[1] != a.text
+
+
+def test_surrogates_stay_distinct(spark):
+    """Two-digit parts leave few surrogates, so that many collide at first."""
+    rows = [("email", f"{a}@x.com") for a in "abcdefghijklmnopqrstuvwxy"]
+    later = pii.later_attempts(frame(spark, rows, "kind string, canon string"), "key")
+    own = {r.canon: r.attempt for r in later.collect()}
+    assert own
+    all_rows = frame(spark, [(k, c, own.get(c, 0)) for k, c in rows], "kind string, canon string, attempt int")
+    made = [r.s for r in all_rows.select(pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "key").alias("s")).collect()]
+    assert len(set(made)) == len(rows)
+
+
+def test_digest_of_items():
+    assert decontaminate.digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
