@@ -16,6 +16,11 @@ HIRAGANA = r"\x{3041}-\x{3096}\x{3099}-\x{30A0}\x{30FC}\x{FF70}\x{1B001}\x{1B11F
 KATAKANA = r"\x{30A1}-\x{30FB}\x{30FD}-\x{30FF}\x{31F0}-\x{31FF}\x{32D0}-\x{32FE}\x{FF65}-\x{FF6F}\x{FF71}-\x{FF9F}\x{1B000}\x{1B120}-\x{1B122}\x{1B155}\x{1B164}-\x{1B167}\x{1F201}-\x{1F202}\x{1F213}"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
 
@@ -35,9 +40,9 @@ def split_lines(text: Column) -> Column:
 
 def trim_blank_lines(lines: Column) -> Column:
     """Stripped lines without the empty ones at both ends; those between stay."""
-    full = F.transform(lines, lambda x, i: F.when(x != "", i))
-    first, last = F.array_min(full), F.array_max(full)
-    return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(lines, first + 1, last - first + 1))
+    ends = lambda ls: F.transform(ls, lambda x, i: F.when(x != "", i))
+    cut = lambda ls, full: F.when(F.array_min(full).isNull(), F.array().cast("array<string>")).otherwise(F.slice(ls, F.array_min(full) + 1, F.array_max(full) - F.array_min(full) + 1))
+    return let(lines, lambda ls: let(ends(ls), lambda full: cut(ls, full)))
 
 
 def class_ratios(text: Column) -> dict[str, Column]:

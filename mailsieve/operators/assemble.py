@@ -11,21 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..schema import CONTENT_LABELS
 
 
 def assembled(lines: Column) -> Column:
     """From an array of ``text``, ``label`` and ``is_blank`` (all lines): ``body_text``, ``body_lines``, ``signature_index``,
     ``inline_quote_count`` and ``success``."""
+    return let(lines, _assembled)
+
+
+def _assembled(lines: Column) -> Column:
     at = lambda test: F.transform(lines, lambda x, i: F.when(test(x, i), i))
     signature = F.array_min(at(lambda x, i: (x["label"] == "SIGNATURE") & ~x["is_blank"]))
-    end = F.coalesce(signature, F.size(lines))
-    inside = at(lambda x, i: x["label"].isin(*CONTENT_LABELS) & ~x["is_blank"] & (i < end))
+    inside = lambda end: at(lambda x, i: x["label"].isin(*CONTENT_LABELS) & ~x["is_blank"] & (i < end))
 
     def body(places: Column) -> Column:
-        first, last = places["first"], places["last"]
-        quotes = at(lambda x, i: (x["label"] == "QUOTE") & ~x["is_blank"])
+        first, last, quotes = F.array_min(places["inside"]), F.array_max(places["inside"]), places["quotes"]
         start = F.coalesce(F.array_max(F.filter(quotes, lambda q: q < first)) + 1, F.lit(0))
         text = F.array_join(F.slice(lines, start + 1, last - start + 1)["text"], "\n")
         found = F.struct(
@@ -38,8 +40,9 @@ def assembled(lines: Column) -> Column:
         none = F.struct(F.lit("").alias("body_text"), F.array().cast("array<int>").alias("body_lines"), places["signature"].alias("signature_index"), F.lit(0).alias("inline_quote_count"), F.lit(False).alias("success"))
         return F.when(first.isNotNull(), found).otherwise(none)
 
-    places = F.struct(F.array_min(inside).alias("first"), F.array_max(inside).alias("last"), signature.alias("signature"))
-    return F.get(F.transform(F.array(places), body), F.lit(0))
+    quotes = at(lambda x, i: (x["label"] == "QUOTE") & ~x["is_blank"])
+    places = lambda s: F.struct(inside(F.coalesce(s, F.size(lines))).alias("inside"), quotes.alias("quotes"), s.alias("signature"))
+    return let(signature, lambda s: let(places(s), body))
 
 
 def assembled_rows(lines: DataFrame, key: str = "mail_id") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def similar(a: str, b: str) -> bool:
     """Two separators of the same characters, with lengths and counts that differ by one at most."""
@@ -79,12 +81,18 @@ def repaired(labels: list[str], separators: Sequence[bool]) -> list[str]:
 
 def repaired_native(labels: Column, separators: Column) -> Column:
     """``repaired`` as an expression over two arrays."""
-    first = F.transform(
-        labels,
-        lambda x, i: F.when((x == "CLOSING") & F.get(separators, i), F.when(F.get(labels, i + 1) == "SIGNATURE", "SIGNATURE").otherwise("BODY")).otherwise(x),
-    )
-    second = F.transform(first, lambda x, i: F.when((x == "CLOSING") & (i > 0) & F.array_contains(F.slice(first, 1, F.greatest(i, F.lit(1))), "SIGNATURE"), "SIGNATURE").otherwise(x))
-    return F.when(F.size(labels) < 2, labels).otherwise(second)
+
+    def both(x: Column) -> Column:
+        ys, marks = x["ys"], x["marks"]
+        after = lambda y, i: F.when(F.get(ys, i + 1) == "SIGNATURE", "SIGNATURE").otherwise("BODY")
+        first = F.transform(ys, lambda y, i: F.when((y == "CLOSING") & F.get(marks, i), after(y, i)).otherwise(y))
+        return F.when(F.size(ys) < 2, ys).otherwise(let(first, late))
+
+    def late(ys: Column) -> Column:
+        signed = F.array_position(ys, "SIGNATURE")  # from 1, 0 if there is none
+        return F.transform(ys, lambda y, i: F.when((y == "CLOSING") & (signed > 0) & (i >= signed), "SIGNATURE").otherwise(y))
+
+    return let(F.struct(labels.alias("ys"), separators.alias("marks")), both)
 
 
 def bracket_flags(texts: Column, separators: Column, signature: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import is_blank, let
 
 
 def content(lines: Column) -> Column:
@@ -22,13 +22,16 @@ def content(lines: Column) -> Column:
 def with_gaps(full: Column, n_lines: Column) -> Column:
     """Adds to each content line how many blank ones are before and after it."""
 
-    def one(x: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(full, i - 1)["original_index"], F.lit(-1))
-        after = F.coalesce(F.get(full, i + 1)["original_index"], n_lines)
-        at = x["original_index"]
-        return F.struct(x["text"].alias("text"), at.alias("original_index"), (at - before - 1).alias("blank_lines_before"), (after - at - 1).alias("blank_lines_after"))
+    def all_of(full: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(full, i - 1)["original_index"], F.lit(-1))
+            after = F.coalesce(F.get(full, i + 1)["original_index"], n_lines)
+            at = x["original_index"]
+            return F.struct(x["text"].alias("text"), at.alias("original_index"), (at - before - 1).alias("blank_lines_before"), (after - at - 1).alias("blank_lines_after"))
 
-    return F.transform(full, one)
+        return F.transform(full, one)
+
+    return let(full, all_of)
 
 
 def blank_map(lines: Column) -> Column:
@@ -43,24 +46,31 @@ def explode_lines(mails: DataFrame, lines: str = "lines", *keep: str) -> DataFra
     return mails.select(*keep, F.posexplode(lines).alias("pos", "text"))
 
 
+def _places(lines: Column) -> Column:
+    """After one -1: the place of each line among the content lines; a blank one has that of the line before."""
+    start = F.array(F.lit(-1))
+    return F.aggregate(lines, start, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.when(is_blank(x), 0).otherwise(1)))
+
+
 def reconstruct(lines: Column, labeled: Column) -> Column:
     """All lines of a mail with the labels of the content lines (in their order): a blank line takes the label
     before it, and has no confidence and no probabilities."""
-    flags = F.transform(lines, lambda x: (~is_blank(x)).cast("int"))
-
-    def one(x: Column, i: Column) -> Column:
-        k = F.aggregate(F.slice(flags, 1, i + 1), F.lit(0), lambda a, b: a + b)
-        found, blank = F.get(labeled, k - 1), is_blank(x)
-        return F.struct(
-            x.alias("text"),
-            i.alias("original_index"),
-            blank.alias("is_blank"),
-            found["label"].alias("label"),
-            F.when(~blank, found["confidence"]).alias("confidence"),
-            F.when(~blank, found["label_probabilities"]).alias("label_probabilities"),
-        )
-
-    return F.transform(lines, one)
+    def all_of(known: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            found, blank = F.when(F.get(known["places"], i + 1) >= 0, F.get(known["labeled"], F.get(known["places"], i + 1))), is_blank(x)
+            return F.struct(
+                x.alias("text"),
+                i.alias("original_index"),
+                blank.alias("is_blank"),
+                found["label"].alias("label"),
+                F.when(~blank, found["confidence"]).alias("confidence"),
+                F.when(~blank, found["label_probabilities"]).alias("label_probabilities"),
+            )
+
+        return F.transform(known["lines"], one)
+
+    whole = F.struct(lines.alias("lines"), labeled.alias("labeled"))
+    return let(whole, lambda k: let(F.struct(k["lines"].alias("lines"), k["labeled"].alias("labeled"), _places(k["lines"]).alias("places")), all_of))
 
 
 def reconstruct_rows(lines: DataFrame, labeled: DataFrame, key: str = "mail_id") -> DataFrame:
