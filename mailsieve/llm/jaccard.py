@@ -292,8 +292,12 @@ def near_duplicates(
     y = light.select("g", F.col("part").alias("other"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
     few = x.join(y, (x.g == y.g) & (F.col("part") < F.col("other")) & _sizes_fit(t)).select("x1", "xm", "xl", "y1", "ym", "yl")
     # a heavy n-gram may be in very many sets: only its components are paired, and their members where they can be similar
-    groups = heavy_rows.groupBy("g", "part").agg(F.lit(1).alias("one")).drop("one")
-    across = groups.join(groups.select("g", F.col("part").alias("other")), "g").where("part < other")
+    left = _left("meta", "lead")
+    groups = heavy_rows.groupBy("g", "part").agg(F.max(left).alias("most"), F.min(_size("meta")).alias("low"), F.max(_size("meta")).alias("high"))
+    others = groups.select(F.col("g").alias("og"), F.col("part").alias("other"), F.col("most").alias("omost"), F.col("low").alias("olow"), F.col("high").alias("ohigh"))
+    can = F.least("most", "omost") >= F.ceil((F.col("low") + F.col("olow")) * t.numerator / (t.numerator + t.denominator))
+    near = (F.col("high") * t.denominator >= F.col("olow") * t.numerator) & (F.col("ohigh") * t.denominator >= F.col("low") * t.numerator)
+    across = groups.join(others, (F.col("g") == F.col("og")) & (F.col("part") < F.col("other")) & can & near).select("g", "part", "other")
     x = heavy_rows.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"))
     y = heavy_rows.select(F.col("g").alias("yg"), F.col("part").alias("other_part"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
     many = across.join(x, ["g", "part"])
