@@ -85,7 +85,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = substring_dedup.dedup_substrings(docs)
+    out = substring_dedup.dedup_substrings(docs, min_chars=None)  # the units that the SQL has: lines and sentences of 8 words
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"], s["first_doc"])), ",")
     return out.select("doc_id", "n_units", "n_removed", cut.alias("removed_chars"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

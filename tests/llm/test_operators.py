@@ -118,6 +118,31 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_substrings(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_short_lines_and_sentences(spark):
+    """Passages whose lines and sentences all have fewer than 8 words, or no spaces."""
+    verse = "\n".join(f"verse{i} goes word{i} on" for i in range(20))
+    talk = " ".join(f"Said{i} he{i}." for i in range(30))
+    chinese = "".join(f"第{i}句话说明了一件完全不同的事情。" for i in range(20))
+    thai = "ข้อความภาษาไทยที่ไม่มีช่องว่าง" * 6
+    docs = [
+        (1, f"Title one\n{verse}\nend one"), (2, f"{prose(1, 9)}\nAnother title\n{verse}\n\nquite another end"),
+        (3, f"{prose(2, 9)}. {talk} {prose(3, 9)}."), (4, f"{prose(4, 9)}. Yes. {talk} {prose(5, 9)}."),
+        (5, chinese), (6, chinese), (7, f"完全不同的开头在这里。{chinese}"), (8, thai), (9, thai), (10, "short one\nshort two"), (11, "short one\nshort two"), (12, "la la la\n" * 100), *ODD,
+    ]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, docs)).collect()}
+    text = dict(docs)
+    assert all(got[d].text == text[d] and not got[d].n_removed for d in (1, 3, 5, 8, 10, 11, 100, 101, 102, 104))
+    assert got[2].text == f"{prose(1, 9)}\nAnother title\n\nquite another end" and {x.first_doc for x in got[2].removed} == {1}
+    assert got[4].text.split() == f"{prose(4, 9)}. Yes. {prose(5, 9)}.".split()
+    assert got[6].text == "" and got[9].text == "" and got[7].text == "完全不同的开头在这里。"
+    assert 80 <= len(got[12].text) < 200 and set(got[12].text.split()) == {"la"}
+    for d, t in docs:
+        if t and d not in (None, 103):
+            spans = [(x.start, x.end) for x in got[d].removed] + [(x.start, x.end) for x in got[d].kept_spans]
+            assert "".join(t[a:b] for a, b in sorted(spans)) == t.replace("\n", ""), d
+            assert "".join(t[x.start : x.end] for x in got[d].kept_spans) == got[d].text.replace("\n", ""), d
+
+
 # -- Jaccard join
 
 
