@@ -9,7 +9,9 @@ logistic curve.
 
 The lexicon, its exceptions and the curve are learned by ``fit`` from at most
 ``max_rows`` labelled documents, those with the smallest hash of their id.  The
-model has at most ``max_terms`` entries, so that it can be broadcast.
+model has at most ``max_terms`` entries, so that it can be broadcast.  Of copies
+and near copies with one label only the row with the smallest id teaches; the
+lexicon says how many rows were ``left_out`` for that.
 
 Defined cases: a null or empty text has no hits and gets the score of a text
 without words; labels that are null or whose document is missing are not used;
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -67,6 +70,7 @@ class Lexicon:
     exceptions: list[str] = field(default_factory=list)
     curve: list[float] = field(default_factory=list)
     base: float = 0.0
+    left_out: int = 0
 
     def automaton(self) -> ahocorasick.Automaton | None:
         """Keys start with the space before a word; an exception's weight is None."""
@@ -127,6 +131,65 @@ def _counts(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
     return rows.groupBy("term").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(y = 0, n, 0)")).alias("n0"))
 
 
+#: Words of a shingle, hashes of a sketch, and the similarity from which a text is a near copy.
+SHINGLE, SKETCH, NEAR = 5, 64, 0.75
+
+
+def _sketch(text: str | None) -> np.ndarray:
+    """The smallest hashes of the shingles of the whole text, in order; all of them if they are few."""
+    words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in fold(text).split()], np.uint64)
+    size = min(SHINGLE, len(words))
+    h = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        h = (h ^ words[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)[:SKETCH]
+
+
+def _firsts(sketches: list[np.ndarray]) -> list[int]:
+    """The places of the sketches that are no near copy of one before."""
+    kept: list[int] = []
+    having: dict[int, list[int]] = {}
+    empty = False
+    for i, own in enumerate(sketches):
+        if not len(own):
+            if not empty:
+                kept.append(i)
+            empty = True
+            continue
+        near = [np.array(having[h]) for h in own.tolist() if h in having]
+        if near:
+            others, shared = np.unique(np.concatenate(near), return_counts=True)
+            # the smallest hashes of the union are a sample of it: the share found in both estimates the similarity
+            if any(
+                np.isin(union := np.union1d(own, sketches[j])[:SKETCH], np.intersect1d(own, sketches[j])).sum() >= NEAR * len(union)
+                for j in others[shared >= NEAR * len(own)].tolist()
+            ):
+                continue
+        kept.append(i)
+        for h in own.tolist():
+            having.setdefault(h, []).append(i)
+    return kept
+
+
+def _without_copies(sample: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of a written sample (``row``, ``id``, ``y``, ``text``) without near copies of one label, and how many went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 500):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([_sketch(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["row", "sketch"])
+
+    sketches = sample.select("row", "text").mapInArrow(run, "row long, sketch binary")
+    rows = sorted(sample.select("row", "id", "y").join(sketches, "row").collect(), key=lambda r: (r.id, r.row))
+    kept: list[int] = []
+    for y in (0, 1):
+        own = [r for r in rows if r.y == y]
+        kept += [own[i].row for i in _firsts([np.frombuffer(r.sketch, np.uint64) for r in own])]
+    ids = sample.sparkSession.createDataFrame([(k,) for k in kept], "row long")
+    return sample.join(F.broadcast(ids), "row"), len(rows) - len(kept)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -140,26 +203,25 @@ def fit(
     max_terms: int = 2_000,
     prefix: tuple[int, int] = (4, 10),
 ) -> Lexicon:
-    """Learn from the labelled rows whose id is ``usable``; odd hashes make the lexicon, even ones the curve."""
+    """Learn from the labelled rows whose id is ``usable``; odd hashes make the lexicon, even ones the curve.
+
+    At most ``max_rows`` rows are taken, and of these the copies and near copies of a row with the same label and a
+    smaller id are left out: those that share about ``NEAR`` of the shingles of the whole text, by ``SKETCH`` of their hashes."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if usable is not None:
         ids = ids.where(usable(F.col("id")))
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(ids), "id")
-    # copies and near copies of one text would make its own words look like a lexicon: of texts with
-    # the same start or the same end, the one with the smallest id stays
-    sample = written(sample, "toxicity-sample")
-    for end in ("left", "right"):
-        first = sample.groupBy(F.expr(f"xxhash64({end}(text, 80))").alias("e")).agg(F.min("id").alias("id")).select("id")
-        sample = sample.join(first, "id")
+    # copies and near copies of one text would make its own words look like a lexicon
+    sample, left_out = _without_copies(written(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample"))
     sample = written(sample, "toxicity-sample")
     n = {(r.part, r.y): r["count"] for r in sample.groupBy(F.expr("pmod(h, 2)").alias("part"), "y").count().collect()}
     n1, n0 = (n.get((1, y), 0) for y in (1, 0))
     all1, all0 = (sum(v for (_, k), v in n.items() if k == y) for y in (1, 0))
     base = math.log((all1 + 1) / (all0 + 1))
     if not (n1 and n0 and n.get((0, 1)) and n.get((0, 0))):
-        return Lexicon({}, list(exceptions), [], base)
+        return Lexicon({}, list(exceptions), [], base, left_out)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("n0") + 0.5))
     counted = _counts(sample.where(F.expr("pmod(h, 2) = 1")), *prefix).withColumn("w", odds)
     strong = counted.where((F.col("n1") >= max(5, n1 // 100)) & (F.col("w") >= 2.5)).withColumn("gain", F.col("w") * F.sqrt("n1")).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
@@ -172,7 +234,7 @@ def fit(
         found = [r.term.strip() for r in harmless.orderBy(F.desc("n0"), "term").limit(max_terms).collect()]
     else:
         found = []
-    lexicon = Lexicon(terms, [*exceptions, *found], [], base)
+    lexicon = Lexicon(terms, [*exceptions, *found], [], base, left_out)
     seen = _features_of(sample.where(F.expr("pmod(h, 2) = 0")).select("text", "y"), lexicon, "text").select("x", "y").collect()
     lexicon.curve = _logistic(np.array([r.x for r in seen]), np.array([r.y for r in seen], float)).tolist()
     return lexicon

@@ -230,6 +230,23 @@ def test_toxicity_learns_and_folds(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_toxicity_learns_from_texts_with_one_header_and_footer(spark):
+    """Only copies and near copies of the whole text are left out, per label."""
+    r = random.Random(3)
+    head, foot = prose(7001, 20), prose(7002, 20)
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(8000 + i, 120).split() + (["vilest", "vileness"] * 2 if i % 4 == 0 else [])
+        r.shuffle(words)
+        rows.append((i, " ".join([head, *words, foot])))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, rows[0][1]), (1001, rows[0][1] + " more"), (1002, rows[0][1]), (1003, None), (1004, "")]
+    labels += [(1000, 1), (1001, 1), (1002, 0), (1003, 0), (1004, 0)]
+    lexicon = toxicity.fit(frame(spark, rows), frame(spark, labels, "doc_id long, toxic int"))
+    assert lexicon.left_out == 3  # 1000 and 1001, and one of the two texts without words
+    assert lexicon.curve and any(t.startswith("vile") for t in lexicon.terms)
+
+
 def test_toxicity_without_labels(spark):
     lexicon = toxicity.fit(frame(spark, [(1, "a")]), frame(spark, [], "doc_id long, toxic int"))
     assert [x.predicted for x in toxicity.score(frame(spark, [(1, "a"), (2, None)]), lexicon).collect()] == [1, 1]
