@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: case, full-width forms, look-alike letters of other
-scripts, and digits or signs that stand for letters inside a word.  An
+scripts, and digits or signs that stand for letters inside a word.  Those at
+the start or end of a word may as well be a mark, a number or the end of a
+sentence, so such a word is read both ways.  An
 Aho-Corasick automaton then finds the entries of the lexicon at the start of
 words; a hit inside an exception phrase does not count.  The weights found are
 normalised by the length of the text and become a probability through a
@@ -50,6 +52,10 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "idiot proof", "clow
 
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "！-～]")
 _MIXED = re.compile(r"(?<=[^\W\d_])[013457 8@$!|]*[013457 8@$!|](?=[^\W\d_])".replace(" ", ""))
+#: Words with digits or signs before or after them that may stand for letters.
+_EDGED = re.compile(r"(?<![^\W_])([013457 8@$!|]{0,3})([^\W\d_](?:[^\W_]*[^\W\d_])?)([013457 8@$!|]*)(?![^\W_])".replace(" ", ""))
+#: So many signs at either end of a word can be letters.
+EDGE = 3
 _GLYPHS = str.maketrans(HOMOGLYPHS | {chr(c): chr(c - 0xFEE0).lower() for c in range(0xFF01, 0xFF5F)})
 _SIGNS = str.maketrans(SUBSTITUTES)
 _GAPS = re.compile(r"[\W\d_]+")
@@ -57,11 +63,19 @@ _GAPS = re.compile(r"[\W\d_]+")
 
 def fold(text: str | None) -> str:
     """The folded words of a text, each with one space before and after it."""
+    return f" {_GAPS.sub(' ', _inner(text)).strip()} "
+
+
+def _inner(text: str | None) -> str:
     t = (text or "").lower()
     if not t.isascii() and _ODD.search(t):
         t = t.translate(_GLYPHS)
-    t = _MIXED.sub(lambda m: m[0].translate(_SIGNS), t)
-    return f" {_GAPS.sub(' ', t).strip()} "
+    return _MIXED.sub(lambda m: m[0].translate(_SIGNS), t)
+
+
+def edged(text: str | None) -> list[tuple[str, str, str]]:
+    """The words of a text with signs before or after them: these signs as letters, and the word."""
+    return [(before.translate(_SIGNS), word, after.translate(_SIGNS)) for before, word, after in _EDGED.findall(_inner(text)) if before or after]
 
 
 @dataclass
@@ -89,7 +103,20 @@ class Lexicon:
 N_FEATURES = 4
 
 
-def features(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float, ...]:
+def _weight(word: str, automaton: ahocorasick.Automaton) -> float:
+    """Of the heaviest entry that a single word starts with."""
+    return max((w for end, (size, w) in automaton.iter(f" {word} ") if w is not None and end - size + 1 == 0), default=0.0)
+
+
+def _edge_weight(before: str, word: str, after: str, automaton: ahocorasick.Automaton) -> float:
+    """Of the heaviest reading of a word with signs at its edges that stand for letters; 0 if it is a hit without them."""
+    if _weight(word, automaton):
+        return 0.0
+    starts = [before[i:] for i in range(max(0, len(before) - EDGE), len(before) + 1)]
+    return max(_weight(start + word + after[:j], automaton) for start in starts for j in range(min(EDGE, len(after)) + 1))
+
+
+def features(folded: str, automaton: ahocorasick.Automaton | None, edges: list[tuple[str, str, str]] | tuple = ()) -> tuple[float, ...]:
     n = folded.count(" ") - 1 if len(folded) > 2 else 0
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
@@ -102,6 +129,10 @@ def features(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[floa
     for a, b in spared:
         for start in [s for s in best if a <= s < b]:
             del best[start]
+    if automaton is not None:
+        for k, edge in enumerate(edges):
+            if weight := _edge_weight(*edge, automaton):
+                best[-1 - k] = weight
     total = sum(best.values())
     return math.log(1e-3 + total / (n + 5)), math.log1p(total), float(min(len(best), 3)), math.log1p(n)
 
@@ -259,7 +290,7 @@ def _features_of(docs: DataFrame, lexicon: Lexicon, text_col: str) -> DataFrame:
 
     def make() -> Callable:
         automaton = shared.value.automaton()
-        return lambda columns: [[list(features(fold(t), automaton)) for t in columns[0]]]
+        return lambda columns: [[list(features(fold(t), automaton, edged(t))) for t in columns[0]]]
 
     return with_columns_from(docs, [("x", T.ArrayType(T.DoubleType()))], [text_col], make)
 
@@ -277,7 +308,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshol
             for text in columns[0]:
                 z = model.base
                 if model.curve:
-                    z = sum(a * b for a, b in zip(model.curve, (*features(fold(text), automaton), 1.0), strict=True))
+                    z = sum(a * b for a, b in zip(model.curve, (*features(fold(text), automaton, edged(text)), 1.0), strict=True))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             return [scores, [int(s >= threshold) for s in scores]]
 

@@ -258,6 +258,15 @@ def test_exceptions_spare_hits():
     assert toxicity.features(toxicity.fold("the trash can"), a)[2] == 0 and toxicity.features(toxicity.fold("such TR4SH"), a)[2] == 1
 
 
+def test_signs_at_the_edges_of_words():
+    model = toxicity.Lexicon({"stupid": 3.0, "idiot": 3.0, "ass ": 3.0, "trash": 3.0}, ["trash can"])
+    a = model.automaton()
+    hits = lambda text: toxicity.features(toxicity.fold(text), a, toxicity.edged(text))[2]
+    assert [hits(t) for t in ("$tupid", "so 1diot!", "an @ss.", "an a$$!", "@$$", "$tup1d 1D10T", "＄tupid")] == [1, 1, 1, 1, 0, 2, 1]
+    assert [hits(t) for t in ("idiot!", "@idiot", "!!idiot!!", "an ass!", "100 idiots")] == [1] * 5
+    assert [hits(t) for t in ("the trash can!", "trash! can", "5kg @home win!", "class!", "$5 and 1st", None, "")] == [0] * 7
+
+
 # -- SentencePiece
 
 
