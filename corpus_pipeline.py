@@ -31,11 +31,26 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return _one_row_of_each_group(docs)
     found = jaccard.near_duplicates(docs)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return without(docs, written(gone, "near-gone"), "doc_id")
 
 
+def _one_row_of_each_group(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat or are null: each row is a document of its own, of equal ids one row stays, and null ids
+    come last.  Texts without words are near duplicates only of those with the same id."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = written(jaccard.near_duplicates(rows.select("__row", "text"), id_col="__row"), "near-found")
+    empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = F.struct(empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("of"))
+    grouped = rows.select("__row", "doc_id").join(found, "__row").select("__row", "doc_id", group.alias("group"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"), F.count("*").alias("n"))
+    gone = grouped.join(first.where("n > 1"), "group").where("__row != first.__row").select("__row")
+    return without(rows, written(gone, "near-gone"), "__row").drop("__row")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))

@@ -49,3 +49,13 @@ def test_pipeline(spark, tmp_path):
     assert set(got["sentencepiece"]) == set(got["decontamination"]) and all(r.round_trip for r in got["sentencepiece"].values())
     want = sorted((r.doc_id, r.ids_sha256) for r in got["sentencepiece"].values())
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", F.col("ids_sha256")).collect()) == want
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
+    a, b, c, d = (prose(5000 + i, 60) for i in range(4))
+    rows = [(1, a), (1, a), (2, a + " more"), (3, b), (3, c), (None, c), (None, d), (None, d), (None, prose(5010, 60)), (4, prose(5011, 60)), (5, ""), (5, ""), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(1, a), (3, b), (3, c), (None, d), (None, prose(5010, 60)), (4, prose(5011, 60)), (5, ""), (6, None), (7, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
