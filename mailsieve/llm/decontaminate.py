@@ -64,7 +64,7 @@ class WindowIndex:
         for i in [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in anchors]:
             for at, length in anchors[words[i], words[i + 1]]:
                 start = i - at
-                if start >= 0 and (items := windows.get(tuple(words[start : start + length]))):
+                if 0 <= start <= len(words) - length and (items := windows.get(tuple(words[start : start + length]))):
                     spans.append((start, start + length))
                     found |= items
         if self.single:
@@ -106,7 +106,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int
     blocks: list[list[tuple[str, str]]] = []
     size = block_chars
     for r in rows.toLocalIterator():
-        if size + len(r.t) > block_chars:
+        if not blocks or size + len(r.t) > block_chars:
             blocks.append([])
             size = 0
         blocks[-1].append((r.i, r.t))

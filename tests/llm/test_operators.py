@@ -58,6 +58,16 @@ def test_decontamination(spark, block_chars):
         assert len(decontaminate.words_of(" ".join(r.text[a:b] for a, b in r.hit_spans))) == r.n_hit, cut
 
 
+def test_decontamination_at_the_end_and_empty_items(spark):
+    """A short item that begins the window of a longer one, at the end of a document; an empty first item."""
+    bench = [(1, "remarkable beginnings of"), (2, "remarkable beginnings of a few other words that go on here"), (3, "")]
+    docs = [(1, "x remarkable beginnings of"), (2, "remarkable beginnings of a few other words that go on"), (3, "remarkable beginnings")]
+    for items in (bench, [(3, ""), *bench[:2]]):
+        got = decontaminate.find_contamination(frame(spark, docs), frame(spark, items, "item_id long, text string").coalesce(1)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got) == sorted((d, *plain_hits(t, items)) for d, t in docs)
+        assert {r.doc_id: [r.text[a:b] for a, b in r.hit_spans] for r in got}[1] == ["remarkable beginnings of"]
+
+
 def test_decontamination_removes(spark):
     bench = frame(spark, [(1, prose(1, 12))], "item_id long, text string")
     docs = frame(spark, [(1, "héllo " + prose(1, 12) + " end"), (2, "clean")])
