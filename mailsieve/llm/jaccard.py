@@ -1,26 +1,30 @@
 """Near duplicates by the Jaccard similarity of word shingles: an exact join.
 
-The distinct n-grams of a text are its set.  All n-grams have one global order:
-those common in the corpus last, the others by their hash.  Two sets that are
-similar enough share an n-gram among the first of this order (prefix filter),
-so candidate pairs come from documents that meet at such an n-gram, and only
-those that meet at enough of them are candidates.  The order
-is cut into fragments; the overlap of a candidate pair is counted in each
-fragment separately and the counts are summed per pair.
-
-What a skewed corpus needs:
-
-- Equal sets are one class from the start; copies are never compared.
-- N-grams found often (``heavy_min`` times among any ``heavy_span`` n-grams read in
-  a row, so in a share of the documents that does not depend on how many there
-  are) are last in the order; at most ``max_heavy`` of them, the most frequent,
-  are broadcast (8 bytes each).  The order decides about cost only, not results.
-- At each shared n-gram every class is first compared with the smallest one only.
-  The links found make components, and after that only pairs of different
-  components are compared, so a large group of near copies costs as many
-  comparisons as it has members, and no link between components is lost.
-
-N-grams are 64-bit hashes, sets 96-bit ones.
+The distinct n-grams of a text are its set.  Two sets that are similar enough
+have most of their n-grams in common, so a set of which too few n-grams occur in
+any other text has no partner.  What remains is compared by vertical
+partitioning: the n-grams have one global order (rare ones first, by powers of
+two of how often they occur, then by hash), the order is cut into fragments, the
+overlap of a candidate pair is counted in each fragment separately, and the
+counts are summed per pair.
+
+1. ``_tallied``: the texts are read in chunks.  A chunk sends each of its distinct
+   n-grams once, with its count, to the bucket of its hash; the bucket sends back
+   those that occur elsewhere too.  So an n-gram in a third of all texts is a row
+   per chunk and not per text.
+2. Equal sets are one class; copies are never compared.
+3. Classes meet at the n-grams of their prefixes (the first of the global order; two
+   similar sets share one of them).  Where they meet, each is compared only with the
+   one of its size that has the fewest n-grams of its own; these, one for each size
+   and each salt of a frequent n-gram, are compared with the next one.  That takes as
+   many comparisons as there are rows, and most links are of this kind.
+4. What the links found leave apart although it meets is compared by groups: the
+   classes that meet a component without a link to it (few, as a rule) with its
+   members and with each other, block by block.  Only counts of n-grams per
+   slot of the hash are compared there, which bound the overlap from above; the pairs
+   that pass are counted exactly.  No link between different components is lost.
+
+N-grams are 56-bit hashes, sets 96-bit ones.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; fewer words than ``n`` make one n-gram; rows with the same id are one
@@ -36,10 +40,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, written
+from ._common import dropped, slices, written
 from .graph import components
 
 _LAST_ID = 2**63 - 1
@@ -47,6 +52,11 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1
 _BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bits of an n-gram; the bits above them in a long hold its place by frequency.
+_BITS = 56
+_GRAM = (1 << _BITS) - 1
+#: Stands for the owner of an n-gram that several texts of a chunk have.
+_MANY = 65_535
 
 
 class _Hasher:
@@ -97,7 +107,7 @@ class _Hasher:
 
 
 def shingles(text: str | None, n: int, words: _Hasher) -> np.ndarray:
-    """The set of a text: sorted distinct 64-bit hashes."""
+    """The set of a text: sorted distinct hashes of ``_BITS`` bits."""
     h = words.words(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
     size = len(h)
     if not size:
@@ -109,7 +119,7 @@ def shingles(text: str | None, n: int, words: _Hasher) -> np.ndarray:
         out ^= out >> np.uint64(32)
     out *= _M[1]
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(out >> np.uint64(64 - _BITS))
 
 
 def _id(s: np.ndarray) -> tuple[int, int]:
@@ -121,122 +131,355 @@ def _table(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=[*columns])
 
 
-def _facts(docs: DataFrame, n: int, heavy_span: int, heavy_min: int) -> DataFrame:
-    """From ``doc`` and ``text``: a row per document (``size``, id of its set) and, with a null ``size``, n-grams found often."""
+def _packed(grams: np.ndarray) -> bytes:
+    """Seven bytes each."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+#: ``chunk``, ``bucket`` and ``head``, then binaries: of the head all about the texts of the chunk, else of n-grams.
+_PARTS = "chunk long, bucket int, head boolean, grams binary, owners binary, counts binary"
+
+
+def _part(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] if rows else [()] * 6
+    types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chunk", "bucket", "head", "grams", "owners", "counts"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of one value of ``key`` at a time; equal ones follow each other."""
+    group: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if group and row[key] != group[0][key]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _dealt(docs: DataFrame, n: int, buckets: int, chunk_grams: int) -> DataFrame:
+    """From ``doc`` and ``text`` to the distinct n-grams of each chunk by bucket, and a head for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Hasher()
-        held: list[np.ndarray] = []
-        total = 0
-
-        def often() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            values, counts = values[counts >= heavy_min], counts[counts >= heavy_min]
-            return _table({"doc": (counts, pa.int64()), "size": (pa.nulls(len(values), pa.int64()), pa.int64()), "c1": (values.view(np.int64), pa.int64()), "c2": (pa.nulls(len(values), pa.int32()), pa.int32())})
+        place = TaskContext.get().partitionId() << 24
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        total = made = 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(s) for s in sets], np.int64)
+            grams = np.concatenate(sets)
+            order = np.argsort(grams, kind="stable")
+            owners = np.repeat(np.arange(len(sets)), sizes).astype(np.uint16)[order]
+            grams = grams[order]
+            starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+            counts = np.diff(starts, append=len(grams))
+            distinct, several = grams[starts], counts > 1
+            place_of = np.repeat(np.cumsum(several) - 1, counts)
+            inside = np.repeat(several, counts)
+            classes = np.array([_id(s) for s in sets], np.int64).reshape(-1, 2)
+            about = np.concatenate([np.array(ids, np.int64), sizes, classes[:, 0], classes[:, 1]]).astype("<i8").tobytes()
+            now = place + made
+            yield _part([(now, now % buckets, True, about, owners[inside].tobytes(), place_of[inside].astype(np.uint32).tobytes())])
+            owner = np.where(several, np.uint16(_MANY), owners[starts])
+            edges = np.searchsorted(distinct, _edges(buckets))
+            for first in range(0, buckets, 64):
+                rows = []
+                for k in range(first, min(first + 64, buckets)):
+                    a, b = edges[k], edges[k + 1]
+                    if a < b:
+                        rows.append((now, k, False, _packed(distinct[a:b]), owner[a:b].tobytes(), counts[a:b][several[a:b]].astype(np.uint32).tobytes()))
+                if rows:
+                    yield _part(rows)
 
         for batch in batches:
             for part in slices(batch, 500):
-                ids = part.column(0).to_pylist()
-                sizes, c1, c2 = [], [], []
-                for text in part.column(1).to_pylist():
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingles(text, n, words)
-                    sizes.append(len(s))
-                    a, b = _id(s)
-                    c1.append(a)
-                    c2.append(b)
-                    held.append(s)
+                    ids.append(doc)
+                    sets.append(s)
                     total += len(s)
-                    if total >= heavy_span:
-                        yield often()
-                        held.clear()
-                        total = 0
-                yield _table({"doc": (ids, pa.int64()), "size": (sizes, pa.int64()), "c1": (c1, pa.int64()), "c2": (c2, pa.int32())})
-        if held:
-            yield often()
-
-    return docs.mapInArrow(run, "doc long, size long, c1 long, c2 int")
+                    if total >= chunk_grams or len(sets) == _MANY:
+                        yield from chunk()
+                        ids, sets, total, made = [], [], 0, made + 1
+        if sets:
+            yield from chunk()
 
+    return docs.mapInArrow(run, _PARTS)
 
-def _ordered(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a set in the global order: the others, then the heavy ones."""
-    if not len(heavy):
-        return s, s[:0]
-    last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-    return s[~last], s[last]
 
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([k * (_GRAM + 1) // buckets for k in range(buckets + 1)], np.uint64)
 
-def _first(size: Column | int, t: Fraction) -> Column | int:
-    """How many n-grams of a set are its prefix: one more than it may lack in a similar set."""
-    need = t.numerator * size
-    return size - (F.ceil(need / t.denominator) if isinstance(size, Column) else -(-need // t.denominator)) + 1
 
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Of the n-grams in each bucket those that more than one text has, for the chunk they came from, with how many have them."""
 
-def _prefixes(docs: DataFrame, n: int, t: Fraction, heavy) -> DataFrame:
-    """For each document the n-grams of its prefix (``g``) and its class: ``c1``, ``meta`` with c2 and the size, and
-    ``lead`` with how many n-grams of the prefix are not heavy and, in the last bit, whether this one is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "bucket"):
+            heads = [(r["chunk"], r["bucket"], True, r["grams"], r["owners"], r["counts"]) for r in rows if r["head"]]
+            if heads:
+                yield _part(heads)
+            rows = [r for r in rows if not r["head"]]
+            if not rows:
+                continue
+            grams = [_unpacked(r["grams"]) for r in rows]
+            owners = [np.frombuffer(r["owners"], np.uint16) for r in rows]
+            times = []
+            for r, o in zip(rows, owners, strict=True):
+                t = np.ones(len(o), np.int64)
+                t[o == _MANY] = np.frombuffer(r["counts"], np.uint32)
+                times.append(t)
+            every = np.concatenate(grams)
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            found = np.empty(len(every), np.int64)
+            found[order] = np.repeat(np.add.reduceat(np.concatenate(times)[order], starts), np.diff(starts, append=len(every)))
+            out, at = [], 0
+            for r, g, o in zip(rows, grams, owners, strict=True):
+                own = found[at : at + len(g)]
+                at += len(g)
+                if (m := own > 1).any():
+                    out.append((r["chunk"], r["bucket"], False, _packed(g[m]), o[m].tobytes(), np.minimum(own[m], 2**32 - 1).astype(np.uint32).tobytes()))
+            if out:
+                yield _part(out)
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
+
+
+def _gathered(shared: DataFrame, t: Fraction) -> DataFrame:
+    """A row for each text: ``doc``, ``node`` (a number of its own), ``size`` and ``c1``, ``c2`` of its set, and the n-grams
+    it shares in their global order if they are enough for a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _Hasher(), heavy.value
-        for batch in batches:
-            for part in slices(batch, 200):
-                grams, c1, meta, lead = [], [], [], []
-                for text in part.column(0).to_pylist():
-                    s = shingles(text, n, words)
-                    if not len(s):
-                        continue
-                    a, b = _id(s)
-                    first = _first(len(s), t)
-                    rare, often = _ordered(s, last)
-                    light = min(first, len(rare))
-                    grams.append(np.concatenate([rare, often])[:first].view(np.int64))
-                    own = np.full(first, 2 * light, np.int64)
-                    own[light:] += 1
-                    lead.append(own)
-                    c1.append(np.full(first, a, np.int64))
-                    meta.append(np.full(first, (b << 32) | len(s), np.int64))
-                if grams:
-                    yield _table({"g": (np.concatenate(grams), pa.int64()), "c1": (np.concatenate(c1), pa.int64()), "meta": (np.concatenate(meta), pa.int64()), "lead": (np.concatenate(lead), pa.int64())})
-
-    return docs.mapInArrow(run, "g long, c1 long, meta long, lead long")
-
-
-def _fragments(docs: DataFrame, n: int, heavy, cuts: int) -> DataFrame:
-    """The sets of documents (``id``, ``c1``, ``text``) cut along the global order; rows whose set is not ``c1`` go."""
+        for rows in _groups(batches, "chunk"):
+            head = next(r for r in rows if r["head"])
+            doc, size, c1, c2 = np.frombuffer(head["grams"], "<i8").reshape(4, -1)
+            rows = sorted((r for r in rows if not r["head"]), key=lambda r: r["bucket"])
+            grams = np.concatenate([np.empty(0, np.uint64), *(_unpacked(r["grams"]) for r in rows)])
+            owners = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(r["owners"], np.uint16) for r in rows)])
+            counts = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["counts"], np.uint32) for r in rows)])
+            # frequency first: so many bits has the count
+            keys = (np.ceil(np.log2(counts)).astype(np.uint64) << np.uint64(_BITS)) | grams
+            several = owners == _MANY
+            again, whose = np.frombuffer(head["counts"], np.uint32), np.frombuffer(head["owners"], np.uint16)
+            keys, owners = np.concatenate([keys[~several], keys[several][again]]), np.concatenate([owners[~several], whose])
+            found = np.bincount(owners, minlength=len(doc))
+            likely = (found * t.denominator >= size * t.numerator) & (size > 0)
+            m = likely[owners]
+            keys, owners = keys[m], owners[m]
+            order = np.lexsort((keys, owners))
+            keys = keys[order].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(likely, found, 0))])
+            node = (rows[0]["chunk"] if rows else head["chunk"]) * 65_536 + np.arange(len(doc))
+            for a in range(0, len(doc), 2000):
+                b = min(a + 2000, len(doc))
+                lists = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(keys[ends[a] : ends[b]], pa.int64()), mask=pa.array(~likely[a:b]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b], pa.int64()) for c in (doc, node, size, c1, c2)), lists], names=["doc", "node", "size", "c1", "c2", "grams"])
+
+    return shared.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc long, node long, size long, c1 long, c2 long, grams array<long>")
+
+
+def _tallied(docs: DataFrame, n: int, t: Fraction, bucket_grams: int, chunk_grams: int) -> DataFrame:
+    # a word and a space have four bytes or more, as a rule: about as many n-grams
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(512, chars // 4 // bucket_grams)
+    return _gathered(_shared(_dealt(docs, n, buckets, chunk_grams)), t)
+
+
+def _overlap(a: str | Column, b: str | Column, t: Fraction) -> Column:
+    """How many n-grams two sets have in common at least, if they are similar enough, times the sum of the parts of ``t``."""
+    return (F.col(a) if isinstance(a, str) else a) * t.numerator + (F.col(b) if isinstance(b, str) else b) * t.numerator
+
+
+def _fits(t: Fraction) -> Column:
+    """Two classes (``na``, ``nb`` n-grams, of which they share ``sa``, ``sb`` with anyone) can be similar enough."""
+    sizes = F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator
+    return sizes & (F.least("sa", "sb") * (t.numerator + t.denominator) >= _overlap("na", "nb", t))
+
+
+def _posts(sets: DataFrame, t: Fraction, salt_at: int = 256) -> DataFrame:
+    """The n-grams of the prefixes: ``g``, ``salt`` (one of as many as the n-gram is frequent), class and sizes.
+
+    The n-grams that a set shares with none come first in the order, so that the prefix has fewer of the others.
+    """
+    first = F.col("size") - F.ceil(F.col("size") * t.numerator / F.lit(t.denominator)) + 1
+    left = F.greatest(F.lit(0), first - (F.col("size") - F.col("shared"))).cast("int")
+    rows = sets.select("cid", "size", "shared", F.explode(F.slice("grams", F.lit(1), left)).alias("g"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), _salts("g", salt_at)))
+
+
+def _salts(g: str, salt_at: int = 256) -> Column:
+    return F.expr(f"greatest(1L, shiftleft(1L, cast(shiftright({g}, {_BITS}) as int)) div {salt_at}L)")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction, pivots: list[int]) -> DataFrame:
+    """The pairs of classes (``a``, ``b``) that are similar enough, as ``u`` and ``v``.
+
+    A class that very many are compared with is dealt to as many parts as there are partitions.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    between = lambda lo, hi: F.filter("grams", lambda g: (g >= F.lit(lo)) & (g < F.lit(hi)))
+    cut = [between(lo, hi) for lo, hi in zip([0, *pivots], [*pivots, 2**63 - 1], strict=True)]
+    frags = sets.select("cid", "size", F.posexplode(F.array(*cut)).alias("frag", "grams")).where(F.size("grams") > 0)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    left = dealt.join(frags.withColumnsRenamed({"cid": "a", "size": "na", "grams": "ga"}), "a")
+    right = dealt.select("b", "part").distinct().join(frags.withColumnsRenamed({"cid": "b", "size": "nb", "grams": "gb"}), "b")
+    partial = left.join(right, ["b", "part", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
+    same = partial.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return same.where(F.col("c") * (t.numerator + t.denominator) >= _overlap("na", "nb", t)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _pivots(sets: DataFrame, cuts: int) -> list[int]:
+    """Where to cut the global order so that the fragments hold about as many n-grams each: at one of 64 places per power of two."""
+    steps = sets.select(F.explode("grams").alias("g")).groupBy(F.shiftright("g", _BITS - 6).alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect()
+    total, seen, out = sum(r.n for r in steps), 0, []
+    for r in steps:
+        seen += r.n
+        if len(out) < cuts - 1 and seen * cuts >= total * (len(out) + 1):
+            out.append((r["at"] + 1) << (_BITS - 6))
+    return out
+
+
+def _met(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of classes that meet: each with the one of its size and salt that has the fewest n-grams of its own, and
+    these with the next one."""
+    posts = _posts(sets, t).withColumn("step", F.floor(F.log("size") / F.log(F.lit(float(1 / t)))).cast("int") if t < 1 else F.col("size"))
+    # fewest own n-grams first, then the smaller set, then the id: compared as three numbers
+    best = F.min(F.struct((F.col("size") - F.col("shared")).alias("own"), "size", "cid", "shared"))
+    near = posts.withColumn("hub", best.over(Window.partitionBy("g", "salt", "step")))
+    stars = near.where("cid <> hub.cid").select(F.col("cid").alias("a"), F.col("size").alias("na"), F.col("shared").alias("sa"), "hub")
+    before = F.lag("hub").over(Window.partitionBy("g").orderBy("step", "hub"))
+    chain = near.where("cid = hub.cid").select("g", "step", "hub").withColumn("last", before).where("last is not null and last.cid <> hub.cid")
+    chain = chain.select(F.col("last.cid").alias("a"), F.col("last.size").alias("na"), F.col("last.shared").alias("sa"), "hub")
+    both = stars.union(chain).select("a", "na", "sa", F.col("hub.cid").alias("b"), F.col("hub.size").alias("nb"), F.col("hub.shared").alias("sb"))
+    return both.where(_fits(t)).select("a", "b").distinct()
+
+
+#: Slots of the hash that n-grams are counted in: about half as many as the set has n-grams, a power of two.
+_SLOTS = (4, 13)
+
+
+def _counted(keys: np.ndarray, size: int) -> np.ndarray:
+    bits = min(max(int(size - 1).bit_length() - 1, _SLOTS[0]), _SLOTS[1])
+    return np.bincount((keys & _GRAM) >> (_BITS - bits), minlength=1 << bits).astype("<u2")
+
+
+def _counters(members: DataFrame) -> DataFrame:
+    """``members`` with the counts of their n-grams by slot instead of the n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _Hasher(), heavy.value
-        edges = np.array([k * 2**64 // cuts for k in range(1, cuts)], np.uint64)
         for batch in batches:
-            for part in slices(batch, 200):
-                ids, c1s, frags, grams = [], [], [], []
-                for doc, c1, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    s = shingles(text, n, words)
-                    if _id(s)[0] != c1:
-                        continue
-                    rare, often = _ordered(s, last)
-                    pieces = [*np.split(rare, np.searchsorted(rare, edges)), often]
-                    for k, p in enumerate(pieces):
-                        if len(p):
-                            ids.append(doc)
-                            c1s.append(c1)
-                            frags.append(k)
-                            grams.append(p.view(np.int64))
-                if ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c1s, pa.int64()), pa.array(frags, pa.int32()), lists], names=["id", "c1", "frag", "grams"])
-
-    return docs.mapInArrow(run, "id long, c1 long, frag int, grams array<long>")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (``a``, ``a1``, ``na``, ``b``, ``b1``, ``nb``) that are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("c1").alias("a1"), "frag", F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("c1").alias("b1"), "frag", F.col("grams").alias("gb"))
-    key = ["a", "a1", "na", "b", "b1", "nb"]
-    part = pairs.join(left, ["a", "a1"]).join(right, ["b", "b1", "frag"]).select(*key, "frag", F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
-    same = part.groupBy(*key, "frag").agg(F.max("c").alias("c")).groupBy(*key).agg(F.sum("c").alias("c"))
-    return same.where(F.col("c") * t.denominator >= (F.col("na") + F.col("nb") - F.col("c")) * t.numerator).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            for part in slices(batch, 500):
+                own = [_counted(np.array(k, np.int64), s).tobytes() for k, s in zip(part.column("grams").to_pylist(), part.column("size").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary())], names=[*part.schema.names[:-1], "slots"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields[:-1])
+    return members.mapInArrow(run, f"{fields}, slots binary")
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    return x.reshape(len(x), width, -1).sum(2, dtype=np.int32)
+
+
+def _compare(t: Fraction) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of two blocks, of different components, that their counts by slot allow to be similar enough."""
+    whole = t.numerator + t.denominator
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in (0, 1):
+            own = table.filter(pa.compute.equal(table["side"], side))
+            slots: dict[int, list[int]] = {}
+            raw = own["slots"].to_pylist()
+            for i, s in enumerate(raw):
+                slots.setdefault(len(s) // 2, []).append(i)
+            numbers = [own[c].to_numpy() for c in ("cid", "root", "size", "shared")]
+            less = np.array(own["minor"].to_pylist(), bool)
+            sides.append([(w, *(c[at] for c in numbers), less[at], np.frombuffer(b"".join(raw[i] for i in at), "<u2").reshape(-1, w).astype(np.int32)) for w, at in slots.items()])
+        alone = not sides[1]
+        a_out, b_out = [], []
+        for i, (wa, ca, ra, na, sa, la, xa) in enumerate(sides[0]):
+            for j, (wb, cb, rb, nb, sb, lb, xb) in enumerate(sides[0] if alone else sides[1]):
+                if alone and j < i:
+                    continue
+                width = min(wa, wb)
+                fa, fb = _folded(xa, width), _folded(xb, width)
+                for lo in range(0, len(ca), 256):
+                    row = slice(lo, lo + 256)
+                    size = na[row, None] + nb[None]
+                    can = (ra[row, None] != rb[None]) & (la[row, None] | lb[None])
+                    can &= np.minimum(na[row, None], nb[None]) * t.denominator >= np.maximum(na[row, None], nb[None]) * t.numerator
+                    can &= np.minimum(sa[row, None], sb[None]) * whole >= size * t.numerator
+                    if alone and i == j:
+                        can &= ca[row, None] < cb[None]
+                    x, y = np.nonzero(can)
+                    for at in range(0, len(x), max(1, (1 << 23) // width)):
+                        p, q = x[at : at + max(1, (1 << 23) // width)], y[at : at + max(1, (1 << 23) // width)]
+                        most = np.minimum(fa[lo + p], fb[q]).sum(1)
+                        m = most * whole >= size[p, q] * t.numerator
+                        a_out.append(ca[lo + p[m]])
+                        b_out.append(cb[q[m]])
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a_out or empty), pa.int64()), "b": pa.array(np.concatenate(b_out or empty), pa.int64())})
+
+    return run
+
+
+def _apart(sets: DataFrame, roots: DataFrame, t: Fraction, block: int, max_broadcast: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of classes of different components that meet at an n-gram and may be similar enough, and the tables made for it.
+
+    At an n-gram the component with the smallest root is the one that the others meet; they are its minors.
+    """
+    own = sets.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = written(own.select("cid", "root", "size", "shared", "grams"), "jaccard-rooted")
+    posts = _posts(rooted.drop("root"), t).join(rooted.select("cid", "root"), "cid")
+    crossed = posts.groupBy("g").agg(F.min("root").alias("of"), F.max("root").alias("most")).where("of < most")
+    crossed = crossed.select("g", "of", F.explode(F.sequence(F.lit(0).cast("long"), _salts("g") - 1)).alias("salt"))
+    minors = posts.join(crossed, ["g", "salt"]).where("root <> of").select("of", "cid").distinct()
+    minors = written(minors, "jaccard-minors")
+    ofs = minors.select("of").distinct()
+    members = rooted.select("cid", F.col("root").alias("of")).join(ofs, "of").select("of", "cid", F.lit(False).alias("minor"))
+    both = minors.select("of", "cid", F.lit(True).alias("minor")).union(members)
+    grouped = both.join(rooted, "cid").select("of", "minor", "cid", "root", "size", "shared", "grams")
+    step = F.floor(F.log("size") / F.log(F.lit(float(1 / t)))).cast("int") if t < 1 else F.col("size").cast("int")
+    grouped = written(_counters(grouped).withColumn("step", step), "jaccard-groups")
+    # groups of one step and kind in blocks; only those of more than one block need a number of blocks
+    key = ["of", "step", "minor"]
+    most = F.greatest(F.lit(64), F.least(F.lit(block), F.floor(F.lit(block * 128) / F.max("size")).cast("int")))
+    sizes = grouped.groupBy(*key).agg(F.ceil(F.count("*") / most).alias("blocks")).where("blocks > 1")
+    sizes = written(sizes, "jaccard-sizes")
+    small = sizes.limit(max_broadcast + 1).count() <= max_broadcast
+    dealt = grouped.join(F.broadcast(sizes) if small else sizes.hint("shuffle_hash"), key, "left")
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+    blocks = dealt.groupBy(*key, "b").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("shared").alias("most"))
+    blocks = written(blocks, "jaccard-blocks")
+    x = blocks.withColumnsRenamed({c: f"{c}1" for c in blocks.columns if c != "of"})
+    y = blocks.withColumnsRenamed({c: f"{c}2" for c in blocks.columns if c != "of"})
+    order = F.struct("step1", "minor1", "b1") <= F.struct("step2", "minor2", "b2")
+    sized = (F.col("high1") * t.denominator >= F.col("low2") * t.numerator) & (F.col("high2") * t.denominator >= F.col("low1") * t.numerator)
+    enough = F.least("most1", "most2") * (t.numerator + t.denominator) >= _overlap("low1", "low2", t)
+    meet = x.join(y, "of").where(order & (F.col("minor1") | F.col("minor2")) & sized & enough)
+    meet = written(meet.select("of", "step1", "minor1", "b1", "step2", "minor2", "b2"), "jaccard-meet")
+    unit = ["of", "step1", "minor1", "b1", "step2", "minor2", "b2"]
+    sides = []
+    for k in (1, 2):
+        own = meet if k == 1 else meet.where("step1 <> step2 or minor1 <> minor2 or b1 <> b2")
+        side = dealt.withColumnsRenamed({"step": f"step{k}", "minor": f"minor{k}", "b": f"b{k}"})
+        side = own.join(side, ["of", f"step{k}", f"minor{k}", f"b{k}"])
+        sides.append(side.select(*unit, F.lit(k - 1).alias("side"), F.col(f"minor{k}").alias("minor"), "cid", "root", "size", "shared", "slots"))
+    found = sides[0].union(sides[1]).groupBy(*unit).applyInArrow(_compare(t), "a long, b long").distinct()
+    return written(found, "jaccard-apart"), [rooted, minors, grouped, sizes, blocks, meet]
 
 
 def near_duplicates(
@@ -247,137 +490,56 @@ def near_duplicates(
     n: int = 5,
     similarity: float | Fraction = Fraction(3, 4),
     cuts: int = 4,
-    heavy_span: int = 4_000_000,
-    heavy_min: int = 2,
-    max_heavy: int = 400_000,
+    bucket_grams: int = 2_000_000,
+    chunk_grams: int = 2_000_000,
+    block: int = 1024,
 ) -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    ``bucket_grams`` and ``chunk_grams`` bound the memory of a task (about 60 bytes an n-gram), ``block`` the members of a
+    group that are compared at once.  None of them, nor ``cuts``, changes the result.
+    """
     t = Fraction(similarity).limit_denominator(10_000)
-    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    facts = written(_facts(own, n, heavy_span, heavy_min), "jaccard-facts")
-    rows = facts.where("size is not null")
-    heavy = spark.sparkContext.broadcast(_heaviest(facts.where("size is null"), max_heavy))
-
-    classes = written(rows.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("id"), F.first("size").alias("size")), "jaccard-classes")
-    # each class meets the smallest set that has the n-gram too: one that is close to what its neighbours share
-    w = Window.partitionBy("g")
-    smallest = F.min(F.struct(_size("meta").alias("n"), "c1", "meta", "lead")).over(w)
-    met = _prefixes(own.select("text"), n, t, heavy).withColumns({"hub": smallest, "lo": F.min(F.struct("c1", "meta")).over(w), "hi": F.max(F.struct("c1", "meta")).over(w)}).where("lo < hi")
-    shared = written(met.dropDuplicates(["g", "c1", "meta"]).select("g", "c1", "meta", "lead", "hub"), "jaccard-shared")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (``x1``, ``xm``, ``y1``, ``ym``) by the ids of their first documents."""
-        for side, c1, meta in (("a", "x1", "xm"), ("b", "y1", "ym")):
-            own_class = classes.select(F.col("c1").alias(c1), F.col("c2").alias("c2"), F.col("id").alias(side))
-            pairs = pairs.withColumn("c2", F.shiftright(meta, 32).cast("int")).join(own_class, [c1, "c2"]).drop("c2")
-        return pairs.select("a", F.col("x1").alias("a1"), _size("xm").alias("na"), "b", F.col("y1").alias("b1"), _size("ym").alias("nb"))
-
-    hubs = shared.where("c1 <> hub.c1 or meta <> hub.meta").select(
-        F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"), F.col("hub.c1").alias("y1"), F.col("hub.meta").alias("ym"), F.col("hub.lead").alias("yl")
-    )
-    # an n-gram may have a smaller hub than the next one, so not all that the two share are counted here
-    first = written(named(_likely(hubs, t, counted_at_least=0.5)), "jaccard-pairs")
-    links = written(_linked(first, _sets_of(own, first, n, heavy, cuts), t).union(_twice(rows, classes)), "jaccard-links")
+    facts = written(_tallied(own, n, t, bucket_grams, chunk_grams), "jaccard-facts")
+    rows = facts.where("size > 0")
+    classes = written(rows.groupBy("c1", "c2").agg(F.min("node").alias("cid"), F.min("doc").alias("low"), F.count("*").alias("copies")), "jaccard-classes")
+
+    likely = facts.where("grams is not null")
+    kept = likely.groupBy("c1", "c2").agg(F.min("node").alias("node")).select("node")
+    sets = likely.join(kept, "node").select(F.col("node").alias("cid"), "size", F.size("grams").cast("long").alias("shared"), "grams")
+    sets = written(sets, "jaccard-sets")
+    pivots = _pivots(sets, cuts)
+    links = written(_linked(_met(sets, t), sets, t, pivots).union(_twice(rows, classes)), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
-
-    # pairs of different components, at the n-grams where several meet
-    found = classes.join(roots, "id").withColumn("meta", F.shiftleft(F.col("c2").cast("long"), 32).bitwiseOR(F.col("size")))
-    found = written(found.select("c1", "meta", F.min("c1").over(Window.partitionBy("root")).alias("part")), "jaccard-parts")
-    parts = shared.select("g", "c1", "meta", "lead").join(found, ["c1", "meta"], "left").withColumn("part", F.coalesce("part", "c1"))
-    mixed = parts.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo < hi")
-    mixed = written(mixed.select("g", "part", "c1", "meta", "lead"), "jaccard-mixed")
-    heavy_rows, light = mixed.where("lead % 2 <> 0"), mixed.where("lead % 2 = 0")
-    x = light.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"))
-    y = light.select("g", F.col("part").alias("other"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
-    few = x.join(y, (x.g == y.g) & (F.col("part") < F.col("other")) & _sizes_fit(t)).select("x1", "xm", "xl", "y1", "ym", "yl")
-    # a heavy n-gram may be in very many sets: only its components are paired, and their members where they can be similar
-    left = _left("meta", "lead")
-    groups = heavy_rows.groupBy("g", "part").agg(F.max(left).alias("most"), F.min(_size("meta")).alias("low"), F.max(_size("meta")).alias("high"))
-    others = groups.select(F.col("g").alias("og"), F.col("part").alias("other"), F.col("most").alias("omost"), F.col("low").alias("olow"), F.col("high").alias("ohigh"))
-    can = F.least("most", "omost") >= F.ceil((F.col("low") + F.col("olow")) * t.numerator / (t.numerator + t.denominator))
-    near = (F.col("high") * t.denominator >= F.col("olow") * t.numerator) & (F.col("ohigh") * t.denominator >= F.col("low") * t.numerator)
-    across = groups.join(others, (F.col("g") == F.col("og")) & (F.col("part") < F.col("other")) & can & near).select("g", "part", "other")
-    x = heavy_rows.select("g", "part", F.col("c1").alias("x1"), F.col("meta").alias("xm"), F.col("lead").alias("xl"))
-    y = heavy_rows.select(F.col("g").alias("yg"), F.col("part").alias("other_part"), F.col("c1").alias("y1"), F.col("meta").alias("ym"), F.col("lead").alias("yl"))
-    many = across.join(x, ["g", "part"])
-    many = many.join(y, (F.col("g") == F.col("yg")) & (F.col("other") == F.col("other_part")) & _sizes_fit(t) & _heavy_fit(t)).select("x1", "xm", "xl", "y1", "ym", "yl")
-    rest = _likely(few.union(many), t)
-    rest = written(named(rest), "jaccard-rest")
-    links = written(_linked(rest, _sets_of(own, rest, n, heavy, cuts), t).union(roots.select("id", "root")), "jaccard-links")
-    roots = components(links)
-
-    # the smallest id of a component is that of its smallest class, as a class has the smallest id of its copies
-    label = classes.join(roots, "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("component"))
+    dropped(links)
+    rest, made = _apart(sets, roots, t, block)
+    links = written(_linked(rest, sets, t, pivots).union(roots.select("id", "root")), "jaccard-links")
+    dropped(sets, rest, *made)
+    found = written(components(links), "jaccard-found")
+    dropped(links, roots)
+
+    # the smallest id of a component, for every class that has more than one row or link
+    label = classes.join(found, classes.cid == found.id, "left").select("c1", "c2", "low", "copies", F.coalesce("root", "cid").alias("root"))
+    lowest = label.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n"))
+    label = label.join(lowest, "root").where("n > 1 or copies > 1").select("c1", "c2", "copies", "component")
     label = written(label, "jaccard-labels")
-    out = rows.join(label, ["c1", "c2"], "left").select("doc", F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    dropped(classes, found)
+    # classes of more than a ten-thousandth of all rows, at most 10,000, are broadcast: their rows would meet in one task
+    many = facts.count() / 10_000
+    hot, others = (label.where(F.col("copies") > F.lit(many)), label.where(F.col("copies") <= F.lit(many)))
+    out = facts.select("doc", "size", "c1", "c2")
+    by_hot = out.join(F.broadcast(hot), ["c1", "c2"])
+    by_key = out.join(F.broadcast(hot), ["c1", "c2"], "left_anti").join(others, ["c1", "c2"], "left")
+    out = by_hot.unionByName(by_key).select("doc", F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
     null = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c))
     return out.select(null("doc").alias(id_col), "n_shingles", null("component").alias("component_id"))
 
 
-def _heaviest(found: DataFrame, most: int) -> np.ndarray:
-    """The n-grams (``c1``) found at least so often that they are no more than ``most``."""
-    times = written(found.groupBy("c1").agg(F.sum("doc").alias("times")), "jaccard-heavy")
-    steps = {r.t: r.n for r in times.groupBy(F.least("times", F.lit(10_000)).alias("t")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, max(steps, default=0) + 1
-    for t in sorted(steps, reverse=True):
-        total += steps[t]
-        if total > most:
-            break
-        least = t
-    got = times.where(F.col("times") >= least).select("c1").toArrow().column("c1").to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
-
-
-def _size(meta: str) -> Column:
-    return F.col(meta).bitwiseAND(F.lit(2**32 - 1))
-
-
-def _overlap(t: Fraction) -> Column:
-    """How many n-grams two sets have in common at least, if they are similar enough."""
-    return F.ceil((_size("xm") + _size("ym")) * t.numerator / (t.numerator + t.denominator))
-
-
-def _sizes_fit(t: Fraction) -> Column:
-    x, y = _size("xm"), _size("ym")
-    return F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-
-
-def _left(meta: str, lead: str) -> Column:
-    """How many n-grams of a set come after those of its prefix that are not heavy."""
-    return _size(meta) - F.shiftright(lead, 1)
-
-
-def _heavy_fit(t: Fraction) -> Column:
-    """Two sets that share heavy n-grams only have at most as many in common as the one with fewer of them has."""
-    return F.least(_left("xm", "xl"), _left("ym", "yl")) >= _overlap(t)
-
-
-def _likely(meets: DataFrame, t: Fraction, counted_at_least: float = 1.0) -> DataFrame:
-    """Pairs of classes that can be similar enough.
-
-    Up to the end of the light prefix that ends first the two have the counted light n-grams in common, after it
-    at most what is left of that set.  Those that meet at heavy n-grams only are judged by what is left.
-    """
-    light = (F.col("xl") % 2 == 0) & (F.col("yl") % 2 == 0)
-    short = lambda c: F.col(c) - F.col(c) % 2
-    counted = meets.where(_sizes_fit(t)).withColumn("light", light.cast("int")).withColumns({"xl": short("xl"), "yl": short("yl")})
-    counted = counted.groupBy("x1", "xm", "y1", "ym").agg(F.sum("light").alias("c"), F.min("light").alias("all_light"), F.first("xl").alias("xl"), F.first("yl").alias("yl"))
-    need = (_overlap(t) - F.greatest(_left("xm", "xl"), _left("ym", "yl"))) * counted_at_least
-    return counted.where(((F.col("c") >= 1) & (F.col("c") >= need)) | ((F.col("all_light") == 0) & _heavy_fit(t))).select("x1", "xm", "y1", "ym")
-
-
-def _sets_of(own: DataFrame, pairs: DataFrame, n: int, heavy, cuts: int, max_broadcast: int = 1_000_000) -> DataFrame:
-    """The fragments of the sets that pairs are of.  Their ids are broadcast if they are at most ``max_broadcast``
-    (16 bytes each), and otherwise joined."""
-    needed = written(pairs.select(F.col("a").alias("id"), F.col("a1").alias("c1")).union(pairs.select("b", "b1")).distinct(), "jaccard-needed")
-    small = needed.limit(max_broadcast + 1).count() <= max_broadcast
-    texts = own.join(F.broadcast(needed) if small else needed.hint("shuffle_hash"), F.col("doc") == F.col("id")).select("id", "c1", "text")
-    return written(_fragments(texts, n, heavy, cuts), "jaccard-sets")
-
-
 def _twice(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links that make the rows of one id one node where their sets differ."""
-    again = rows.where("size > 0").groupBy("doc").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x < y").select("doc")
-    both = rows.join(again, "doc").join(classes.select("c1", "c2", "id"), ["c1", "c2"])
-    return both.select(F.col("doc").alias("u"), F.col("id").alias("v"))
+    again = rows.groupBy("doc").agg(F.min("c1").alias("x1"), F.max("c1").alias("y1"), F.min("c2").alias("x2"), F.max("c2").alias("y2"))
+    again = again.where("x1 < y1 or x2 < y2").select("doc")
+    named = rows.join(again, "doc").join(classes, ["c1", "c2"]).select("doc", "cid").distinct()
+    first = named.groupBy("doc").agg(F.min("cid").alias("v"))
+    return named.join(first, "doc").where("cid <> v").select(F.col("cid").alias("u"), "v")

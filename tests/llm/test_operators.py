@@ -186,17 +186,28 @@ def edited(text, seed, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("heavy_min", [2, 10**9])
-def test_jaccard(spark, heavy_min):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard(spark, small):
     docs = [(i, prose(i, 60)) for i in range(20)]
     docs += [(100 + i, edited(prose(3, 60), i, 1 + i % 4)) for i in range(30)]
     docs += [(200 + i, f"{prose(77, 40)} {prose(300 + i, 4 + i)}") for i in range(25)]  # one passage and a tail of its own
     docs += [(300 + i, prose(5, 60).upper()) for i in range(5)] + [(400, "one two"), (401, "ONE  two"), (402, "one"), (50, prose(7, 60)), (50, prose(8, 60))]
     docs += [(d if d is None or d < 100 else d + 900, t) for d, t in ODD]
-    got = jaccard.near_duplicates(frame(spark, docs), heavy_min=heavy_min, heavy_span=500).collect()
+    sizes = {"chunk_grams": 300, "bucket_grams": 10, "block": 4, "cuts": 7} if small else {}
+    got = jaccard.near_duplicates(frame(spark, docs), **sizes).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(docs)
 
 
+def test_jaccard_of_a_large_group_and_a_common_passage(spark):
+    """Copies of one text with so many edits that some link and some don't; texts that are mostly one passage."""
+    r = random.Random(11)
+    docs = [(i, edited(prose(3, 90), i, r.randrange(1, 7))) for i in range(250)]
+    docs += [(1000 + i, f"{prose(77, 60)} {prose(78 + i % 3, 12)} {prose(300 + i, 3 + i % 9)}") for i in range(150)]
+    docs += [(2000 + i, prose(5, 50)) for i in range(60)]
+    got = jaccard.near_duplicates(frame(spark, docs), block=32).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == plain_components(docs)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
