@@ -98,7 +98,7 @@ def with_columns_from(
             for part in slices(batch):
                 got = f([_values(part.column(c)) for c in reads])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), *(pa.array(v, arrow[n]) for (n, _), v in zip(fields, got, strict=True))],
+                    [*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v, arrow[n]) for (n, _), v in zip(fields, got, strict=True))],
                     names=[*names, *arrow],
                 )
 

@@ -37,14 +37,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
 
 
 def piece_report(docs: DataFrame, model_path: str = PIECE_MODEL) -> DataFrame:
-    """One row per document: the best segmentation as a digest, the scores of the N best, and whether decoding gives the text back."""
-    out = pieces.encode(docs.select("doc_id", "text"), model_path, round_trip=True, keep_text=False)
+    """One row per document: the N best segmentations as digests, their scores, and whether decoding gives the text back."""
+    out = pieces.encode(docs.select("doc_id", "text"), model_path, round_trip=True, digest=True, keep_text=False)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "score",
         F.col("others.score").alias("other_scores"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        "others_sha256",
         "round_trip",
     )
 

@@ -305,7 +305,8 @@ def test_pieces_against_all_paths():
     model = pieces.PieceModel(open(MODEL, "rb").read(), 4)
     r = random.Random(1)
     texts = ["".join(r.choice("abcdethin .,\n漢é▁😀") for _ in range(r.randint(0, 9))) for _ in range(150)]
-    for text, (ids, score, others) in zip(texts, model.encode_all(texts), strict=True):
+    for text in texts:
+        ids, score, others = model.encode(text)
         want = brute(model, text, 4)
         assert [round(x, 6) for x in [score, *(o[0] for o in others)]] == [round(x[0], 6) for x in want] if want else ids == []
         every = [ids, *(pieces.applied(ids, c) for _, c in others)]
@@ -314,8 +315,40 @@ def test_pieces_against_all_paths():
 
 def test_pieces_frame(spark):
     docs = frame(spark, [(1, "Hello  world.\n"), (2, "x" * 300), *ODD]).withColumn("ids", F.lit(1))
-    out = pieces.decode(pieces.encode(docs, MODEL), MODEL).collect()
-    assert len(out) == 2 + len(ODD) and all((r.text or "") == r.decoded for r in out)
+    out = pieces.decode(pieces.encode(docs, MODEL, round_trip=True, digest=True), MODEL).collect()
+    assert len(out) == 2 + len(ODD) and all((r.text or "") == r.decoded and r.round_trip for r in out)
+    for r in out:
+        assert r.others_sha256 == pieces.digest_of(pieces.np.array(r.ids), [(o.score, o.changes) for o in r.others])
+        every = [tuple(r.ids), *(tuple(pieces.applied(r.ids, o.changes)) for o in r.others)]
+        assert len(set(every)) == len(every) and [o.score for o in r.others] == sorted((o.score for o in r.others), reverse=True)
+    assert pieces.encode(docs.limit(0), MODEL).count() == 0
+
+
+def test_pieces_of_long_texts_without_a_cut():
+    model = pieces.PieceModel(open(MODEL, "rb").read(), 4)
+    r = random.Random(2)
+    for text in ("=" * 5000, "ab" * 5000, "".join(r.choice("abcdefghij") for _ in range(100_000)), "漢" * 3000):
+        ids, score, others = model.encode(text)
+        assert model.decode(ids) == text and len(others) == (0 if "漢" in text else 3)
+        weight = {i: s for i, s in model.scores.values()}
+        for own, s in [(ids, score), *((pieces.applied(ids, c), s) for s, c in others)]:
+            assert model.decode(own) == text and s <= score
+            if "漢" not in text:
+                assert sum(weight[i] for i in own) == s
+
+
+def test_pieces_are_likely_words():
+    model = pieces.PieceModel(open(MODEL, "rb").read(), 2)
+    ids, _, _ = model.encode("The quick brown fox jumps over the lazy dog.")
+    names = {i: p for p, (i, _) in model.scores.items()}
+    assert [names[i] for i in ids][:3] == ["▁The", "▁quick", "▁brown"]
+
+
+def test_pieces_forget_without_a_change():
+    texts = [prose(k, 40) for k in range(30)]
+    data = open(MODEL, "rb").read()
+    small, large = pieces.PieceModel(data, 3, cache_size=50), pieces.PieceModel(data, 3)
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
 
 
 # -- chat
