@@ -492,7 +492,7 @@ def near_duplicates(
     cuts: int = 4,
     bucket_grams: int = 2_000_000,
     chunk_grams: int = 2_000_000,
-    block: int = 1024,
+    block: int = 256,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
