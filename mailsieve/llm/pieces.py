@@ -352,7 +352,7 @@ class PieceModel:
         for k, text in enumerate(texts):
             some.append(self.parts(text or ""))
             count += len(some[-1])
-            if count >= 150_000 or k == len(texts) - 1:
+            if count >= 400_000 or k == len(texts) - 1:
                 yield self._encode_parts(some)
                 some, count = [], 0
 
@@ -432,11 +432,16 @@ def applied(ids: list[int], changes: Iterable[tuple[int, int, list[int]]]) -> li
 
 def digest_of(ids: np.ndarray, others: Iterable[tuple[float, Iterable[tuple[int, int, list[int]]]]]) -> str:
     """SHA-256 over the ids of all alternatives: of each how many, then the ids, as four bytes with the lowest first."""
-    out = hashlib.sha256()
-    best = ids.tolist()
+    out, best = hashlib.sha256(), memoryview(ids.astype("<i4").tobytes())
     for _, changes in others:
-        own = applied(best, changes)
-        out.update(np.array([len(own), *own], "<i4").tobytes())
+        size, done, parts = len(ids), 0, []
+        for at, n, own in changes:
+            parts += [best[4 * done : 4 * at], np.array(own, "<i4").tobytes()]
+            size += len(own) - n
+            done = at + n
+        out.update(size.to_bytes(4, "little"))
+        for part in (*parts, best[4 * done :]):
+            out.update(part)
     return out.hexdigest()
 
 
