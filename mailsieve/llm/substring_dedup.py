@@ -18,7 +18,8 @@ Spark splits.
 
 Defined cases: a null or empty text has no units and stays; repeats inside one
 document go too; rows with the same id are one document, equal units at equal
-offsets of it are one occurrence; a null id or rank comes first; columns named
+offsets of it are one occurrence, and where their texts differ each row loses only
+units that it has itself; a null id or rank comes first; columns named
 like the new ones are replaced.
 """
 
@@ -144,7 +145,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     run = F.length("k") == _RUN_BYTES
     beside = run & (F.col("r") == F.col("f.r")) & (F.col("doc") == F.col("f.doc")) & (F.col("a") < F.col("f.b"))
     again = places.join(common, "k").where((F.struct("r", "doc", "a", "b") != F.col("f")) & ~beside)
-    gone = again.groupBy("doc").agg(F.collect_set(F.struct("a", "b", "first_doc", run.alias("run"))).alias("__gone"))
+    gone = again.groupBy("doc").agg(F.collect_set(F.struct("a", "b", "first_doc", "k")).alias("__gone"))
     gone = written(gone.withColumnRenamed("doc", "__doc"), "unit-gone")
     joined = docs.withColumn("__id", doc).join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
 
@@ -165,15 +166,15 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _cut(text: str | None, gone: list[dict] | None, min_words: int, min_chars: int | None) -> tuple:
     if not text:
         return text, 0, 0, [], []
-    marked = {(g["a"], g["b"]): g["first_doc"] for g in gone or () if not g["run"]}
-    in_runs = {(g["a"], g["b"]): g["first_doc"] for g in gone or () if g["run"]}
+    # rows with one id share their marks: a unit goes only where it has the digest too
+    marked = {(g["a"], g["b"], bytes(g["k"])): g["first_doc"] for g in gone or ()}
     n = 0
     parts_gone: dict[tuple[int, int], int] = {}
-    for parts, _ in windows(text, min_words, min_chars) if min_chars else ():
+    for parts, key in windows(text, min_words, min_chars) if min_chars else ():
         n += 1
-        if (place := (parts[0][0], parts[-1][1])) in in_runs:
+        if (place := (parts[0][0], parts[-1][1], key)) in marked:
             for part in parts:
-                parts_gone.setdefault(part, in_runs[place])
+                parts_gone.setdefault(part, marked[place])
     short = sorted((x, y, first) for (x, y), first in parts_gone.items())
     at_short = 0
     removed: list[dict] = []
@@ -184,10 +185,10 @@ def _cut(text: str | None, gone: list[dict] | None, min_words: int, min_chars: i
         here = at_short
         while at_short < len(short) and short[at_short][0] < b:
             at_short += 1
-        if own is not None and (a, b) in marked:
-            removed.append({"start": a, "end": b, "first_doc": marked[a, b]})
+        if own is not None and (a, b, own) in marked:
+            removed.append({"start": a, "end": b, "first_doc": marked[a, b, own]})
             continue
-        cuts = [[x, y, marked[x, y]] for x, y, key in inner if key is not None and (x, y) in marked]
+        cuts = [[x, y, marked[x, y, key]] for x, y, key in inner if key is not None and (x, y, key) in marked]
         if at_short > here:
             cuts = sorted([*cuts, *map(list, short[here:at_short])])
             if not "".join(text[x:y] for x, y in zip((a, *(c[1] for c in cuts)), (*(c[0] for c in cuts), b), strict=True)).strip():

@@ -128,6 +128,23 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_substrings(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("min_chars", [None, 80])
+def test_substring_dedup_of_repeated_ids(spark, min_chars):
+    """Two texts under one id, of one length: only the row that has the repeated passage loses it."""
+    u, v = "alpha beta gamma delta epsilon zeta eta theta iota", "kappa lamda gamma delta epsilon zeta eta theta iota"
+    short = ["one two three four five.", "six seven eight nine tens.", "some more words in here.", "and the last one of it."]
+    rows = [(1, u), (5, u), (5, v), (7, "\n".join(short)), (8, "\n".join(short)), (8, "\n".join(x[::-1] for x in short)), (None, v), (None, v)]
+    out = substring_dedup.dedup_substrings(frame(spark, rows).withColumn("removed", F.lit(1)).withColumn("k", F.lit("mine")), min_chars=min_chars)
+    got = sorted((str(r.doc_id), r.text, r.n_removed) for r in out.collect())
+    joined = "\n".join(short)
+    assert ("1", u, 0) in got and ("5", "", 1) in got and [r for r in got if r[0] == "None"] == [("None", v, 0)] * 2
+    assert ("5", "", 1) in [r for r in got if r[0] == "5"] and len([r for r in got if r[0] == "5" and r[1] == ""]) == 2  # v is kept under the null id, which comes first
+    assert ("8", "" if min_chars else joined, 4 if min_chars else 0) in got and ("8", "\n".join(x[::-1] for x in short), 0) in got
+    again = substring_dedup.dedup_substrings(frame(spark, [(1, u), (5, u), (5, v)]), min_chars=min_chars).collect()
+    assert sorted((r.doc_id, r.text) for r in again) == [(1, u), (5, ""), (5, v)]
+    assert set(out.columns) >= {"k", "removed", "kept_spans"} and out.schema["removed"].dataType.typeName() == "array"
+
+
 def test_substring_dedup_of_short_lines_and_sentences(spark):
     """Passages whose lines and sentences all have fewer than 8 words, or no spaces."""
     verse = "\n".join(f"verse{i} goes word{i} on" for i in range(20))
