@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,7 +80,8 @@ def with_columns_from(
     """Add columns computed in Python from the columns ``reads``, a slice of rows at a time.
 
     ``make`` runs once per task and returns a function from the lists of values
-    of ``reads`` to the lists of values of ``fields``.  Other columns pass
+    of ``reads`` to the lists of values of ``fields``; its ``done``, if it has one,
+    is called at the end.  Other columns pass
     through untouched.  A column of the input that has the name of a new one is
     replaced, those in ``drop`` are left out.
     """
@@ -94,15 +96,34 @@ def with_columns_from(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for part in slices(batch):
-                got = f([_values(part.column(c)) for c in reads])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v, arrow[n]) for (n, _), v in zip(fields, got, strict=True))],
-                    names=[*names, *arrow],
-                )
-
-    return df.select(*(f"`{c}`" for c in inputs)).mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    got = f([_values(part.column(c)) for c in reads])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v, arrow[n]) for (n, _), v in zip(fields, got, strict=True))],
+                        names=[*names, *arrow],
+                    )
+        finally:
+            getattr(f, "done", lambda: None)()
+
+    return df.select(*(f"`{c}`" for c in inputs)).mapInArrow(returned(run), schema)
+
+
+def returned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which Spark keeps for later tasks, gives the memory it no longer uses back."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return f
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

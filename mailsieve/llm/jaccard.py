@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, slices, written
+from ._common import dropped, returned, slices, written
 from .graph import components
 
 _LAST_ID = 2**63 - 1
@@ -214,7 +214,7 @@ def _dealt(docs: DataFrame, n: int, buckets: int, chunk_grams: int) -> DataFrame
         if sets:
             yield from chunk()
 
-    return docs.mapInArrow(run, _PARTS)
+    return docs.mapInArrow(returned(run), _PARTS)
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
             if out:
                 yield _part(out)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(returned(run), _PARTS)
 
 
 def _gathered(shared: DataFrame, t: Fraction) -> DataFrame:
@@ -287,7 +287,7 @@ def _gathered(shared: DataFrame, t: Fraction) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(keys[ends[a] : ends[b]], pa.int64()), mask=pa.array(~likely[a:b]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b], pa.int64()) for c in (doc, node, size, c1, c2)), lists], names=["doc", "node", "size", "c1", "c2", "grams"])
 
-    return shared.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc long, node long, size long, c1 long, c2 long, grams array<long>")
+    return shared.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(returned(run), "doc long, node long, size long, c1 long, c2 long, grams array<long>")
 
 
 def _tallied(docs: DataFrame, n: int, t: Fraction, bucket_grams: int, chunk_grams: int) -> DataFrame:
@@ -385,7 +385,7 @@ def _counters(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary())], names=[*part.schema.names[:-1], "slots"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields[:-1])
-    return members.mapInArrow(run, f"{fields}, slots binary")
+    return members.mapInArrow(returned(run), f"{fields}, slots binary")
 
 
 def _folded(x: np.ndarray, width: int) -> np.ndarray:
@@ -491,7 +491,7 @@ def near_duplicates(
     similarity: float | Fraction = Fraction(3, 4),
     cuts: int = 4,
     bucket_grams: int = 2_000_000,
-    chunk_grams: int = 2_000_000,
+    chunk_grams: int = 1_000_000,
     block: int = 256,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.

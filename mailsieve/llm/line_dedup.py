@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices, with_columns_from, written
+from ._common import returned, slices, with_columns_from, written
 
 _STRIP = b" \t\n\r\x0b\x0c"
 _NO_ID = -(2**63)
@@ -56,7 +56,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
                         ids += [doc] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["k", "doc"])
 
-    return docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("doc"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("doc"), F.col(text_col)).mapInArrow(returned(run), schema)
 
 
 def dedup_lines(

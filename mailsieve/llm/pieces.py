@@ -82,7 +82,7 @@ def log_probability(rank: float, offset: float = 2.7) -> float:
 
 
 class PieceModel:
-    def __init__(self, data: bytes, n_best: int = 4, cache_size: int = 300_000):
+    def __init__(self, data: bytes, n_best: int = 4, cache_size: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -107,10 +107,9 @@ class PieceModel:
         self._bytes, self._byte_at = np.frombuffer(b"".join(self.text), np.uint8), ends
         self._parts = re.compile(self._pattern())
         self._index()
-        self._searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         #: pieces, and False for what only starts one
         self._starts: dict[str, tuple[int, float] | bool] = {p[:k]: False for p in self.scores for k in range(1, len(p))} | self.scores
-        self._forget()
+        self.forget()
 
     def _weigh(self) -> None:
         """Make scores log probabilities, in whole steps so that sums are exact.
@@ -341,7 +340,8 @@ class PieceModel:
         for own, more in zip(self._found, new, strict=True):
             own.append(more)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        self._searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self._memory: dict[str, int] = {}
         self._found: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int32, np.int64, np.float64, np.float64)]
 
@@ -352,7 +352,7 @@ class PieceModel:
         for k, text in enumerate(texts):
             some.append(self.parts(text or ""))
             count += len(some[-1])
-            if count >= 400_000 or k == len(texts) - 1:
+            if count >= 250_000 or k == len(texts) - 1:
                 yield self._encode_parts(some)
                 some, count = [], 0
 
@@ -362,7 +362,7 @@ class PieceModel:
         if None in rows:
             new = dict.fromkeys(p for p, r in zip(every, rows, strict=True) if r is None)
             if len(self._memory) + len(new) > self.cache_size:
-                self._forget()
+                self.forget()
                 new = dict.fromkeys(every)
             self._solve(new)
             rows = list(map(self._memory.get, every))
@@ -492,6 +492,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", n_best:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
             return [lists, np.concatenate(scores), others, *([same] if round_trip else []), *([digests] if digest else [])]
 
+        f.done = model.forget  # the worker may have other things to do after this task
         return f
 
     return with_columns_from(docs, fields, [text_col], make, drop=() if keep_text else [text_col])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices, with_columns_from, written
+from ._common import returned, slices, with_columns_from, written
 
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
 #: The same for lines of few words, which may have no spaces at all.
@@ -129,7 +129,7 @@ def _occurrences(docs: DataFrame, min_words: int, min_chars: int | None) -> Data
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["k", "r", "doc", "a", "b"])
 
-    return docs.mapInArrow(run, "k binary, r long, doc long, a int, b int")
+    return docs.mapInArrow(returned(run), "k binary, r long, doc long, a int, b int")
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = 8, min_chars: int | None = 80) -> DataFrame:
