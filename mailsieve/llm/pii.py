@@ -8,14 +8,19 @@ Surrogates keep type and format: letters become letters of the same script and
 case, digits digits, separators stay; a payment number keeps its first digit and
 whether its check digit is right; an address keeps its top-level domain, and one
 domain stays one domain; names are made for the gender of the title and the
-script, given and family name apart, so that "Mrs Anna Berg" and "Mrs Berg"
-stay one person.
+script (Latin, Cyrillic, Greek; others become Latin), given and family name
+apart, so that "Mrs Anna Berg" and "Mrs Berg" stay one person, and so do "Anna
+Berg" and "Berg" without the title wherever the same text has one with it.
+Secrets keep a known prefix, telephone numbers their country code.
 
 Collision checks run over the dictionary: a surrogate may be neither that of
 another entity nor an entity of the data.  Those that are get the next attempt
 until none is left.  Only entities with a later attempt are joined back to the
 documents that hold them.
 
+Texts are read twice, to gather the dictionary and to replace; nothing else than the
+dictionary is written.  No entity is too long to be found.
+
 Defined cases: a null text stays null with no entities; a text without entities
 is returned as it is; documents with the same id share the later attempts, which
 belong to the entity and not to the document; columns named like the new ones
@@ -24,6 +29,8 @@ are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +39,26 @@ from ._common import written
 _WORD = r"\p{L}\p{N}"
 _NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?"
 #: Titles of men and women.
-TITLES_M = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин")
-TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа")
+TITLES_M = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "Κύριος")
+TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "Κυρία")
+_TITLES = "|".join(TITLES_M + TITLES_F)
+#: How secrets of known kinds begin, and country codes of telephone numbers.
+PREFIXES = "AKIA|ghp_|sk-"
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9a-fA-F]{1,4}"
+_IP6 = rf"(?<![{_WORD}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9a-fA-F:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![{_WORD}:])"
 PATTERNS = {
-    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]{{1,64}}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}})\.){{1,8}}[A-Za-z]{{2,24}}(?![{_WORD}])",
-    "secret": rf"(?<![{_WORD}])(?:[0-9a-fA-F]{{32,128}}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{{16,64}})(?![{_WORD}])",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "email": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}(?![{_WORD}])",
+    "secret": rf"(?<![{_WORD}])(?:[0-9a-fA-F]{{32,}}|(?:{PREFIXES})[A-Za-z0-9]{{16,}})(?![{_WORD}])",
+    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)|{_IP6}",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{1,7}(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?<![{_WORD}])(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![{_WORD}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 TYPES = tuple(PATTERNS)
 #: What every entity has, each alternative of ``PATTERNS`` at least one of these: a quick test that spares most texts the pattern.
-_HINT = rf"@|\d{{3}}|\d\.\d|\+\d|[0-9a-fA-F]{{16}}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{{16}}|(?:{'|'.join(TITLES_M + TITLES_F)})\.? \p{{Lu}}"
+_HINT = rf"@|\d{{3}}|\d\.\d|\+\d|[0-9a-fA-F]{{16}}|(?:{PREFIXES})[A-Za-z0-9]{{16}}|(?:{_TITLES})\.? \p{{Lu}}|::|(?:{_HEX}:){{7}}"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: Letters by script; a letter is replaced by one of its own row.
@@ -57,12 +70,15 @@ ALPHABETS = (
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
     "αβγδεζηθικλμνξοπρστυφχψω",
+    "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    "άέήίόύώ",
 )
 #: Syllables of made-up names and their endings, by script.
-SYLLABLES = {"latin": "ba be bi da de do ga ka ke la le li lo ma me mi na ne no ra re ri ro sa se ta te ti va vi".split(), "cyrillic": "ба ва га да за ка ла ле ли ма ме ми на но ра ре ро са се та ти".split()}
+SYLLABLES = {"latin": "ba be bi da de do ga ka ke la le li lo ma me mi na ne no ra re ri ro sa se ta te ti va vi".split(), "cyrillic": "ба ва га да за ка ла ле ли ма ме ми на но ра ре ро са се та ти".split(), "greek": "βα γα δα ζα κα λα λε λι μα με μι να νο ρα ρε ρο σα σε τα τι".split()}
 ENDINGS = {
     ("latin", "given_m"): ("n", "r", "l"), ("latin", "given_f"): ("na", "lia", "ra"), ("latin", "family_m"): ("ner", "son", "mann"), ("latin", "family_f"): ("ner", "son", "mann"),
     ("cyrillic", "given_m"): ("н", "р", "й"), ("cyrillic", "given_f"): ("на", "лия", "ра"), ("cyrillic", "family_m"): ("нов", "рин", "лев"), ("cyrillic", "family_f"): ("нова", "рина", "лева"),
+    ("greek", "given_m"): ("νος", "ρης", "λος"), ("greek", "given_f"): ("να", "ρία", "λη"), ("greek", "family_m"): ("νίδης", "ράκης", "λόπουλος"), ("greek", "family_f"): ("νίδου", "ράκη", "λοπούλου"),
 }
 
 
@@ -135,22 +151,27 @@ def _name(kind: Column, canon: Column, seed: Column, attempt: Column) -> Column:
         stem = lambda numbers: F.array_join(F.transform(F.slice(numbers, 2, 2 + attempt), lambda x: F.get(syllables, F.pmod(x, F.lit(len(SYLLABLES[script]))))), "")
         return let(_numbers(seed, 3 + attempt), lambda numbers: F.concat(stem(numbers), ending(numbers)))
 
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical form."""
 
     def made(seed: Column) -> Column:
+        head = lambda pattern: F.regexp_extract(canon, f"^(?:{pattern})", 0)
+        after = lambda pattern: let(head(pattern), lambda h: F.concat(h, _scrambled(F.substr(canon, F.length(h) + 1), seed)))
+        groups = let(_numbers(seed, F.length(canon)), lambda numbers: F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).when(c == "", c).otherwise(F.lower(F.hex(F.pmod(F.get(numbers, i), F.lit(16)))))), ""))
         octets = let(_numbers(seed, F.lit(4)), lambda numbers: F.array_join(F.transform(F.slice(numbers, 1, 4), lambda x: (F.pmod(x, F.lit(254)) + 1).cast("string")), "."))
         digits = let(_numbers(seed, F.length(canon)), lambda numbers: F.array_join(F.transform(F.slice(numbers, 1, F.length(canon)), lambda x: F.lower(F.hex(F.pmod(x, F.lit(16))))), ""))
         hexed = F.when(canon == F.upper(canon), F.upper(digits)).otherwise(digits)
         return (
             F.when(kind == "email", _email(canon, seed, key, attempt))
+            .when((kind == "ip") & canon.contains(":"), groups)
             .when(kind == "ip", octets)
             .when(kind == "card", _card(canon, seed))
             .when((kind == "secret") & canon.rlike("^[0-9a-fA-F]+$"), hexed)
-            .when(kind.isin("phone", "secret"), _scrambled(canon, seed))
+            .when(kind == "secret", after(PREFIXES))
+            .when(kind == "phone", after(COUNTRY))
             .otherwise(_name(kind, canon, seed, attempt))
         )
 
@@ -164,22 +185,47 @@ def _type(found: Column) -> Column:
     return out
 
 
+def _titled(found: Column) -> Column:
+    return F.regexp_extract(found, r"^\p{L}+", 0).isin(*TITLES_M, *TITLES_F)
+
+
 def _gender(found: Column) -> Column:
     return F.when(F.regexp_extract(found, r"^\p{L}+", 0).isin(*TITLES_F), "f").otherwise("m")
 
 
-def _tokens(found: Column, kind: Column) -> Column:
+def _names(found: Column) -> Column:
+    """The names of a person, without the title."""
+    return F.when(_titled(found), F.slice(F.split(found, " "), 2, 2)).otherwise(F.split(found, " "))
+
+
+def _people(found: Column) -> Column:
+    """The persons with a title among entities: an array of ``family``, ``full`` and ``gender``."""
+    persons = F.filter(found, lambda x: x.rlike(f"^(?:{PATTERNS['person']})$"))
+    one = lambda x: let(_names(x), lambda names: F.struct(F.element_at(names, -1).alias("family"), F.array_join(names, " ").alias("full"), _gender(x).alias("gender")))
+    return F.transform(persons, one)
+
+
+def _tokens(found: Column, kind: Column, people: Column) -> Column:
     """The canonical parts of an entity: an array of kind and canonical form."""
-    one = F.when(kind == "email", F.lower(found)).when(kind.isin("phone", "card"), F.regexp_replace(found, r"\D", "")).otherwise(found)
+    digits = F.regexp_replace(found, r"\D", "")
+    one = (
+        F.when((kind == "email") | (kind == "ip"), F.lower(found))
+        .when((kind == "phone") & found.startswith("+"), F.concat(F.lit("+"), digits))
+        .when(kind.isin("phone", "card"), digits)
+        .otherwise(found)
+    )
 
     def named(names: Column) -> Column:
+        # a mention without a title has the gender of the one with it
+        known = F.get(F.filter(people, lambda p: p["family"] == F.element_at(names, -1)), F.lit(0))["gender"]
+
         def part(word: Column, i: Column) -> Column:
             place = F.when(i == F.size(names) - 1, "family_").otherwise("given_")
-            return F.struct(F.concat(place, _gender(found)).alias("kind"), F.lower(word).alias("canon"))
+            return F.struct(F.concat(place, F.when(_titled(found), _gender(found)).otherwise(F.coalesce(known, F.lit("m")))).alias("kind"), F.lower(word).alias("canon"))
 
         return F.transform(names, part)
 
-    return F.when(kind == "person", let(F.slice(F.split(found, " "), 2, 2), named)).otherwise(F.array(F.struct(kind.alias("kind"), one.alias("canon"))))
+    return F.when(kind == "person", let(_names(found), named)).otherwise(F.array(F.struct(kind.alias("kind"), one.alias("canon"))))
 
 
 def _as_written(found: Column, kind: Column, made: Column) -> Column:
@@ -188,48 +234,70 @@ def _as_written(found: Column, kind: Column, made: Column) -> Column:
     cased = F.array_join(F.zip_with(_chars(found), _chars(first), lambda c, m: F.when(c.isNotNull() & (c != F.lower(c)), F.upper(m)).otherwise(m)), "")
     cased = F.when(F.length(first) == F.length(found), cased).otherwise(first)
     before = lambda i: F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), r"\D", ""))
-    filled = F.array_join(F.transform(_chars(found), lambda c, i: F.when(c.rlike(r"\d"), F.substr(first, before(i), F.lit(1))).otherwise(c)), "")
-    names = F.concat(F.substring_index(found, " ", 1), F.lit(" "), F.array_join(F.transform(made, F.initcap), " "))
+    digits = F.regexp_replace(first, r"\D", "")
+    filled = let(digits, lambda d: F.array_join(F.transform(_chars(found), lambda c, i: F.when(c.rlike(r"\d"), F.substr(d, before(i), F.lit(1))).otherwise(c)), ""))
+    title = F.when(_titled(found), F.concat(F.substring_index(found, " ", 1), F.lit(" "))).otherwise("")
+    names = F.concat(title, F.array_join(F.transform(made, F.initcap), " "))
     return F.when(kind == "person", names).when(kind == "email", cased).when(kind.isin("phone", "card"), filled).otherwise(first)
 
 
-def _found(text: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({_ANY})"), F.lit(1))).otherwise(none)
+def _pattern(people: Column) -> Column:
+    """What finds the entities of a text: the pattern, and the names of its titled persons where they have no title."""
+    quoted = F.transform(people, lambda p: F.concat(F.when(p["full"] != p["family"], F.concat(p["full"], F.lit("|"))).otherwise(""), p["family"]))
+    names = F.concat(F.lit(rf"|(?<![{_WORD}])(?:"), F.array_join(F.array_sort(F.array_distinct(quoted), lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(rf")(?![{_WORD}])"))
+    return F.concat(F.lit(_ANY), F.when(F.size(people) > 0, names).otherwise(""))
+
+
+def _with_found(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__people`` and ``__found``, the entities in order."""
+    text, none = F.col(text_col), F.array().cast("array<string>")
+    every = lambda pattern: F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
+    first = docs.withColumn("__found", F.when(text.rlike(_HINT), every(F.lit(_ANY))).otherwise(none))
+    named = first.withColumn("__people", _people(F.col("__found"))).withColumn("__pattern", _pattern(F.col("__people")))
+    return named.withColumn("__found", F.when(F.size("__people") > 0, every(F.col("__pattern"))).otherwise(F.col("__found")))
+
 
+def later_attempts(dictionary: DataFrame, key: str) -> DataFrame:
+    """Entities (``kind``, ``canon``) whose first surrogate collides, and the ``attempt`` that doesn't.
 
-def later_attempts(dictionary: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
-    """Entities (``kind``, ``canon``) whose first surrogate collides, and the ``attempt`` that doesn't."""
-    now = written(dictionary.withColumn("attempt", F.lit(0)), "pii-attempts")
+    Each round makes surrogates for those that collided only, and holds them against all that are taken; later
+    attempts have more room (longer names, added digits), so that the rounds end.
+    """
     space = F.substring_index("kind", "_", 1)
-    for _ in range(max_rounds):
+    real = written(dictionary.select(space.alias("space"), F.col("canon").alias("made")).distinct(), "pii-real")
+    now = dictionary.withColumn("attempt", F.lit(0))
+    taken, settled = real, []
+    while True:
         made = now.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("space", space)
-        real = dictionary.select(space.alias("space"), F.col("canon").alias("made")).distinct().withColumn("real", F.lit(True))
-        place = F.row_number().over(Window.partitionBy("space", "made").orderBy("attempt", "kind", "canon"))
-        checked = made.join(real, ["space", "made"], "left").withColumn("place", place)
-        bad = (F.col("place") > 1) | F.col("real").isNotNull()
-        checked = written(checked.select("kind", "canon", (F.col("attempt") + bad.cast("int")).alias("attempt"), bad.alias("bad")), "pii-attempts")
-        now = checked.select("kind", "canon", "attempt")
-        if checked.where("bad").isEmpty():
-            return now.where("attempt > 0")
-    raise RuntimeError("surrogates still collide")
+        place = F.row_number().over(Window.partitionBy("space", "made").orderBy("kind", "canon"))
+        held = taken.select("space", "made").distinct().withColumn("held", F.lit(True))
+        checked = made.withColumn("place", place).join(held, ["space", "made"], "left")
+        checked = written(checked.withColumn("bad", (F.col("place") > 1) | F.col("held").isNotNull()).select("kind", "canon", "attempt", "space", "made", "bad"), "pii-attempts")
+        good = checked.where("not bad")
+        taken = taken.union(good.select("space", "made"))
+        settled.append(good.select("kind", "canon", "attempt"))
+        now = checked.where("bad").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        if now.isEmpty():
+            return reduce(DataFrame.union, settled[1:], settled[0].where("false"))
 
 
 def pseudonymize(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the entities in the text replaced and ``entities``, the types in order of appearance."""
-    tokens = docs.select(F.col(id_col).alias("__doc"), F.explode(F.flatten(F.transform(_found(F.col(text_col)), lambda x: let(_type(x), lambda kind: _tokens(x, kind))))).alias("t")).select("__doc", "t.kind", "t.canon").distinct()
+    with_found = _with_found(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")), "__text")
+    tokens = F.flatten(F.transform("__found", lambda x: let(_type(x), lambda kind: _tokens(x, kind, F.col("__people")))))
+    tokens = with_found.select("__doc", F.explode(tokens).alias("t")).select("__doc", "t.kind", "t.canon").distinct()
     tokens = written(tokens, "pii-entities")
     later = written(later_attempts(tokens.select("kind", "canon").distinct(), key), "pii-later")
     name = lambda t: F.concat_ws("\n", t["kind"], t["canon"])
     own = tokens.join(later, ["kind", "canon"]).groupBy("__doc").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\n", "kind", "canon"), "attempt"))).alias("__later"))
     own = written(own, "pii-own")
-    joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("__doc")), "left").withColumn("__found", _found(F.col(text_col)))
+    joined = _with_found(docs.join(own, F.col(id_col).eqNullSafe(F.col("__doc")), "left"), text_col)
 
     def replaced(found: Column) -> Column:
         part = lambda t: surrogate(t["kind"], t["canon"], F.coalesce(F.try_element_at("__later", name(t)), F.lit(0)), key)
-        return let(_type(found), lambda kind: let(F.transform(_tokens(found, kind), part), lambda made: _as_written(found, kind, made)))
+        return let(_type(found), lambda kind: let(F.transform(_tokens(found, kind, F.col("__people")), part), lambda made: _as_written(found, kind, made)))
 
-    gaps = F.split(F.col(text_col), _ANY, -1)
+    gaps = F.split(F.col(text_col), F.col("__pattern"), -1)
     made = F.transform("__found", replaced)
     clean = let(made, lambda made: F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(made, i), F.lit("")))), ""))
     clean = F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))
