@@ -81,7 +81,7 @@ class CrfModel:
         a mail without lines no labels and the probability 1."""
         model = self
 
-        def run(x: pa.Array) -> pa.Array:
+        def run(x: pa.Array, sizes: pa.Array) -> pa.Array:
             numbers, offsets = attributes(x)
             labels, marginals, probability = model.predict_batch(numbers, offsets, numbers[:, ATTRIBUTES.index("is_delimiter")] > 0)
             confidence = marginals[np.arange(len(marginals)), [LABELS.index(v) for own in labels for v in own]] if len(marginals) else np.zeros(0)
@@ -98,8 +98,9 @@ class CrfModel:
             )
             return out
 
-        run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, PREDICTION).asNondeterministic()(features)
+        run.__annotations__ = {"x": pa.Array, "sizes": pa.Array, "return": pa.Array}
+        # the column is named twice, so that what makes it stays a step of its own and is not moved into this call
+        return F.arrow_udf(run, PREDICTION).asNondeterministic()(features, F.size(features))
 
 
 def labeled_lines(texts: Column, prediction: Column) -> Column:

@@ -1,7 +1,8 @@
 """What a line looks like: predicates on a Column of stripped text.
 
 Each list below holds one predicate's expressions; they are joined to one
-pattern, so that a line is tested once per predicate.
+pattern, so that a line is tested once per predicate.  Expressions that another
+one of the list covers are left out, as they change nothing in the joined pattern.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, is_blank, strip
+from .text import WS, is_blank, let, strip
 
 _S = f"[{WS}]"
 _END = "[。.!！〜~]?"
@@ -63,6 +64,17 @@ META = ("例えば", "以下の", "下記の", "次の", "サンプル", "具体
 QUOTED = ("「.*」", "『.*』", ",.* ", '".*"')
 
 
+class Stripped:
+    """A text without white space at its ends, which the predicates then need not strip again."""
+
+    def __init__(self, text: Column):
+        self.text = text
+
+
+def _inside(text: Column | Stripped) -> Column:
+    return text.text if isinstance(text, Stripped) else strip(text)
+
+
 def whole(patterns: tuple[str, ...]) -> str:
     return f"^(?:{'|'.join(patterns)})$"
 
@@ -77,16 +89,16 @@ def quote_depth(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, "[^>|]", ""))
 
 
-def is_forward_reply_header(text: Column) -> Column:
-    return strip(text).rlike(whole(HEADERS))
+def is_forward_reply_header(text: Column | Stripped) -> Column:
+    return _inside(text).rlike(whole(HEADERS))
 
 
-def is_greeting(text: Column) -> Column:
-    return strip(text).rlike(whole(GREETINGS))
+def is_greeting(text: Column | Stripped) -> Column:
+    return _inside(text).rlike(whole(GREETINGS))
 
 
-def is_closing(text: Column) -> Column:
-    return strip(text).rlike(whole(CLOSINGS))
+def is_closing(text: Column | Stripped) -> Column:
+    return _inside(text).rlike(whole(CLOSINGS))
 
 
 def is_contact_info(text: Column) -> Column:
@@ -105,8 +117,8 @@ def has_meta_discussion(text: Column) -> Column:
     return text.rlike(anywhere(META))
 
 
-def is_inside_quotation_marks(text: Column) -> Column:
-    s = strip(text)
+def is_inside_quotation_marks(text: Column | Stripped) -> Column:
+    s = _inside(text)
     return s.rlike(anywhere(QUOTED)) | (s == '"')
 
 
@@ -125,14 +137,18 @@ def is_non_pronounceable(c: Column) -> Column:
 
 def is_separator(text: Column) -> Column:
     """At least two visible characters, all without a sound; or one such character three times and in half the line."""
-    visible = F.regexp_replace(text, f"[{_HIDDEN}]", "")
-    n = F.length(visible)
-    signs = F.regexp_replace(visible, f"[{_SPOKEN}]", "")
-    chars = F.array_distinct(F.split(signs, ""))
-    count = lambda c: F.length(signs) - F.length(F.replace(signs, c, F.lit("")))
-    # few lines have as many signs as the second rule asks for, so that most are not taken apart
-    often = F.when((F.length(signs) >= 3) & (2 * F.length(signs) >= n), F.exists(chars, lambda c: (c != "") & (count(c) >= 3) & (2 * count(c) >= n))).otherwise(F.lit(False))
-    return ((n >= 2) & (signs == visible)) | often
+
+    def judged(x: Column) -> Column:
+        n, signs = F.length(x["visible"]), x["signs"]
+        chars = F.array_distinct(F.split(signs, ""))
+        count = lambda c: F.length(signs) - F.length(F.replace(signs, c, F.lit("")))
+        # few lines have as many signs as the second rule asks for, so that most are not taken apart
+        often = F.when((F.length(signs) >= 3) & (2 * F.length(signs) >= n), F.exists(chars, lambda c: (c != "") & (count(c) >= 3) & (2 * count(c) >= n))).otherwise(F.lit(False))
+        return ((n >= 2) & (signs == x["visible"])) | often
+
+    visible = F.regexp_replace(text, f"[{_HIDDEN}]+", "")
+    # what is no sound of the visible characters is what is neither hidden nor a sound of all of them
+    return let(F.struct(visible.alias("visible"), F.regexp_replace(text, f"[{_HIDDEN}{_SPOKEN}]+", "").alias("signs")), judged)
 
 
 @lru_cache
@@ -163,8 +179,8 @@ NAME_SHAPES = (
 _NOT_IN_NAMES = "[。、！？!?,.:;]"
 
 
-def is_name(text: Column, known: dict[str, tuple[str, ...]] | None = None) -> Column:
-    s = strip(text)
+def is_name(text: Column | Stripped, known: dict[str, tuple[str, ...]] | None = None) -> Column:
+    s = _inside(text)
     listed = (F.length(s) <= 15) & ~s.rlike(_NOT_IN_NAMES) & s.rlike(name_pattern(known))
     return s.rlike(whole(NAME_SHAPES)) | listed
 
@@ -174,19 +190,20 @@ def contains_name(text: Column, known: dict[str, tuple[str, ...]] | None = None)
     return text.rlike(_any_of((*known["last"], *known["katakana"]))) | F.lower(text).rlike(_any_of(tuple(x.lower() for x in known["romaji"])))
 
 
-def line_flags(text: Column) -> dict[str, Column]:
+def line_flags(text: Column | Stripped) -> dict[str, Column]:
     """The nine flags of a line, and its quote depth, header and delimiter marks."""
-    full = ~is_blank(text)
+    full = text.text != "" if isinstance(text, Stripped) else ~is_blank(text)
+    own = text.text if isinstance(text, Stripped) else text
     return {
-        "quote_depth": quote_depth(text),
+        "quote_depth": quote_depth(own),
         "is_forward_reply_header": is_forward_reply_header(text),
-        "is_delimiter": is_separator(text),
+        "is_delimiter": is_separator(own),
         "is_greeting": is_greeting(text),
         "is_closing": is_closing(text),
-        "has_contact_info": full & is_contact_info(text),
-        "has_company_pattern": full & is_company(text),
-        "has_position_pattern": full & is_position(text),
+        "has_contact_info": full & is_contact_info(own),
+        "has_company_pattern": full & is_company(own),
+        "has_position_pattern": full & is_position(own),
         "has_name_pattern": is_name(text),
-        "has_meta_discussion": has_meta_discussion(text),
+        "has_meta_discussion": has_meta_discussion(own),
         "is_inside_quotation_marks": is_inside_quotation_marks(text),
     }

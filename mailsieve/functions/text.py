@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
+    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
 
 def is_blank(c: Column) -> Column:
@@ -45,16 +47,23 @@ def trim_blank_lines(lines: Column) -> Column:
     return let(lines, lambda ls: let(ends(ls), lambda full: cut(ls, full)))
 
 
-def class_ratios(text: Column) -> dict[str, Column]:
-    """Shares of the six classes of characters; 0 in an empty text."""
-    n = F.length(text)
-    share = lambda k: F.when(n == 0, F.lit(0.0)).otherwise(k / n)
-    count = lambda inside: F.length(text) - F.length(F.regexp_replace(text, f"[{inside}]", ""))
+def class_shares(text: Column) -> Column:
+    """A struct of the shares of the six classes of characters; 0 in an empty text.  Each class is counted once."""
+    count = lambda inside: F.length(text) - F.length(F.regexp_replace(text, f"[{inside}]+", ""))
     found = {"kanji_ratio": count(KANJI), "hiragana_ratio": count(HIRAGANA), "katakana_ratio": count(KATAKANA), "ascii_ratio": count("A-Za-z"), "digit_ratio": count("0-9" + OTHER_DIGITS)}
-    rest = n
-    for k in found.values():
-        rest = rest - k
-    return {name: share(k) for name, k in found.items()} | {"symbol_ratio": share(rest)}
+
+    def shares(k: Column) -> Column:
+        share = lambda x: F.when(k["n"] == 0, F.lit(0.0)).otherwise(x / k["n"])
+        rest = reduce(Column.__sub__, (k[name] for name in found), k["n"])
+        return F.struct(*(share(k[name]).alias(name) for name in found), share(rest).alias("symbol_ratio"))
+
+    return let(F.struct(F.length(text).alias("n"), *(v.alias(name) for name, v in found.items())), shares)
+
+
+def class_ratios(text: Column) -> dict[str, Column]:
+    """The fields of ``class_shares`` by name."""
+    shares = class_shares(text)
+    return {name: shares[name] for name in ("kanji_ratio", "hiragana_ratio", "katakana_ratio", "ascii_ratio", "digit_ratio", "symbol_ratio")}
 
 
 #: Digits outside ASCII: superscripts, full-width and the other scripts' ranges of ten.

@@ -5,64 +5,119 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
+#: How often each character is in a separator, in the order of the characters.
+Shape = tuple[tuple[str, int], ...]
 
-def similar(a: str, b: str) -> bool:
-    """Two separators of the same characters, with lengths and counts that differ by one at most."""
-    x, y = Counter(a), Counter(b)
-    return abs(len(a) - len(b)) <= 1 and x.keys() == y.keys() and all(abs(x[c] - y[c]) <= 1 for c in x)
 
+def shape(text: str) -> Shape:
+    return tuple(sorted(Counter(text).items()))
 
-def sections(texts: Sequence[str], at: Sequence[int]) -> list[tuple[int, int]]:
-    """Pairs of separators (``at`` has their places): each opens a section unless it closed one before, and the first
-    similar one that is free and not next to it closes it."""
-    out, used = [], set()
-    for k, start in enumerate(at):
-        if start in used:
-            continue
-        for end in at[k + 1 :]:
-            if end not in used and end > start + 1 and similar(texts[start], texts[end]):
-                used.add(end)
-                out.append((start, end))
-                break
-    return out
+
+def alike(x: Shape, y: Shape) -> bool:
+    """Shapes of the same characters whose counts, and their sums, differ by one at most."""
+    off = [n - m for (_, n), (_, m) in zip(x, y, strict=False)]
+    return [c for c, _ in x] == [c for c, _ in y] and abs(sum(off)) <= 1 and max(map(abs, off), default=0) <= 1
+
+
+class _Closers:
+    """The separators that can still close a section: a queue of places for each shape.
+
+    Sections are opened from the first line on, so a place that is too early for one is too early for all that
+    follow, and a queue is only ever read forwards.
+    """
+
+    def __init__(self, texts: Sequence[str], at: Sequence[int]):
+        self.shape_of = {i: shape(texts[i]) for i in at}
+        self.queues: dict[Shape, list[int]] = {}
+        self.read: dict[Shape, int] = {}
+        by_characters: dict[tuple[str, ...], list[Shape]] = {}
+        for i in at:
+            own = self.shape_of[i]
+            if own not in self.queues:
+                by_characters.setdefault(tuple(c for c, _ in own), []).append(own)
+            self.queues.setdefault(own, []).append(i)
+            self.read[own] = 0
+        self.likes = {own: [x for x in group if alike(own, x)] for group in by_characters.values() for own in group}
+
+    def take(self, start: int) -> int | None:
+        """The first one that can close what opens at ``start``; no other section gets it."""
+        heads = []
+        for own in self.likes[self.shape_of[start]]:
+            queue = self.queues[own]
+            while self.read[own] < len(queue) and queue[self.read[own]] <= start + 1:
+                self.read[own] += 1
+            if self.read[own] < len(queue):
+                heads.append((queue[self.read[own]], own))
+        if not heads:
+            return None
+        end, own = min(heads)
+        self.read[own] += 1
+        return end
 
 
 def section_flags(texts: Sequence[str], separators: Sequence[bool], signature: Sequence[bool]) -> tuple[list[bool], list[bool]]:
-    """For each line: whether it is inside a section, and whether that (of the last one opened) holds a line of a signature."""
-    inside, flagged = [False] * len(texts), [False] * len(texts)
+    """For each line: whether it is inside a section, and whether that holds a line of a signature.
+
+    A section goes from a separator that closes none to the next like it with a line between.  Of several around a
+    line the one opened last counts.
+    """
+    n = len(texts)
+    opened_by = np.full(n, -1)
     at = [i for i, s in enumerate(separators) if s]
-    for start, end in sections(texts, at) if len(at) > 1 else ():
-        holds = any(signature[start + 1 : end])
-        for i in range(start + 1, end):
-            inside[i], flagged[i] = True, holds
-    return inside, flagged
+    if len(at) < 2:
+        return [False] * n, [False] * n
+    closers, closing = _Closers(texts, at), set()
+    signed = np.concatenate([[0], np.cumsum(np.asarray(signature, int))])
+    holds = np.zeros(n, bool)
+    for start in at:
+        if start not in closing and (end := closers.take(start)) is not None:
+            closing.add(end)
+            opened_by[start + 1 : end] = start
+            holds[start] = signed[end] > signed[start + 1]
+    inside = opened_by >= 0
+    return inside.tolist(), (inside & holds[opened_by]).tolist()
+
+
+#: Labels that a block between separators may take as a whole.
+_WHOLE = ("BODY", "SIGNATURE")
 
 
 def unified(labels: list[str], separators: Sequence[bool]) -> list[str]:
     """Labels where blocks from one separator to a later one, both included, are all body or all signature if more
-    than half of the block is.  Later blocks see what earlier ones changed."""
-    at = [i for i, s in enumerate(separators) if s]
+    than half of the block is.  Later blocks see what earlier ones changed.
+
+    ``lead`` sums, for either label, one for each line that has it and minus one for each that has not: it is higher
+    after a block than before it where the label has the block.
+    """
+    at = np.flatnonzero(np.asarray(separators, bool))
     if len(labels) < 3 or len(at) < 2:
         return labels
-    out, used = list(labels), set()
-    for k, start in enumerate(at):
-        if start in used:
+    names = np.array(labels, object)
+    step = np.stack([np.where(names == x, 1, -1) for x in _WHOLE])
+    lead = np.concatenate([np.zeros((2, 1), int), step.cumsum(1)], axis=1)
+    free = np.ones(len(at), bool)
+    for k in np.arange(len(at) - 1):
+        if not free[k]:
             continue
-        for end in at[k + 1 :]:
-            if end in used or end <= start + 1:
-                continue
-            block = out[start : end + 1]
-            if winner := next((x for x in ("BODY", "SIGNATURE") if 2 * block.count(x) > len(block)), None):
-                out[start : end + 1] = [winner] * len(block)
-                used.add(end)
-                break
-    return out
+        start, ends = at[k], at[k + 1 :]
+        won = (lead[:, ends + 1] > lead[:, [start]]) & free[k + 1 :] & (ends > start + 1)
+        if not won.any():
+            continue
+        first = int(won.any(0).argmax())
+        end, label = ends[first], int(won[:, first].argmax())
+        free[k + 1 + first] = False
+        names[start : end + 1] = _WHOLE[label]
+        step[:, start : end + 1] = -1
+        step[label, start : end + 1] = 1
+        lead[:, start + 1 :] = lead[:, [start]] + step[:, start:].cumsum(1)
+    return names.tolist()
 
 
 def repaired(labels: list[str], separators: Sequence[bool]) -> list[str]:

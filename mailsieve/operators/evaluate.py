@@ -51,7 +51,7 @@ def rates(flagged: DataFrame, *by: str) -> DataFrame:
 def label_metrics(rows: DataFrame) -> DataFrame:
     """Precision, recall and F1 of each label from ``predicted`` and ``truth`` (arrays); mails where these differ in
     length do not count."""
-    pairs = rows.where(F.size("predicted") == F.size("truth")).select(F.explode(F.arrays_zip(F.col("predicted").alias("p"), F.col("truth").alias("t"))).alias("x"))
+    pairs = rows.where(F.size("predicted") == F.size("truth")).select(F.explode_outer(F.arrays_zip(F.col("predicted").alias("p"), F.col("truth").alias("t"))).alias("x")).where("x is not null")
     sides = pairs.select(F.explode(F.when(F.col("x.p") == F.col("x.t"), F.array(F.struct(F.col("x.p").alias("label"), F.lit("tp").alias("side")))).otherwise(
         F.array(F.struct(F.col("x.p").alias("label"), F.lit("fp").alias("side")), F.struct(F.col("x.t").alias("label"), F.lit("fn").alias("side"))))).alias("s")).select("s.*")
     out = sides.groupBy("label").agg(*(F.sum((F.col("side") == s).cast("long")).alias(s) for s in ("tp", "fp", "fn")))

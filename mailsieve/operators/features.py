@@ -2,84 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import line_flags
-from ..functions.text import class_ratios
-from ..schema import FEATURES, FLAGS
+from ..functions.patterns import Stripped, line_flags
+from ..functions.text import class_shares, let
+from ..schema import FEATURES, FLAGS, RATIOS
 from .brackets import bracket_flags
 from .lines import content, with_gaps
 
+#: What is counted in the lines around one, and the mark it is counted by.
 _CONTEXT = {
-    "context_greeting_count": lambda x: x["is_greeting"],
-    "context_closing_count": lambda x: x["is_closing"],
-    "context_contact_count": lambda x: x["has_contact_info"],
-    "context_quote_count": lambda x: x["quote_depth"] > 0,
-    "context_separator_count": lambda x: x["is_delimiter"],
+    "context_greeting_count": ("is_greeting", lambda x: x["is_greeting"]),
+    "context_closing_count": ("is_closing", lambda x: x["is_closing"]),
+    "context_contact_count": ("has_contact_info", lambda x: x["has_contact_info"]),
+    "context_quote_count": ("quote_depth", lambda x: x["quote_depth"] > 0),
+    "context_separator_count": ("is_delimiter", lambda x: x["is_delimiter"]),
 }
-
-
-def annotated(full: Column) -> Column:
-    """Content lines with their own marks; ``full`` has ``text``, ``original_index`` and the blank lines around."""
+_SIGNED = ("has_contact_info", "has_company_pattern", "has_name_pattern")
+_BRACKETS = ("in_bracketed_section", "bracket_has_signature_patterns")
+#: The marks that other features are made of; a feature that is not here is a mark itself.
+_MADE_OF = (
+    {f: (mark,) for f, (mark, _) in _CONTEXT.items()}
+    | {f: ("is_delimiter", *_SIGNED) for f in _BRACKETS}
+    | {f: ("quote_depth",) for f in ("position_rel_first_quote", "position_rel_last_quote")}
+    | {f: ("is_delimiter",) for f in ("preceded_by_delimiter", "is_visual_separator")}
+    | {f: () for f in ("position_normalized", "position_reverse", "lines_from_start", "lines_from_end", "leading_whitespace", "trailing_whitespace")}
+)
+_STRUCTURE = {"has_quotes": "quote_depth", "has_forward_reply": "is_forward_reply_header", "first_quote_index": "quote_depth", "last_quote_index": "quote_depth"}
+
+
+def annotated(full: Column, marks: Collection[str] | None = None, stripped: bool = False) -> Column:
+    """Content lines with their own marks; ``full`` has ``text``, ``original_index`` and the blank lines around.
+
+    Nothing in a lambda is pruned later, so only the ``marks`` that are asked for are made (all by default).
+    """
 
     def one(x: Column) -> Column:
-        flags = line_flags(x["text"])
+        text = x["text"]
+        found = line_flags(Stripped(text) if stripped else text) | {"line_length": F.length(text)}
         own = [x[c].alias(c) for c in ("text", "original_index", "blank_lines_before", "blank_lines_after")]
-        return F.struct(*own, *(v.alias(k) for k, v in flags.items()), *(v.alias(k) for k, v in class_ratios(x["text"]).items()), F.length(x["text"]).alias("line_length"))
+        some = [v.alias(k) for k, v in found.items() if marks is None or k in marks]
+        ratios = [class_shares(text).alias("ratios")] if marks is None or not set(RATIOS).isdisjoint(marks) else []
+        return F.struct(*own, *some, *ratios)
 
     return F.transform(full, one)
 
 
-def structure(lines: Column) -> dict[str, Column]:
+def structure(lines: Column, names: Collection[str] = tuple(_STRUCTURE)) -> dict[str, Column]:
     """What a mail has: quotes, headers, and the first and last quoted line."""
-    quoted = F.transform(lines, lambda x, i: F.when(x["quote_depth"] > 0, i))
-    return {
-        "has_quotes": F.coalesce(F.exists(lines, lambda x: x["quote_depth"] > 0), F.lit(False)),
-        "has_forward_reply": F.coalesce(F.exists(lines, lambda x: x["is_forward_reply_header"]), F.lit(False)),
-        "first_quote_index": F.array_min(quoted),
-        "last_quote_index": F.array_max(quoted),
+    quoted = lambda: F.transform(lines, lambda x, i: F.when(x["quote_depth"] > 0, i))
+    found = {
+        "has_quotes": lambda: F.coalesce(F.exists(lines, lambda x: x["quote_depth"] > 0), F.lit(False)),
+        "has_forward_reply": lambda: F.coalesce(F.exists(lines, lambda x: x["is_forward_reply_header"]), F.lit(False)),
+        "first_quote_index": lambda: F.array_min(quoted()),
+        "last_quote_index": lambda: F.array_max(quoted()),
     }
+    return {k: make() for k, make in found.items() if k in names}
 
 
-def with_features(mails: DataFrame, lines: str = "lines") -> DataFrame:
+def with_features(mails: DataFrame, lines: str = "lines", names: Collection[str] = tuple(FEATURES), stripped: bool = False) -> DataFrame:
     """Adds ``marks`` (the annotated content lines), the columns of ``structure`` and ``features`` (an array of 37 fields).
 
-    Each step is a column of its own, so that the patterns run once per line.
+    Each step is a column of its own, so that the patterns run once per line.  With ``names`` only these features are
+    made, and only the marks and columns that they need.  ``stripped`` says that no line has white space at its ends.
     """
+    whole = set(names) == set(FEATURES)
+    needed = None if whole else {m for f in names for m in _MADE_OF.get(f, (f,))}
     out = mails.withColumn("__content", content(F.col(lines)))
-    out = out.withColumn("marks", annotated(with_gaps(F.col("__content"), F.size(lines)))).drop("__content")
+    out = out.withColumn("marks", annotated(with_gaps(F.col("__content"), F.size(lines)), needed, stripped)).drop("__content")
     marks = F.col("marks")
-    out = out.withColumns(structure(marks))
-    signed = F.transform(marks, lambda x: x["has_contact_info"] | x["has_company_pattern"] | x["has_name_pattern"])
-    out = out.withColumn("__inside", bracket_flags(marks["text"], marks["is_delimiter"], signed))
-    n = F.size(marks)
+    out = out.withColumns(structure(marks, [k for k, m in _STRUCTURE.items() if needed is None or m in needed]))
+    if not set(_BRACKETS).isdisjoint(names):
+        signed = F.transform(marks, lambda x: x["has_contact_info"] | x["has_company_pattern"] | x["has_name_pattern"])
+        out = out.withColumn("__inside", bracket_flags(marks["text"], marks["is_delimiter"], signed))
+    given = {"marks": marks, "n": F.size(marks)} | {c: F.col(c) for c in ("first_quote_index", "last_quote_index", "__inside") if c in out.columns}
+
+    if "__inside" in given:
+        # named twice: what is used once is moved into what uses it, and Spark can't run an Arrow function inside another
+        given["__again"] = F.size("__inside")
+
+    def all_of(k: Column) -> Column:
+        return F.transform(k["marks"], lambda x, i: one(k, x, i))
 
-    def around(i: Column, test) -> Column:
-        window = F.slice(marks, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3)
-        return F.size(F.filter(window, test)) - test(F.get(marks, i)).cast("int")
+    def around(k: Column, i: Column, test) -> Column:
+        window = F.slice(k["marks"], F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3)
+        return F.size(F.filter(window, test)) - test(F.get(k["marks"], i)).cast("int")
 
-    def one(x: Column, i: Column) -> Column:
+    def one(k: Column, x: Column, i: Column) -> Column:
+        n = k["n"]
         share = F.when(n > 1, i / (n - 1)).otherwise(F.lit(0.0))
-        quote = lambda q: F.coalesce((i - F.col(q)) / F.greatest(n, F.lit(1)), F.lit(0.0))
-        inside = F.get(F.col("__inside"), i)
+        quote = lambda q: F.coalesce((i - k[q]) / F.greatest(n, F.lit(1)), F.lit(0.0))
+        inside = lambda part: F.get(k["__inside"], i)[part]
         found = {
-            "position_normalized": share,
-            "position_reverse": 1.0 - share,
-            "lines_from_start": i,
-            "lines_from_end": n - 1 - i,
-            "position_rel_first_quote": quote("first_quote_index"),
-            "position_rel_last_quote": quote("last_quote_index"),
-            "leading_whitespace": F.lit(0),
-            "trailing_whitespace": F.lit(0),
-            "preceded_by_delimiter": F.coalesce(F.get(marks, i - 1)["is_delimiter"], F.lit(False)),
-            "is_visual_separator": x["is_delimiter"],
-            "in_bracketed_section": inside["inside"],
-            "bracket_has_signature_patterns": inside["flagged"],
-        } | {name: around(i, test) for name, test in _CONTEXT.items()}
-        return F.struct(*((found[f] if f in found else x[f]).cast(t).alias(f) for f, t in FEATURES.items()))
-
-    return out.withColumn("features", F.transform(marks, one)).drop("__inside")
+            "position_normalized": lambda: share,
+            "position_reverse": lambda: 1.0 - share,
+            "lines_from_start": lambda: i,
+            "lines_from_end": lambda: n - 1 - i,
+            "position_rel_first_quote": lambda: quote("first_quote_index"),
+            "position_rel_last_quote": lambda: quote("last_quote_index"),
+            "leading_whitespace": lambda: F.lit(0),
+            "trailing_whitespace": lambda: F.lit(0),
+            "preceded_by_delimiter": lambda: F.coalesce(F.get(k["marks"], i - 1)["is_delimiter"], F.lit(False)),
+            "is_visual_separator": lambda: x["is_delimiter"],
+            "in_bracketed_section": lambda: inside("inside"),
+            "bracket_has_signature_patterns": lambda: inside("flagged"),
+        }
+        found |= {name: (lambda test=test: around(k, i, test)) for name, (_, test) in _CONTEXT.items()}
+        found |= {name: (lambda name=name: x["ratios"][name]) for name in RATIOS}
+        made = {f: found[f]() if f in found else x[f] for f in FEATURES if f in names}
+        return F.struct(*(v.cast(FEATURES[f]).alias(f) for f, v in made.items()))
+
+    # bound once: else what makes the marks could run again for every line that looks at others
+    return out.withColumn("features", let(F.struct(*(v.alias(c) for c, v in given.items())), all_of)).drop("__inside")
 
 
 __all__ = ["FLAGS", "annotated", "structure", "with_features"]

@@ -43,7 +43,16 @@ def blank_map(lines: Column) -> Column:
 
 def explode_lines(mails: DataFrame, lines: str = "lines", *keep: str) -> DataFrame:
     """One row per line: the kept columns, ``pos`` and ``text``."""
-    return mails.select(*keep, F.posexplode(lines).alias("pos", "text"))
+    return exploded(mails, lines, *keep, names=("pos", "text"))
+
+
+def exploded(rows: DataFrame, array: str | Column, *keep: str | Column, names: tuple[str, str] = ("idx", "x")) -> DataFrame:
+    """The kept columns, the place and the value of each element.
+
+    A plain explode would make Spark test first whether the array is empty, and with that make the array twice, the
+    second time wherever the test can be pushed to.
+    """
+    return rows.select(*keep, F.posexplode_outer(array).alias(*names)).where(F.col(names[0]).isNotNull())
 
 
 def _places(lines: Column) -> Column:
@@ -75,6 +84,11 @@ def reconstruct(lines: Column, labeled: Column) -> Column:
 
 def reconstruct_rows(lines: DataFrame, labeled: DataFrame, key: str = "mail_id") -> DataFrame:
     """The same for rows of lines (``key``, ``pos``, ``text``) and of labels (``key``, ``pos``, ``label``, ``confidence``)."""
+    return carried_rows(lines.join(labeled.select(key, "pos", "label", "confidence"), [key, "pos"], "left"), key)
+
+
+def carried_rows(lines: DataFrame, key: str = "mail_id") -> DataFrame:
+    """The same where the rows of the content lines have their labels already."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.join(labeled.select(key, "pos", "label", "confidence"), [key, "pos"], "left").withColumn("is_blank", is_blank(F.col("text")))
+    out = lines.withColumn("is_blank", is_blank(F.col("text")))
     return out.withColumn("label", F.last(F.when(~F.col("is_blank"), F.col("label")), ignorenulls=True).over(w)).withColumn("confidence", F.when(~F.col("is_blank"), F.col("confidence")))

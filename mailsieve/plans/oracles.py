@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import patterns as P
 from ..functions.normalize import DELIMITERS, LONG_MARKS
 from ..functions.text import HIRAGANA, KANJI, KATAKANA, OTHER_DIGITS, WS, ZERO_WIDTH
-from .queries import _JUDGED, MAILS, RAW_LINE, RAW_MAIL
+from .queries import _JUDGED, MAILS, RAW_LINE, RAW_MAIL, SEPARATED
 
 
 def _q(s: str) -> str:
@@ -120,6 +120,16 @@ flagged as (
   from squeezed),
 outcome as (select *, answered and not content_match as confident_wrong, not answered as failed_static, case when not answered then error_type end as error_kind from flagged)"""
 
+#: The lines of mails with more separators; the rest of ``_CONTENT`` as it is.
+_SEPARATED_CONTENT = _CONTENT.replace(_MAILS, f"plain as ({MAILS}), mails as (select mail_id, {SEPARATED} as email_text from plain)")
+#: Whether separator y closes what x opens, after what ``acc`` has used.
+_ALIKE = """y.i > x.i + 1 and not list_contains(acc.used, y.i) and abs(length(y.t) - length(x.t)) <= 1
+    and list_sort(list_distinct(string_split(y.t, ''))) = list_sort(list_distinct(string_split(x.t, '')))
+    and len(list_filter(list_distinct(string_split(x.t, '')), lambda c : abs((length(x.t) - length(replace(x.t, c, ''))) - (length(y.t) - length(replace(y.t, c, '')))) > 1)) = 0"""
+#: Whether the block from separator x to separator e is body or signature by more than half.
+_TAKEN = """e > x.i + 1 and not list_contains(acc.used, e) and (2 * len(list_filter(list_slice(acc.labels, x.i + 1, e + 1), lambda v : v = 'BODY')) > e + 1 - x.i
+    or 2 * len(list_filter(list_slice(acc.labels, x.i + 1, e + 1), lambda v : v = 'SIGNATURE')) > e + 1 - x.i)"""
+
 _OUT = ("exact_match", "content_match", "acceptable", "confident_wrong", "failed_static")
 
 ORACLES = {
@@ -153,14 +163,32 @@ select mail_id, idx, case when n > 1 then idx / (n - 1) else 0.0 end as position
   coalesce(lag(is_delimiter) over (partition by mail_id order by idx), false) as preceded_by_delimiter from q""",
     "context_counts": f"""with {_CONTENT} select mail_id, idx, {', '.join(f"cast(count(*) filter (where {t}) over w - case when {t} then 1 else 0 end as int) as context_{n}_count" for n, t in (("greeting", "is_greeting"), ("closing", "is_closing"), ("contact", "has_contact_info"), ("quote", "quote_depth > 0"), ("separator", "is_delimiter")))}
 from content window w as (partition by mail_id order by idx rows between 2 preceding and 2 following)""",
-    "bracket_sections": f"""with {_CONTENT},
-pairs as (
-  select x.mail_id, x.idx as a, min(y.idx) as z from content x join content y on x.mail_id = y.mail_id and y.idx > x.idx + 1 and x.text = y.text
-  where x.text = '=====' and y.text = '=====' group by x.mail_id, x.idx),
-inside as (select c.mail_id, c.idx, p.a, p.z from content c join pairs p on c.mail_id = p.mail_id and c.idx > p.a and c.idx < p.z),
-holds as (select i.mail_id, i.a, bool_or(has_contact_info or has_company_pattern or has_name_pattern) as h from inside i join content c on c.mail_id = i.mail_id and c.idx = i.idx group by i.mail_id, i.a)
+    "bracket_sections": f"""with {_SEPARATED_CONTENT},
+seps as (
+  select mail_id, list({{'i': idx, 't': text, 'used': cast([] as int[]), 'pairs': cast([] as struct(a int, z int)[])}} order by idx) as l from content where is_delimiter group by mail_id having count(*) > 1),
+paired as (
+  select mail_id, list_reduce(l, lambda acc, x : case when list_contains(acc.used, x.i) or len(list_filter(l, lambda y : {_ALIKE})) = 0 then acc else
+    {{'i': x.i, 't': x.t, 'used': list_append(acc.used, list_filter(l, lambda y : {_ALIKE})[1].i), 'pairs': list_append(acc.pairs, {{'a': x.i, 'z': list_filter(l, lambda y : {_ALIKE})[1].i}})}} end,
+    {{'i': -1, 't': '', 'used': cast([] as int[]), 'pairs': cast([] as struct(a int, z int)[])}}) as r from seps),
+pairs as (select mail_id, p.a as a, p.z as z from (select mail_id, unnest(r.pairs) as p from paired)),
+inside as (select c.mail_id, c.idx, max(p.a) as a from content c join pairs p on c.mail_id = p.mail_id and c.idx > p.a and c.idx < p.z group by c.mail_id, c.idx),
+holds as (
+  select p.mail_id, p.a, bool_or(has_contact_info or has_company_pattern or has_name_pattern) as h
+  from pairs p join content c on c.mail_id = p.mail_id and c.idx > p.a and c.idx < p.z group by p.mail_id, p.a)
 select c.mail_id, c.idx, i.a is not null as in_bracketed_section, coalesce(h, false) as bracket_has_signature_patterns
 from content c left join inside i on c.mail_id = i.mail_id and c.idx = i.idx left join holds on holds.mail_id = i.mail_id and holds.a = i.a""",
+    "unify_blocks": f"""with {_SEPARATED_CONTENT}, ruled as (select *, {_RULE} as label from content),
+seps as (
+  select mail_id, list(label order by idx) as labels, list(idx order by idx) filter (where is_delimiter) as places,
+         list({{'i': idx, 'used': cast([] as int[]), 'labels': cast([] as varchar[])}} order by idx) filter (where is_delimiter) as l from ruled group by mail_id),
+done as (
+  select mail_id, case when len(labels) < 3 or coalesce(len(places), 0) < 2 then labels else list_reduce(l, lambda acc, x :
+    case when list_contains(acc.used, x.i) or len(list_filter(places, lambda e : {_TAKEN})) = 0 then acc else
+    {{'i': x.i, 'used': list_append(acc.used, list_filter(places, lambda e : {_TAKEN})[1]),
+      'labels': list_transform(acc.labels, lambda y, k : case when k - 1 between x.i and list_filter(places, lambda e : {_TAKEN})[1]
+        then case when 2 * len(list_filter(list_slice(acc.labels, x.i + 1, list_filter(places, lambda e : {_TAKEN})[1] + 1), lambda v : v = 'BODY')) > list_filter(places, lambda e : {_TAKEN})[1] + 1 - x.i then 'BODY' else 'SIGNATURE' end else y end)}} end,
+    {{'i': cast(-1 as int), 'used': cast([] as int[]), 'labels': labels}}).labels end as labels from seps)
+select mail_id, array_to_string(labels, ',') as labels from done""",
     "fix_transitions": f"with {_FIXED} select mail_id, idx, l2 as label from fixed",
     "reconstruct": f"""with {_RULED}, j as (select lines.mail_id, lines.pos, lines.text, label from lines left join ruled on lines.mail_id = ruled.mail_id and lines.pos = ruled.pos),
 {_carried('j')} select mail_id, pos, blank as is_blank, label, case when not blank then 0.5 end as confidence from carried""",

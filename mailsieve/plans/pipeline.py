@@ -48,7 +48,7 @@ def prepared(mails: DataFrame, text_col: str = "email_text") -> DataFrame:
     text = F.col(text_col)
     usable = F.when(text.isNotNull() & ~is_blank(text), text)
     out = mails.withColumn("__all", normalized_lines(usable)).withColumn("lines", trimmed(F.col("__all"))).drop("__all")
-    return with_features(out)
+    return with_features(out, stripped=True)
 
 
 def extract(mails: DataFrame, model: CrfModel, text_col: str = "email_text", threshold: float = 0.5, keep_stages: bool = False) -> DataFrame:

@@ -49,8 +49,9 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails, dealt over all cores: they are made of small files, which a few tasks would read."""
     _tables(spark, sf_dir, "orders", "customer")
-    return spark.sql(MAILS)
+    return spark.sql(MAILS).repartition(spark.sparkContext.defaultParallelism)
 
 
 def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,9 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("label", F.expr(_LABEL)).withColumn("is_blank", F.col("text") == "")
 
 
-def _rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rule_labels(spark: SparkSession, sf_dir: str, mail: str = "email_text") -> DataFrame:
     """The content lines of each mail as arrays: ``labels`` by rule and ``separators``."""
-    own = mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text")))
+    own = mails(spark, sf_dir).withColumn("lines", text.split_lines(F.expr(mail)))
     marks = F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(x.alias("text"), *(v.alias(k) for k, v in patterns.line_flags(x).items())))
     out = own.withColumn("marks", marks)
     rule = lambda m: (
@@ -87,7 +88,8 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blank_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text")))
     found = lines.with_gaps(lines.content(F.col("lines")), F.size("lines"))
-    rows = own.withColumn("m", lines.blank_map(F.col("lines"))).select("mail_id", F.posexplode(found).alias("idx", "c"), F.size("m.blank_positions").alias("n_blank"), F.col("m.original_line_count").alias("n_lines"))
+    mapped = own.withColumn("m", lines.blank_map(F.col("lines")))
+    rows = lines.exploded(mapped, found, "mail_id", F.size("m.blank_positions").alias("n_blank"), F.col("m.original_line_count").alias("n_lines"), names=("idx", "c"))
     return rows.select("mail_id", "idx", "c.original_index", "c.blank_lines_before", "c.blank_lines_after", "n_blank", "n_lines")
 
 
@@ -110,7 +112,7 @@ def quote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = features.with_features(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text"))))
+    own = features.with_features(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text"))), names=("quote_depth", "is_forward_reply_header"))
     return own.select("mail_id", "has_quotes", "has_forward_reply", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_quote_index", "last_quote_index")))
 
 
@@ -140,31 +142,35 @@ def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail_lines(spark, sf_dir).where("text <> ''").select("mail_id", "pos", *(v.alias(k) for k, v in found.items()))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = features.with_features(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text"))))
-    return own.select("mail_id", F.posexplode("features").alias("idx", "f")).select("mail_id", "idx", "f.*")
+def _features(spark: SparkSession, sf_dir: str, *names: str, mail: str = "email_text") -> DataFrame:
+    own = features.with_features(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.expr(mail))), names=names)
+    return lines.exploded(own, "features", "mail_id", names=("idx", "f")).select("mail_id", "idx", *(F.col("f")[n].alias(n) for n in names))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("position_normalized", "position_reverse", "lines_from_start", "lines_from_end", "position_rel_first_quote", "position_rel_last_quote", "line_length", "blank_lines_before", "blank_lines_after", "preceded_by_delimiter")
-    return _features(spark, sf_dir).select("mail_id", "idx", *names)
+    return _features(spark, sf_dir, *names)
 
 
 def context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).select("mail_id", "idx", "context_greeting_count", "context_closing_count", "context_contact_count", "context_quote_count", "context_separator_count")
+    return _features(spark, sf_dir, "context_greeting_count", "context_closing_count", "context_contact_count", "context_quote_count", "context_separator_count")
+
+
+#: Some mails get separators that are one or two characters longer than the one they may belong to, and more of them.
+SEPARATED = "replace(replace(email_text, chr(10) || '次の例です', case mail_id % 3 when 0 then '=' || chr(10) || '次の例です' when 1 then '==' || chr(10) || '次の例です' || chr(10) || '======' else chr(10) || '次の例です' end), '営業部', '---------' || chr(10) || '営業部')"
 
 
 def bracket_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).select("mail_id", "idx", "in_bracketed_section", "bracket_has_signature_patterns")
+    return _features(spark, sf_dir, "in_bracketed_section", "bracket_has_signature_patterns", mail=SEPARATED)
 
 
 def fix_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _rule_labels(spark, sf_dir).withColumn("fixed", brackets.repaired_native(F.col("labels"), F.col("separators")))
-    return own.select("mail_id", F.posexplode("fixed").alias("idx", "label"))
+    return lines.exploded(own, "fixed", "mail_id", names=("idx", "label"))
 
 
 def unify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _rule_labels(spark, sf_dir).withColumn("one", brackets.unified_blocks(F.col("labels"), F.col("separators")))
+    own = _rule_labels(spark, sf_dir, SEPARATED).withColumn("one", brackets.unified_blocks(F.col("labels"), F.col("separators")))
     return own.select("mail_id", F.array_join("one", ",").alias("labels"))
 
 
@@ -172,14 +178,12 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _rule_labels(spark, sf_dir)
     none = F.lit(None).cast("map<string,double>")
     labeled = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(0.5).alias("confidence"), none.alias("label_probabilities")))
-    rows = own.select("mail_id", F.explode(lines.reconstruct(F.col("lines"), labeled)).alias("r"))
+    rows = lines.exploded(own, lines.reconstruct(F.col("lines"), labeled), "mail_id", names=("idx", "r"))
     return rows.select("mail_id", F.col("r.original_index").alias("pos"), "r.is_blank", "r.label", "r.confidence")
 
 
 def assemble_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _marked(spark, sf_dir)
-    labeled = own.where("not is_blank").select("mail_id", "pos", "label", F.lit(1.0).alias("confidence"))
-    whole = lines.reconstruct_rows(own.select("mail_id", "pos", "text"), labeled)
+    whole = lines.carried_rows(_marked(spark, sf_dir).select("mail_id", "pos", "text", "label", F.lit(1.0).alias("confidence")))
     return assemble.assembled_rows(whole).select("mail_id", "body_text", F.coalesce("signature_index", F.lit(-1)).alias("signature_index"), F.col("inline_quote_count").cast("long").alias("inline_quote_count"), "success")
 
 
@@ -202,7 +206,7 @@ def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract(mails(spark, sf_dir), CrfModel.load()).select("mail_id", F.posexplode("labeled_lines").alias("idx", "l"))
+    out = lines.exploded(extract(mails(spark, sf_dir), CrfModel.load()), "labeled_lines", "mail_id", names=("idx", "l"))
     return out.select("mail_id", "idx", "l.label", F.round("l.confidence", 6).alias("confidence"), *(F.round(F.col("l.label_probabilities")[y], 6).alias(f"p_{y.lower()}") for y in evaluate.LABELS))
 
 
@@ -254,11 +258,11 @@ def confident_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.label_distribution(_rule_labels(spark, sf_dir).select(F.explode("labels").alias("label")))
+    return evaluate.label_distribution(lines.exploded(_rule_labels(spark, sf_dir), "labels", names=("idx", "label")))
 
 
 def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _rule_labels(spark, sf_dir).select("mail_id", F.explode(evaluate.aligned(F.slice(F.col("labels"), 1, 4), F.col("labels"))).alias("a"))
+    own = lines.exploded(_rule_labels(spark, sf_dir), evaluate.aligned(F.slice(F.col("labels"), 1, 4), F.col("labels")), "mail_id", names=("idx", "a"))
     return own.groupBy("a.predicted", "a.truth", "a.differs").agg(F.count("*").alias("n"))
 
 

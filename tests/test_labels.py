@@ -20,7 +20,8 @@ from mailsieve.schema import FEATURES, LABELS
 def test_similar_separators():
     yes = [("★----★", "★-----★"), ("-----=====", "--=-=-=-=-"), ("", "")]
     no = [("-=-=-=-=", "========="), ("-----", "--------"), ("-", "=")]
-    assert all(brackets.similar(*x) for x in yes) and not any(brackets.similar(*x) for x in no)
+    alike = lambda a, b: brackets.alike(brackets.shape(a), brackets.shape(b))
+    assert all(alike(*x) for x in yes) and not any(alike(*x) for x in no)
 
 
 def test_sections():
@@ -28,6 +29,60 @@ def test_sections():
     assert flags(["Before", "========", "Inside TEL", "========", "After"]) == ([False, False, True, False, False], [False, False, True, False, False])
     assert not any(flags(["a", "---", "b"])[0])
     assert flags(["---", "A", "---", "Mid", "===", "B", "==="])[0] == [False, True, False, False, False, True, False]
+    assert flags(["---", "A", "----", "B", "-----", "C", "--"])[0] == [False, True, False, False, False, False, False]
+    assert flags(["--", "===", "a", "--", "TEL", "===="]) == ([False, True, True, True, True, False], [False, False, True, True, True, False])
+
+
+def plain_flags(texts, separators, signature):
+    """The rule as it is said: every later separator is tried in turn."""
+    from collections import Counter
+
+    inside, holds, closing = [False] * len(texts), [False] * len(texts), set()
+    at = [i for i, s in enumerate(separators) if s]
+    for a in at:
+        if a in closing:
+            continue
+        for z in at:
+            x, y = Counter(texts[a]), Counter(texts[z])
+            if z > a + 1 and z not in closing and set(x) == set(y) and abs(len(texts[a]) - len(texts[z])) <= 1 and max(abs(x[c] - y[c]) for c in x) <= 1:
+                closing.add(z)
+                for i in range(a + 1, z):
+                    inside[i], holds[i] = True, any(signature[a + 1 : z])
+                break
+    return inside, holds
+
+
+def plain_unified(labels, separators):
+    out, closing, at = list(labels), set(), [i for i, s in enumerate(separators) if s]
+    for a in at:
+        for z in at if a not in closing and len(labels) > 2 and len(at) > 1 else ():
+            if z > a + 1 and z not in closing:
+                most = [x for x in ("BODY", "SIGNATURE") if 2 * sum(y == x for y in out[a : z + 1]) > z + 1 - a]
+                if most:
+                    out[a : z + 1] = most * (z + 1 - a)
+                    closing.add(z)
+                    break
+    return out
+
+
+def test_sections_and_blocks_against_the_rules_as_they_are_said():
+    r = random.Random(5)
+    for _ in range(1500):
+        texts = [r.choice(["--", "---", "----", "==", "-=-=", "=-=", "-=", "text", "TEL", "more"]) for _ in range(r.randrange(14))]
+        marks, signed = [t[0] in "-=" for t in texts], [t == "TEL" for t in texts]
+        assert brackets.section_flags(texts, marks, signed) == plain_flags(texts, marks, signed), texts
+        labels = [r.choice(("BODY", "SIGNATURE", "SIGNATURE", "OTHER", "BODY", "CLOSING")) for _ in texts]
+        assert brackets.unified(labels, marks) == plain_unified(labels, marks), (labels, texts)
+
+
+def test_many_separators_take_little_time():
+    import time
+
+    lines = [("-" * (3 + i % 7) if i % 2 else f"line {i}") for i in range(8000)]
+    began = time.time()
+    brackets.section_flags(lines, [i % 2 == 1 for i in range(8000)], [False] * 8000)
+    brackets.unified(["CLOSING" if i % 3 else "BODY" for i in range(8000)], [i % 2 == 1 for i in range(8000)])
+    assert time.time() - began < 3
 
 
 @pytest.mark.parametrize(
