@@ -285,7 +285,7 @@ def pseudonymize(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """``docs`` with the entities in the text replaced and ``entities``, the types in order of appearance."""
     with_found = _with_found(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")), "__text")
     tokens = F.flatten(F.transform("__found", lambda x: let(_type(x), lambda kind: _tokens(x, kind, F.col("__people")))))
-    tokens = with_found.select("__doc", F.explode(tokens).alias("t")).select("__doc", "t.kind", "t.canon").distinct()
+    tokens = with_found.select("__doc", F.explode_outer(tokens).alias("t")).where("t is not null").select("__doc", "t.kind", "t.canon").distinct()
     tokens = written(tokens, "pii-entities")
     later = written(later_attempts(tokens.select("kind", "canon").distinct(), key), "pii-later")
     name = lambda t: F.concat_ws("\n", t["kind"], t["canon"])
