@@ -20,6 +20,11 @@ from .kernels import log_partition, path_score, viterbi
 PREDICTION = "struct<labels:array<string>,confidences:array<double>,marginals:array<array<double>>,probability:double>"
 
 
+def default_model_path() -> str:
+    """Where the bundled model is."""
+    return str(resources.files("mailsieve.resources").joinpath("model.json"))
+
+
 @dataclass
 class CrfModel:
     """Weights of (attribute, label) and (label, next label)."""

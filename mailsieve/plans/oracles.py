@@ -202,6 +202,8 @@ select mail_id, error_type, case error_type when 'InvalidInputError' then case w
     "eval_outcomes": f"with {_EVAL} select doc_id, {', '.join(_OUT)}, error_kind as error_type from outcome",
     "eval_rates": f"with {_EVAL} select lang, count(*) as n_total, {', '.join(f'count(*) filter (where {n}) as n_{n}, count(*) filter (where {n}) / count(*) as {n}_rate' for n in _OUT)} from outcome group by lang",
     "eval_errors": f"with {_EVAL} select error_kind as error_type, count(*) as n from outcome where failed_static group by error_kind",
+    "eval_by_group": f"""with {_EVAL}, g as (select coalesce(lang, 'unknown') as "group", count(*) filter (where failed_static) as n_failed_static, count(*) filter (where confident_wrong) as n_confident_wrong from outcome group by 1)
+select *, n_failed_static + n_confident_wrong as n_failures from g where n_failed_static + n_confident_wrong > 0""",
     "eval_confidence_stats": f"""with judged as ({_JUDGED}), o as (select round(confidence, 6) as v, row_number() over (order by confidence) - 1 as k, count(*) over () as n from judged where success)
 select any_value(n) as n, round(avg(v), 6) as mean, min(v) as min, max(v) as max, max(v) filter (where k = n // 2) as median, max(v) filter (where k = n // 10) as p10, max(v) filter (where k = cast(floor(n * 0.9) as bigint)) as p90 from o""",
     "eval_label_metrics": f"""with {_FIXED},

@@ -16,6 +16,7 @@ from ..crf.model import CrfModel
 from ..functions import normalize, patterns, text
 from ..operators import assemble, brackets, evaluate, features, lines
 from .pipeline import error_text, extract, gate
+from .report import by_group
 from .training import with_expected_body
 
 #: A mail for each order.
@@ -243,6 +244,10 @@ def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.counts_by(evaluate.outcomes(_judged(spark, sf_dir)).where("failed_static"), "error_type")
 
 
+def eval_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_group(evaluate.outcomes(_judged(spark, sf_dir)), "lang")
+
+
 def eval_confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.confidence_stats(_judged(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)))
     return out.select("n", F.round("mean", 6).alias("mean"), "min", "max", "median", "p10", "p90")
@@ -285,6 +290,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         line_split, blank_map, newline_norm, delimiter_unify, quote_depth, quote_span, pattern_flags, document_flags, name_lines, separator_lines, char_ratios, positions, context_counts, bracket_sections,
         fix_transitions, unify_blocks, reconstruct, assemble_body, extract_gate, extract_full, extract_documents, crf_marginals, japanese_normalization,
-        eval_outcomes, eval_rates, eval_errors, eval_confidence_stats, eval_label_metrics, confident_wrong, label_distribution, label_alignment, find_line, gold_bodies,
+        eval_outcomes, eval_rates, eval_errors, eval_by_group, eval_confidence_stats, eval_label_metrics, confident_wrong, label_distribution, label_alignment, find_line, gold_bodies,
     )
 }
