@@ -59,7 +59,7 @@ _GRAM = (1 << _BITS) - 1
 _MANY = 65_535
 
 
-class _Hasher:
+class WordHasher:
     """64-bit hashes of the words of a text: sums of a random number per byte times powers of an odd base.
 
     Sums of a whole block are taken at once; a word's is the difference of two,
@@ -106,7 +106,7 @@ class _Hasher:
         return h ^ (h >> np.uint64(30))
 
 
-def shingles(text: str | None, n: int, words: _Hasher) -> np.ndarray:
+def shingles(text: str | None, n: int, words: WordHasher) -> np.ndarray:
     """The set of a text: sorted distinct hashes of ``_BITS`` bits."""
     h = words.words(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
     size = len(h)
@@ -169,7 +169,7 @@ def _dealt(docs: DataFrame, n: int, buckets: int, chunk_grams: int) -> DataFrame
     """From ``doc`` and ``text`` to the distinct n-grams of each chunk by bucket, and a head for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Hasher()
+        words = WordHasher()
         place = TaskContext.get().partitionId() << 24
         ids: list[int] = []
         sets: list[np.ndarray] = []
