@@ -10,8 +10,12 @@ normalised by the length of the text and become a probability through a
 logistic curve.
 
 The lexicon, its exceptions and the curve are learned by ``fit`` from at most
-``max_rows`` labelled documents, those with the smallest hash of their id.  The
-model has at most ``max_terms`` entries, so that it can be broadcast.  Of copies
+``max_rows`` labelled documents, those with the smallest hash of their id.  Entries
+are whole words of any length and starts of words of ``prefix`` characters (4 to 10:
+what inflected forms of a word share; longer words are entries as a whole).  An
+entry is in a hundredth of the toxic texts learned from, and an exception in three
+others, so that the model grows with the rows learned from and not with the
+corpus, and can be broadcast.  Of copies
 and near copies with one label only the row with the smallest id teaches; the
 lexicon says how many rows were ``left_out`` for that.
 
@@ -231,7 +235,6 @@ def fit(
     usable: Callable[[Column], Column] | None = None,
     exceptions: tuple[str, ...] = EXCEPTIONS,
     max_rows: int = 20_000,
-    max_terms: int = 2_000,
     prefix: tuple[int, int] = (4, 10),
 ) -> Lexicon:
     """Learn from the labelled rows whose id is ``usable``; odd hashes make the lexicon, even ones the curve.
@@ -255,14 +258,14 @@ def fit(
         return Lexicon({}, list(exceptions), [], base, left_out)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("n0") + 0.5))
     counted = _counts(sample.where(F.expr("pmod(h, 2) = 1")), *prefix).withColumn("w", odds)
-    strong = counted.where((F.col("n1") >= max(5, n1 // 100)) & (F.col("w") >= 2.5)).withColumn("gain", F.col("w") * F.sqrt("n1")).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    strong = counted.where((F.col("n1") >= max(5, n1 // 100)) & (F.col("w") >= 2.5)).select("term", "w").collect()
     terms = {r.term: r.w for r in strong}
     starts = {t[:k] for t in terms for k in (len(t),) if not t.endswith(" ")}
     harmless = counted.where((F.col("w") <= -0.5) & F.col("term").endswith(" ")).where(F.col("n0") >= 3)
     if starts:
         tops = [s for s in starts if not any(s[:k] in starts for k in range(prefix[0], len(s)))]
         harmless = harmless.where(F.substring("term", 1, prefix[0]).isin(sorted({s[: prefix[0]] for s in tops})))
-        found = [r.term.strip() for r in harmless.orderBy(F.desc("n0"), "term").limit(max_terms).collect()]
+        found = sorted(r.term.strip() for r in harmless.select("term").collect())
     else:
         found = []
     lexicon = Lexicon(terms, [*exceptions, *found], [], base, left_out)

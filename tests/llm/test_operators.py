@@ -46,7 +46,7 @@ def plain_hits(text, items, n=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_chars", [64_000_000, 60])
+@pytest.mark.parametrize("block_chars", [16_000_000, 60])
 def test_decontamination(spark, block_chars):
     bench = [(1, prose(1, 14)), (2, prose(2, 10)), (3, "Solo"), (4, "a b c"), (5, None), (6, "..."), (None, prose(1, 12)), (10, prose(1, 14))]
     docs = [(1, prose(9, 30) + " " + prose(1, 14).upper() + "! " + prose(8, 5)), (2, "x SOLO y"), (3, "a, B; c a b c"), (4, prose(1, 9)), *ODD]
@@ -231,7 +231,7 @@ def test_jaccard_empty(spark):
 
 
 def test_long_words_and_texts_hash_the_same():
-    h = jaccard._Hasher()
+    h = jaccard.WordHasher()
     text = ("ab " * 400_000 + "x" * 2_000_000 + " end").encode()
     assert len(h.words(text)) == 400_002 and len(set(h.words(text).tolist())) == 3
 
@@ -290,6 +290,69 @@ def test_toxicity_without_labels(spark):
     assert [x.predicted for x in toxicity.score(frame(spark, [(1, "a"), (2, None)]), lexicon).collect()] == [1, 1]
 
 
+def plain_features(text, terms, exceptions):
+    """The features by looking for each entry at the start of each word."""
+    import math
+
+    folded = toxicity.fold(text)
+    starts = {}
+    for term, w in terms.items():
+        for at in range(len(folded)):
+            if folded.startswith(f" {term}", at):
+                starts[at] = max(w, starts.get(at, 0.0))
+    spared = [(at, at + len(toxicity.fold(x)) - 1) for x in exceptions for at in range(len(folded)) if folded.startswith(toxicity.fold(x), at)]
+    hits = {at: w for at, w in starts.items() if w > 0 and not any(a <= at < b for a, b in spared)}
+    for k, (before, word, after) in enumerate(toxicity.edged(text)):
+        whole = lambda x: max((w for t, w in terms.items() if f" {x} ".startswith(f" {t}")), default=0.0)
+        if not whole(word):
+            best = max(whole(before[i:] + word + after[:j]) for i in range(max(0, len(before) - 3), len(before) + 1) for j in range(min(3, len(after)) + 1))
+            if best:
+                hits[-1 - k] = best
+    n = len(folded.split())
+    total = sum(hits.values())
+    return math.log(1e-3 + total / (n + 5)), math.log1p(total), float(min(len(hits), 3)), math.log1p(n)
+
+
+def test_matcher_against_a_plain_search():
+    r = random.Random(8)
+    terms = {"idio": 2.0, "idiot": 3.5, "trash": 3.0, "ass ": 2.5, "sore lo": 1.5, "zz": 1.0}
+    exceptions = ["trash can", "sore loser", "idiot proof"]
+    a = toxicity.Lexicon(terms, exceptions).automaton()
+    words = ["idiot", "1diot", "IDIOTS", "trash", "can", "tr4sh", "$ore", "loser", "sore", "ass", "class", "@ss!", "proof", "zzz", "fine", "5", "Ünï", "\n", "іdіot", "ａｓｓ"]
+    for _ in range(400):
+        text = r.choice([" ", "", "! "]).join(r.choice(words) + r.choice(["", " ", ", "]) for _ in range(r.randrange(12)))
+        got, want = toxicity.features(toxicity.fold(text), a, toxicity.edged(text)), plain_features(text, terms, exceptions)
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got, want, strict=True)), text
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Learned from some rows of the public test data, held against the others."""
+    from pathlib import Path
+
+    from mailsieve.llm import queries
+
+    data = "/root/testdata/sf0.1"
+    if not Path(data).exists():
+        pytest.skip("no test data")
+    truth = spark.read.parquet(f"{data}/labels.parquet").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = queries.op7_toxicity(spark, data).where("held_out").join(truth, "doc_id").select("score", "predicted", "toxic").collect()
+    pos, neg = [x.score for x in rows if x.toxic == 1], [x.score for x in rows if x.toxic == 0]
+    auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert len(pos) > 50 and auc > 0.93
+    assert sum(x.predicted for x in rows if x.toxic == 1) >= 0.8 * len(pos) and sum(x.predicted for x in rows if x.toxic == 0) <= 0.02 * len(neg)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = [(i, f"{prose(i, 20)} {'such an idiot' if i % 2 else 'fine'}") for i in range(60)] * 2 + ODD
+    labels = frame(spark, [(i, i % 2) for i in range(60)] + [(None, 1), (999, 1), (3, None)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(frame(spark, docs), labels)
+    got = toxicity.score(frame(spark, docs).withColumn("score", F.lit("mine")).withColumn("predicted", F.lit(None)), lexicon).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if not (r.text or "").strip()}) == 1
+    empty = frame(spark, docs).limit(0)
+    assert toxicity.score(empty, lexicon).count() == 0 and toxicity.fit(empty, labels).terms == {}
+
+
 def test_exceptions_spare_hits():
     model = toxicity.Lexicon({"trash": 3.0}, ["trash can"])
     a = model.automaton()
