@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices, with_columns_from, written
+from ._common import given_back, slices, with_columns_from, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -182,9 +182,19 @@ def _sketch(text: str | None) -> np.ndarray:
 
 
 def _firsts(sketches: list[np.ndarray]) -> list[int]:
-    """The places of the sketches that are no near copy of one before."""
+    """The places of the sketches that are no near copy of one before.
+
+    The places kept by hash stand in one array, with room for as many as have the hash; a hash that only one
+    sketch has needs no room.
+    """
+    every = np.sort(np.concatenate([np.empty(0, np.uint64), *sketches]))
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    first = np.searchsorted(every, shared)
+    rooms = np.searchsorted(every, shared, "right") - first
+    start = np.cumsum(rooms) - rooms
+    having, filled = np.zeros(rooms.sum(), np.int32), np.zeros(len(shared), np.int32)
+    del every, first, rooms
     kept: list[int] = []
-    having: dict[int, list[int]] = {}
     empty = False
     for i, own in enumerate(sketches):
         if not len(own):
@@ -192,18 +202,21 @@ def _firsts(sketches: list[np.ndarray]) -> list[int]:
                 kept.append(i)
             empty = True
             continue
-        near = [np.array(having[h]) for h in own.tolist() if h in having]
+        at = np.searchsorted(shared, own)
+        at = at[at < len(shared)]
+        at = at[shared[at] == own[: len(at)]]
+        near = [having[a : a + k] for a, k in zip(start[at].tolist(), filled[at].tolist(), strict=True) if k]
         if near:
-            others, shared = np.unique(np.concatenate(near), return_counts=True)
+            others, common = np.unique(np.concatenate(near), return_counts=True)
             # the smallest hashes of the union are a sample of it: the share found in both estimates the similarity
             if any(
                 np.isin(union := np.union1d(own, sketches[j])[:SKETCH], np.intersect1d(own, sketches[j])).sum() >= NEAR * len(union)
-                for j in others[shared >= NEAR * len(own)].tolist()
+                for j in others[common >= NEAR * len(own)].tolist()
             ):
                 continue
         kept.append(i)
-        for h in own.tolist():
-            having.setdefault(h, []).append(i)
+        having[start[at] + filled[at]] = i
+        filled[at] += 1
     return kept
 
 
@@ -271,6 +284,8 @@ def fit(
     lexicon = Lexicon(terms, [*exceptions, *found], [], base, left_out)
     seen = _features_of(sample.where(F.expr("pmod(h, 2) = 0")).select("text", "y"), lexicon, "text").select("x", "y").collect()
     lexicon.curve = _logistic(np.array([r.x for r in seen]), np.array([r.y for r in seen], float)).tolist()
+    del seen
+    given_back()  # the driver's Python lives on
     return lexicon
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +287,48 @@ def test_toxicity_learns_from_texts_with_one_header_and_footer(spark):
     assert lexicon.curve and any(t.startswith("vile") for t in lexicon.terms)
 
 
+def plain_firsts(sketches):
+    kept = []
+    for i, own in enumerate(sketches):
+        for j in kept:
+            union = np.union1d(own, sketches[j])[: toxicity.SKETCH]
+            both = np.intersect1d(own, sketches[j])
+            if not len(own) and not len(sketches[j]):
+                break
+            if len(own) and len(both) >= toxicity.NEAR * len(own) and np.isin(union, both).sum() >= toxicity.NEAR * len(union):
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_copies_of_sketches(seed):
+    r = np.random.default_rng(seed)
+    sketches = []
+    for _ in range(120):
+        own = r.integers(0, 2**63 if r.random() < 0.8 else 300, int(r.integers(0, toxicity.SKETCH + 1)), np.uint64)
+        if sketches and r.random() < 0.5:
+            own = sketches[r.integers(len(sketches))].copy()
+            own[: r.integers(0, len(own) // 3 + 1)] = r.integers(0, 2**63)
+        sketches.append(np.unique(own))
+    assert toxicity._firsts(sketches) == plain_firsts(sketches)
+    assert toxicity._firsts([]) == []
+
+
+def test_near_copies_take_little_memory():
+    """The driver looks for them among all rows learned from."""
+    r = np.random.default_rng(1)
+    sketches = [np.unique(r.integers(0, 2**63, toxicity.SKETCH, np.uint64)) for _ in range(5_000)]
+    sketches += [s.copy() for s in sketches[:1_000]]
+    tracemalloc.start()
+    try:
+        assert toxicity._firsts(sketches) == [*range(5_000)]
+        assert tracemalloc.get_traced_memory()[1] < 8 * sum(s.nbytes for s in sketches)
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_without_labels(spark):
     lexicon = toxicity.fit(frame(spark, [(1, "a")]), frame(spark, [], "doc_id long, toxic int"))
     assert [x.predicted for x in toxicity.score(frame(spark, [(1, "a"), (2, None)]), lexicon).collect()] == [1, 1]
