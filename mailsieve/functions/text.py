@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The white space that is stripped, as the inside of a character class.
 WS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same white space, character by character.
+WS_CHARS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Invisible characters that are removed.
 ZERO_WIDTH = "﻿​‌‍⁠"
 
@@ -23,8 +25,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def part(found: Column, name: str) -> Column:
+    """A field of what an Arrow function returned.  The call is named twice, so that it stays a step of its own: Spark
+    moves what is named once into an explode, where it can't run such a function."""
+    return F.when(found.isNotNull(), found[name])
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

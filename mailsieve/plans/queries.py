@@ -7,14 +7,21 @@ query is about normalisation.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..crf.model import CrfModel
 from ..functions import normalize, patterns, text
-from ..operators import assemble, brackets, evaluate, features, lines
+from ..functions.batches import Lines, line_marks, parts, split
+from ..operators import assemble, brackets, evaluate, features, flat, lines
+from ..schema import RATIOS
 from .pipeline import error_text, extract, gate
 from .report import by_group
 from .training import with_expected_body
@@ -39,10 +46,6 @@ from orders join customer on o_custkey = c_custkey
 RAW_LINE = "case pos % 4 when 0 then 'ーー━━──\ufeff' when 1 then '  -----ー--ーー ' when 2 then '★━━━★' else '\u200b' || text end"
 RAW_MAIL = "case mail_id % 5 when 0 then null when 1 then '  ' when 2 then '\u200b' else email_text end"
 
-_LABEL = """
-  case when text = '' then null when quote_depth > 0 or is_forward_reply_header then 'QUOTE' when has_contact_info or has_position_pattern or has_name_pattern then 'SIGNATURE'
-       when is_closing then 'CLOSING' when is_greeting then 'GREETING' when is_delimiter then 'OTHER' else 'BODY' end"""
-
 
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
@@ -50,9 +53,14 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mails, dealt over all cores: they are made of small files, which a few tasks would read."""
+    """The mails, dealt over all cores: they are made of small files, which a few tasks would read.
+
+    The orders are dealt, which are shorter than the mails, and by their key, which needs no sort.
+    """
     _tables(spark, sf_dir, "orders", "customer")
-    return spark.sql(MAILS).repartition(spark.sparkContext.defaultParallelism)
+    own = spark.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    own.repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey").createOrReplaceTempView("orders")
+    return spark.sql(MAILS)
 
 
 def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +68,37 @@ def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.explode_lines(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text"))), "lines", "mail_id")
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their flags and a label that follows from these."""
-    out = mail_lines(spark, sf_dir).withColumns(patterns.line_flags(F.col("text")))
-    return out.withColumn("label", F.expr(_LABEL)).withColumn("is_blank", F.col("text") == "")
+def _over_mails(own: DataFrame, make: Callable[[pa.Array, Lines], dict[str, pa.Array]], schema: str, key: str = "mail_id", text: str = "email_text") -> DataFrame:
+    """What ``make`` finds in the mails of a batch, given their keys and lines, as rows."""
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, mail = batch.columns
+            for a, b in parts(mail):
+                found = make(keys[a:b], split(mail[a:b]))
+                yield pa.RecordBatch.from_arrays([found[f.name].cast(f.type) for f in kind], schema=kind)
+
+    return own.select(key, text).mapInArrow(run, schema)
+
+
+def _flags(spark: SparkSession, sf_dir: str, *names: str, full: bool = False) -> DataFrame:
+    """A row for each line of the mails (with ``full``, for each that is not empty) with its marks."""
+
+    def make(keys: pa.Array, own: Lines) -> dict[str, pa.Array]:
+        if full:
+            keep = pc.not_equal(own.texts, "").to_numpy(zero_copy_only=False)[own.ids]
+            place, own = own.place[keep], own.where(keep)
+        else:
+            place = own.place
+        return {"mail_id": keys.take(pa.array(own.mail)), "pos": pa.array(place)} | {k: pa.array(v[own.ids]) for k, v in line_marks(own.texts, names).items()}
+
+    own = mails(spark, sf_dir)
+    kinds = (f"{n} {'double' if n in RATIOS else 'boolean'}" for n in names)
+    return _over_mails(own, make, ", ".join([f"mail_id {own.schema['mail_id'].dataType.simpleString()}", "pos int", *kinds]))
+
+
+_RULED_BY = ("quote_depth", "is_forward_reply_header", "has_contact_info", "has_position_pattern", "has_name_pattern", "is_closing", "is_delimiter", "is_greeting")
 
 
 def _rule_labels(spark: SparkSession, sf_dir: str, mail: str = "email_text") -> DataFrame:
@@ -183,6 +218,17 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mail_id", F.col("r.original_index").alias("pos"), "r.is_blank", "r.label", "r.confidence")
 
 
+_LABEL = """
+  case when text = '' then null when quote_depth > 0 or is_forward_reply_header then 'QUOTE' when has_contact_info or has_position_pattern or has_name_pattern then 'SIGNATURE'
+       when is_closing then 'CLOSING' when is_greeting then 'GREETING' when is_delimiter then 'OTHER' else 'BODY' end"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their flags and a label that follows from these."""
+    out = mail_lines(spark, sf_dir).withColumns(patterns.line_flags(F.col("text")))
+    return out.withColumn("label", F.expr(_LABEL)).withColumn("is_blank", F.col("text") == "")
+
+
 def assemble_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lines.carried_rows(_marked(spark, sf_dir).select("mail_id", "pos", "text", "label", F.lit(1.0).alias("confidence")))
     return assemble.assembled_rows(whole).select("mail_id", "body_text", F.coalesce("signature_index", F.lit(-1)).alias("signature_index"), F.col("inline_quote_count").cast("long").alias("inline_quote_count"), "success")
