@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, ZERO_WIDTH, newlines, split_lines, strip, trim_blank_lines
+from .batches import CodePoints, Lines, PointTable, filled, split
+from .text import WS, WS_CHARS, ZERO_WIDTH, newlines, split_lines, strip, trim_blank_lines
 
 #: Dashes that a line of delimiters has as ``-`` and other text as one prolonged sound mark.
 LONG_MARKS = "﹣－ｰ—―─━ー"
@@ -90,11 +93,63 @@ def unified_dashes(line: Column) -> Column:
     return F.when(s.rlike("^[-ー]+$"), outer).otherwise(line)
 
 
+_TO_HYPHEN, _NO_WIDTH = str.maketrans(dict.fromkeys(LONG_MARKS, "-")), str.maketrans(dict.fromkeys(ZERO_WIDTH))
+#: Characters that some step of the normalisation may move, of those that are their own compatibility form.
+_MOVED = {*LONG_MARKS, *DELIMITERS, *HYPHENS, *TILDES, *ZERO_WIDTH, *WS_CHARS, *map(chr, _WIDE), "-"}
+
+
+def normalized_line(line: str) -> str:
+    """One line normalised and stripped."""
+    bare = line.translate(_NO_WIDTH)
+    inside = bare.strip(WS_CHARS)
+    s = bare.translate(_TO_HYPHEN).strip(WS_CHARS) if inside and not inside.strip(DELIMITERS) else japanese(line).strip(WS_CHARS)
+    if s and not s.strip("-ー"):
+        return ("-" if s.count("-") >= s.count("ー") else "ー") * len(s)
+    return s
+
+
+def _may_move(chars: list[str]) -> np.ndarray:
+    """Characters that are not left alone in any line: also those that may join the one before them."""
+    return np.array([c in _MOVED or unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or unicodedata.normalize("NFKC", c) != c for c in chars], np.uint8)
+
+
+_moving = PointTable(_may_move)
+
+
+def normalized_texts(texts: pa.Array) -> pa.Array:
+    """``normalized_line`` of each text; those without a character that may move are taken as they are."""
+    points = CodePoints(texts)
+    moved = points.count(_moving(points.points) > 0) > 0
+    if not moved.any():
+        return texts
+    return pc.replace_with_mask(texts, pa.array(moved), pa.array([normalized_line(x) for x in texts.filter(pa.array(moved)).to_pylist()], texts.type))
+
+
+def normalized_batch(text: pa.Array) -> Lines:
+    """The normalised lines of mails, without blank ones at the ends; none of a null or blank mail."""
+    full = pc.not_equal(pc.utf8_trim(text, characters=WS_CHARS), "")
+    usable = pc.if_else(pc.fill_null(full, False), text, "")
+    if pc.any(pc.match_substring(usable, "\r")).as_py():
+        usable = pc.replace_substring_regex(usable, "\r\n?", "\n")
+    own = split(usable)
+    own = Lines(own.offsets, own.ids, normalized_texts(own.texts))
+    some = filled(own.texts)[own.ids] if len(own.ids) else np.zeros(0, bool)
+    start, end = own.first(some, 0), own.last(some, -1)
+    return own.where((own.place >= np.repeat(start, own.sizes)) & (own.place <= np.repeat(end, own.sizes)))
+
+
 def normalized(lines: Column) -> Column:
-    """Each of an array of lines normalised and stripped."""
-    rest = japanese_lines(F.transform(lines, lambda x: F.when(~is_delimiter_line(x), x)))
-    whole = F.zip_with(lines, rest, lambda x, y: F.coalesce(y, delimiter_line(x)))
-    return F.transform(whole, lambda x: strip(unified_dashes(x)))
+    """Each of an array of lines normalised and stripped; null lines stay null."""
+
+    def run(x: pa.Array) -> pa.Array:
+        flat = x.flatten().cast(pa.string()).dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ends = pa.array(offsets, pa.int32(), mask=np.append(x.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(ends, normalized_texts(flat.dictionary).take(flat.indices))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(lines)  # so that it runs once, where it stands
 
 
 def normalized_lines(text: Column) -> Column:

@@ -33,3 +33,22 @@ def test_strip_is_no_pattern(spark):
 def test_mails_are_dealt_before_they_are_written_out(spark):
     shuffled = [x for x in plan(queries.mails(spark, SF)).split("\n") if "exchange hashpartitioning(o_orderkey" in x]
     assert shuffled and "roundrobin" not in plan(queries.mails(spark, SF))
+
+
+def test_lines_are_normalised_once_and_alike(monkeypatch):
+    r = random.Random(3)
+    chars = "aZ0 -~ーｰ—=★　がば゚ｶﾞ각éÅ￥’２​㍿漢字。、  "
+    texts = ODD + ["".join(r.choices(chars, k=r.randrange(1, 7))) for _ in range(3000)]
+    want = [normalize.normalized_line(x) for x in texts]
+    assert normalize.normalized_texts(pa.array(texts)).to_pylist() == want
+    plain = lambda x: normalize.japanese(x).strip(text.WS_CHARS)
+    assert all(normalize.normalized_line(x) == plain(x) for x in ("ｶﾞｲﾄﾞ　ＡＢＣ", "すごーーーい〜 ", "ば a", "x ~ y"))
+    calls = []
+    monkeypatch.setattr(normalize, "normalized_line", lambda x: calls.append(x) or x.strip())
+    own = normalize.normalized_batch(pa.array(["\n a b \n漢字\r\n\n"] * 500 + [None, " "]))
+    assert own.lists().to_pylist() == [["a b", "漢字"]] * 500 + [[], []] and len(calls) == 1
+
+
+def test_null_lines_stay_null(spark):
+    df = spark.createDataFrame([([" ａ", None, ""],), (None,), ([],)], "x array<string>").coalesce(1)
+    assert [r.y for r in df.select(normalize.normalized(F.col("x")).alias("y")).collect()] == [["a", None, ""], None, []]
