@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.batches import Lines, line_marks
 from ..functions.patterns import Stripped, line_flags
-from ..functions.text import class_shares, let
+from ..functions.text import class_shares, part
 from ..schema import FEATURES, FLAGS, RATIOS
-from .brackets import bracket_flags
-from .lines import content, with_gaps
-
-#: What is counted in the lines around one, and the mark it is counted by.
-_CONTEXT = {
-    "context_greeting_count": ("is_greeting", lambda x: x["is_greeting"]),
-    "context_closing_count": ("is_closing", lambda x: x["is_closing"]),
-    "context_contact_count": ("has_contact_info", lambda x: x["has_contact_info"]),
-    "context_quote_count": ("quote_depth", lambda x: x["quote_depth"] > 0),
-    "context_separator_count": ("is_delimiter", lambda x: x["is_delimiter"]),
-}
+from .flat import CONTEXT, gaps
+from .flat import features as made_features
+
 _SIGNED = ("has_contact_info", "has_company_pattern", "has_name_pattern")
 _BRACKETS = ("in_bracketed_section", "bracket_has_signature_patterns")
 #: The marks that other features are made of; a feature that is not here is a mark itself.
 _MADE_OF = (
-    {f: (mark,) for f, (mark, _) in _CONTEXT.items()}
+    {f: (mark,) for f, mark in CONTEXT.items()}
     | {f: ("is_delimiter", *_SIGNED) for f in _BRACKETS}
     | {f: ("quote_depth",) for f in ("position_rel_first_quote", "position_rel_last_quote")}
     | {f: ("is_delimiter",) for f in ("preceded_by_delimiter", "is_visual_separator")}
@@ -63,60 +60,71 @@ def structure(lines: Column, names: Collection[str] = tuple(_STRUCTURE)) -> dict
     return {k: make() for k, make in found.items() if k in names}
 
 
-def with_features(mails: DataFrame, lines: str = "lines", names: Collection[str] = tuple(FEATURES), stripped: bool = False) -> DataFrame:
+def with_features(mails: DataFrame, lines: str = "lines", names: Collection[str] = tuple(FEATURES)) -> DataFrame:
     """Adds ``marks`` (the annotated content lines), the columns of ``structure`` and ``features`` (an array of 37 fields).
 
-    Each step is a column of its own, so that the patterns run once per line.  With ``names`` only these features are
-    made, and only the marks and columns that they need.  ``stripped`` says that no line has white space at its ends.
+    All is made in one Arrow function, which tests each distinct line of a batch once.  With ``names`` only these
+    features are made, and only the marks and columns that they need.
     """
     whole = set(names) == set(FEATURES)
-    needed = None if whole else {m for f in names for m in _MADE_OF.get(f, (f,))}
-    out = mails.withColumn("__content", content(F.col(lines)))
-    out = out.withColumn("marks", annotated(with_gaps(F.col("__content"), F.size(lines)), needed, stripped)).drop("__content")
-    marks = F.col("marks")
-    out = out.withColumns(structure(marks, [k for k, m in _STRUCTURE.items() if needed is None or m in needed]))
-    if not set(_BRACKETS).isdisjoint(names):
-        signed = F.transform(marks, lambda x: x["has_contact_info"] | x["has_company_pattern"] | x["has_name_pattern"])
-        out = out.withColumn("__inside", bracket_flags(marks["text"], marks["is_delimiter"], signed))
-    given = {"marks": marks, "n": F.size(marks)} | {c: F.col(c) for c in ("first_quote_index", "last_quote_index", "__inside") if c in out.columns}
-
-    if "__inside" in given:
-        # named twice: what is used once is moved into what uses it, and Spark can't run an Arrow function inside another
-        given["__again"] = F.size("__inside")
-
-    def all_of(k: Column) -> Column:
-        return F.transform(k["marks"], lambda x, i: one(k, x, i))
-
-    def around(k: Column, i: Column, test) -> Column:
-        window = F.slice(k["marks"], F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3)
-        return F.size(F.filter(window, test)) - test(F.get(k["marks"], i)).cast("int")
-
-    def one(k: Column, x: Column, i: Column) -> Column:
-        n = k["n"]
-        share = F.when(n > 1, i / (n - 1)).otherwise(F.lit(0.0))
-        quote = lambda q: F.coalesce((i - k[q]) / F.greatest(n, F.lit(1)), F.lit(0.0))
-        inside = lambda part: F.get(k["__inside"], i)[part]
+    needed = {*FLAGS, "quote_depth", "is_forward_reply_header", "is_delimiter", "line_length", *RATIOS} - {"is_visual_separator"} if whole else {m for f in names for m in _MADE_OF.get(f, (f,))}
+    made, ordered = made_of(needed), [f for f in FEATURES if f in names]
+    structured = [k for k, m in _STRUCTURE.items() if m in needed]
+    types = T.StructType(
+        [
+            T.StructField("marks", T.ArrayType(_mark_type(needed))),
+            *(T.StructField(k, T.BooleanType() if k.startswith("has") else T.IntegerType()) for k in structured),
+            T.StructField("features", T.ArrayType(T.StructType([T.StructField(f, FEATURES[f]) for f in ordered]))),
+        ]
+    )
+    kind = to_arrow_type(types)
+
+    def run(x: pa.Array) -> pa.Array:
+        own = Lines.of(x)
+        content, at = own.content()
+        n_lines = own.sizes
+        marks = {k: v[content.ids] for k, v in line_marks(own.texts, made).items()}
+        ends = pa.array(content.offsets, pa.int32(), mask=np.append(x.is_null().to_numpy(zero_copy_only=False), False))
+
+        def listed(columns: dict[str, pa.Array | np.ndarray], kind: pa.StructType) -> pa.Array:
+            return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(columns[f.name]).cast(f.type) for f in kind], fields=list(kind)))
+
+        before, after = gaps(content, at, n_lines)
+        described = {"text": content.texts.take(pa.array(content.ids)), "original_index": at, "blank_lines_before": before, "blank_lines_after": after} | marks
+        if not set(RATIOS).isdisjoint(needed):
+            described["ratios"] = pa.StructArray.from_arrays([pa.array(marks[r]) for r in RATIOS], names=list(RATIOS))
+        first = lambda mask: content.first(mask, -1)
         found = {
-            "position_normalized": lambda: share,
-            "position_reverse": lambda: 1.0 - share,
-            "lines_from_start": lambda: i,
-            "lines_from_end": lambda: n - 1 - i,
-            "position_rel_first_quote": lambda: quote("first_quote_index"),
-            "position_rel_last_quote": lambda: quote("last_quote_index"),
-            "leading_whitespace": lambda: F.lit(0),
-            "trailing_whitespace": lambda: F.lit(0),
-            "preceded_by_delimiter": lambda: F.coalesce(F.get(k["marks"], i - 1)["is_delimiter"], F.lit(False)),
-            "is_visual_separator": lambda: x["is_delimiter"],
-            "in_bracketed_section": lambda: inside("inside"),
-            "bracket_has_signature_patterns": lambda: inside("flagged"),
+            "has_quotes": lambda: pa.array(first(marks["quote_depth"] > 0) >= 0),
+            "has_forward_reply": lambda: pa.array(first(marks["is_forward_reply_header"]) >= 0),
+            "first_quote_index": lambda: _place(first(marks["quote_depth"] > 0)),
+            "last_quote_index": lambda: _place(content.last(marks["quote_depth"] > 0, -1)),
         }
-        found |= {name: (lambda test=test: around(k, i, test)) for name, (_, test) in _CONTEXT.items()}
-        found |= {name: (lambda name=name: x["ratios"][name]) for name in RATIOS}
-        made = {f: found[f]() if f in found else x[f] for f in FEATURES if f in names}
-        return F.struct(*(v.cast(FEATURES[f]).alias(f) for f, v in made.items()))
+        columns = [listed(described, kind.field("marks").type.value_type), *(found[k]() for k in structured), listed(made_features(content, marks, at, n_lines, ordered), kind.field("features").type.value_type)]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    out = mails.withColumn("__found", F.arrow_udf(run, types).asNondeterministic()(F.col(lines)))
+    return out.withColumns({f.name: part(F.col("__found"), f.name) for f in types}).drop("__found")
+
+
+def made_of(needed: Collection[str]) -> set[str]:
+    """The marks to make for those that are needed: the shares of characters come together."""
+    return {*needed} | ({*RATIOS} if not set(RATIOS).isdisjoint(needed) else set())
+
+
+def _mark_type(needed: Collection[str]) -> T.StructType:
+    flag, number = T.BooleanType(), T.IntegerType()
+    own = {"text": T.StringType()} | {c: number for c in ("original_index", "blank_lines_before", "blank_lines_after")}
+    order = ("quote_depth", "is_forward_reply_header", "is_delimiter", *(f for f in FLAGS if f != "is_visual_separator"), "line_length")
+    own |= {c: number if c in ("quote_depth", "line_length") else flag for c in order if c in needed}
+    if not set(RATIOS).isdisjoint(needed):
+        own["ratios"] = T.StructType([T.StructField(r, T.DoubleType()) for r in RATIOS])
+    return T.StructType([T.StructField(k, v) for k, v in own.items()])
+
 
-    # bound once: else what makes the marks could run again for every line that looks at others
-    return out.withColumn("features", let(F.struct(*(v.alias(c) for c, v in given.items())), all_of)).drop("__inside")
+def _place(places: np.ndarray) -> pa.Array:
+    return pa.array(places, pa.int32(), mask=places < 0)
 
 
 __all__ = ["FLAGS", "annotated", "structure", "with_features"]

@@ -52,3 +52,30 @@ def test_lines_are_normalised_once_and_alike(monkeypatch):
 def test_null_lines_stay_null(spark):
     df = spark.createDataFrame([([" ａ", None, ""],), (None,), ([],)], "x array<string>").coalesce(1)
     assert [r.y for r in df.select(normalize.normalized(F.col("x")).alias("y")).collect()] == [["a", None, ""], None, []]
+
+
+@pytest.mark.parametrize("name", ["bracket_sections", "context_counts", "positions", "quote_span"])
+def test_features_need_no_pattern_in_the_plan(spark, name):
+    own = plan(queries.QUERIES[name](spark, SF))
+    assert "rlike" not in own and "regexp" not in own and own.count("arrowevalpython") == 1
+
+
+def test_some_features_are_those_of_all(spark):
+    lists = [ODD, ["--", "TEL: 1", "--", "x", "==", "a", "=="], [], [""], None, ["> a", "", "b"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, lines array<string>").coalesce(1)
+    whole = {r.i: r for r in features.with_features(df).collect()}
+    assert whole[4].features is None and whole[4].has_quotes is False and whole[2].features == [] and whole[3].features == []
+    names = ("context_quote_count", "in_bracketed_section", "bracket_has_signature_patterns", "kanji_ratio", "preceded_by_delimiter")
+    for r in features.with_features(df, names=names).collect():
+        assert (r.features and [tuple(x) for x in r.features]) == (whole[r.i].features and [tuple(x[n] for n in r.features[0].asDict()) for x in whole[r.i].features])
+    assert [x.in_bracketed_section for x in whole[1].features] == [False, True, False, False, False, True, False]
+    assert [(x.blank_lines_before, x.blank_lines_after) for x in whole[5].features] == [(0, 1), (1, 0)]
+
+
+def test_marks_of_a_batch_are_those_of_a_line(spark):
+    df = spark.createDataFrame([(x,) for x in ODD], "x string").coalesce(1)
+    flags = patterns.line_flags(F.col("x")) | text.class_ratios(F.col("x")) | {"has_name": patterns.contains_name(F.col("x")), "line_length": F.length("x")}
+    want = [r.asDict() for r in df.select(*(v.alias(k) for k, v in flags.items())).collect()]
+    got = batches.line_marks(pa.array(ODD), set(flags))
+    for k in flags:
+        assert got[k].tolist() == [r[k] for r in want], k
