@@ -9,10 +9,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.brackets import repaired, unified
+from ..functions.batches import Lines
+from ..operators.flat import settled
 from ..schema import LABELS
 from .encode import ATTRIBUTES, attributes
 from .kernels import log_partition, path_score, viterbi
@@ -58,28 +60,31 @@ class CrfModel:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps({"labels": self.labels, "state": state, "transition": transition}, ensure_ascii=False, indent=0), "utf-8")
 
-    def predict_batch(self, x: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Final labels per sequence, marginals of the six labels per row, and the probability of the final labels."""
+    def predict_batch(self, x: np.ndarray, own: Lines, separators: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Final labels and marginals of the six labels per row, and the probability of the final labels per sequence."""
         e = x @ self.state
-        paths = viterbi(e, self.transition, offsets)
-        labels = []
-        for a, b in zip(offsets, offsets[1:], strict=False):
-            own, marks = [self.labels[k] for k in paths[a:b]], separators[a:b].tolist()
-            labels.append(unified(repaired(own, marks), marks))
-        z, m, _ = log_partition(e, self.transition, offsets)
-        code = {y: k for k, y in enumerate(self.labels)}
-        flat = [y for own in labels for y in own]
-        y = np.array([code.get(v, 0) for v in flat], np.int64)
-        score = path_score(e, self.transition, offsets, y) if len(y) else np.zeros(len(labels))
+        codes = settled(own, viterbi(e, self.transition, own.offsets), separators, self.labels)
+        names = [*self.labels, *(y for y in ("BODY", "SIGNATURE") if y not in self.labels)]
+        z, m, _ = log_partition(e, self.transition, own.offsets)
+        known = codes < len(self.labels)
+        score = path_score(e, self.transition, own.offsets, np.where(known, codes, 0)) if len(codes) else np.zeros(len(own.sizes))
         probability = np.minimum(np.exp(score - z), 1.0)
-        for k, own in enumerate(labels):
-            if any(v not in code for v in own):
-                probability[k] = 0.0
+        probability[np.bincount(own.mail, ~known, len(own.sizes)) > 0] = 0.0
         six = np.zeros((len(m), len(LABELS)))
         for k, v in enumerate(LABELS):
-            if v in code:
-                six[:, k] = m[:, code[v]]
-        return labels, six, probability
+            if v in self.labels:
+                six[:, k] = m[:, self.labels.index(v)]
+        return pa.array(names, pa.string()).take(pa.array(codes)), six, probability
+
+    def prediction(self, numbers: np.ndarray, own: Lines) -> pa.StructArray:
+        """The same as rows of ``PREDICTION``."""
+        labels, marginals, probability = self.predict_batch(numbers, own, numbers[:, ATTRIBUTES.index("is_delimiter")] > 0)
+        place = pc.index_in(labels, pa.array(LABELS)).to_numpy(zero_copy_only=False)
+        confidence = marginals[np.arange(len(marginals)), place] if len(marginals) else np.zeros(0)
+        ends = pa.array(own.offsets, pa.int32())
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(marginals) + 1) * len(LABELS), pa.int32()), pa.array(marginals.ravel()))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (labels, pa.array(confidence), rows)]
+        return pa.StructArray.from_arrays([*lists, pa.array(probability)], names=["labels", "confidences", "marginals", "probability"])
 
     def predict(self, features: Column) -> Column:
         """Labels, their confidences, all marginals and the probability, from an array of features; a null gives a null,
@@ -88,20 +93,8 @@ class CrfModel:
 
         def run(x: pa.Array, sizes: pa.Array) -> pa.Array:
             numbers, offsets = attributes(x)
-            labels, marginals, probability = model.predict_batch(numbers, offsets, numbers[:, ATTRIBUTES.index("is_delimiter")] > 0)
-            confidence = marginals[np.arange(len(marginals)), [LABELS.index(v) for own in labels for v in own]] if len(marginals) else np.zeros(0)
-            ends = pa.array(offsets, pa.int32())
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(marginals) + 1) * len(LABELS), pa.int32()), pa.array(marginals.ravel()))
-            out = pa.StructArray.from_arrays(
-                [
-                    pa.ListArray.from_arrays(ends, pa.array([v for own in labels for v in own], pa.string())),
-                    pa.ListArray.from_arrays(ends, pa.array(confidence)),
-                    pa.ListArray.from_arrays(ends, rows),
-                    pa.array(probability),
-                ],
-                names=["labels", "confidences", "marginals", "probability"],
-            )
-            return out
+            # only the places of the lines matter here
+            return model.prediction(numbers, Lines(offsets, np.zeros(len(numbers), np.int32), pa.array([], pa.string())))
 
         run.__annotations__ = {"x": pa.Array, "sizes": pa.Array, "return": pa.Array}
         # the column is named twice, so that what makes it stays a step of its own and is not moved into this call

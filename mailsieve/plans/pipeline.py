@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..crf.model import CrfModel, labeled_lines
-from ..functions.normalize import normalized_lines, trimmed
-from ..functions.text import is_blank
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
+
+from ..crf.encode import encode
+from ..crf.model import PREDICTION, CrfModel, labeled_lines
+from ..functions.batches import in_parts, line_marks
+from ..functions.normalize import normalized_batch, normalized_lines, trimmed
+from ..functions.text import is_blank, part
 from ..operators.assemble import assembled
 from ..operators.features import with_features
+from ..operators.flat import bodies, features
 from ..operators.lines import reconstruct
+from ..schema import FEATURES, FLAGS, RATIOS
 
 ERROR = "struct<type:string,message:string,confidence:double,threshold:double>"
 EMPTY, BLANK, NO_BODY, UNSURE = "Empty input", "Empty input after normalization", "No body content detected", "Confidence below threshold"
@@ -27,10 +35,14 @@ def error(kind: str, message: str, confidence: Column | None = None, threshold:
 
 def gate(text: Column, lines: Column, has_body: Column, confidence: Column, threshold: float) -> Column:
     """The error of a mail, or null: nothing in it, nothing left of it, no body, or a confidence under the threshold."""
+    return _gate(text, F.size(lines) > 0, has_body, confidence, threshold)
+
+
+def _gate(text: Column, some: Column, has_body: Column, confidence: Column, threshold: float) -> Column:
     limit = F.lit(float(threshold))
     return (
         F.when(text.isNull() | is_blank(text), error("InvalidInputError", EMPTY))
-        .when(F.size(lines) == 0, error("InvalidInputError", BLANK))
+        .when(~some, error("InvalidInputError", BLANK))
         .when(~has_body, error("NoBodyDetectedError", NO_BODY))
         .when(confidence < limit, error("LowConfidenceError", UNSURE, confidence, limit))
         .otherwise(F.lit(None).cast(ERROR))
@@ -51,24 +63,52 @@ def prepared(mails: DataFrame, text_col: str = "email_text") -> DataFrame:
     return with_features(out)
 
 
-def extract(mails: DataFrame, model: CrfModel, text_col: str = "email_text", threshold: float = 0.5, keep_stages: bool = False) -> DataFrame:
+#: What ``predicted`` finds in a mail; ``signature_index`` is -1 without a signature.
+FOUND = f"struct<n_lines:int,content:array<string>,prediction:{PREDICTION},body:string,signature_index:int,inline_quote_count:int>"
+
+
+def predicted(text: Column, model: CrfModel) -> Column:
+    """What the extraction finds in a mail (``FOUND``), from its text, in one Arrow function."""
+    marked = {*FLAGS, "quote_depth", "is_forward_reply_header", "is_delimiter", "line_length", *RATIOS} - {"is_visual_separator"}
+    kind = to_arrow_type(_parse_datatype_string(FOUND))
+
+    def some(x: pa.Array) -> pa.Array:
+        lines = normalized_batch(x)
+        own, at = lines.content()
+        marks = {k: v[own.ids] for k, v in line_marks(lines.texts, marked).items()}
+        numbers = encode({f: np.asarray(v, float) for f, v in features(own, marks, at, lines.sizes, tuple(FEATURES)).items()}, own.offsets)
+        prediction = model.prediction(numbers, own)
+        body, signature, quotes = bodies(lines, at, own, prediction.field("labels").flatten())
+        return pa.StructArray.from_arrays([pa.array(lines.sizes, pa.int32()), own.lists(), prediction.cast(kind.field("prediction").type), body, pa.array(signature, pa.int32()), pa.array(quotes, pa.int32())], fields=list(kind))
+
+    def run(x: pa.Array) -> pa.Array:
+        return in_parts(x, some, kind)
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, FOUND).asNondeterministic()(text)
+
+
+def extract(mails: DataFrame, model: CrfModel, text_col: str = "email_text", threshold: float = 0.5, keep_stages: bool = False, keep_prediction: bool = False) -> DataFrame:
     """``mails`` with ``body``, ``confidence``, ``success``, ``error``, ``labeled_lines``, ``signature_detected`` and
-    ``inline_quotes_included``; with ``keep_stages`` also what led there."""
-    out = prepared(mails, text_col).withColumn("prediction", model.predict(F.col("features")))
-    out = out.withColumn("labeled_lines", labeled_lines(F.col("marks")["text"], F.col("prediction")))
-    out = out.withColumn("document", reconstruct(F.col("lines"), F.col("labeled_lines"))).withColumn("assembled", assembled(F.col("document")))
-    some = F.size("lines") > 0
+    ``inline_quotes_included``; with ``keep_prediction`` also the arrays that ``labeled_lines`` is made of, and with
+    ``keep_stages`` all that led there."""
+    if keep_stages:
+        out = prepared(mails, text_col).withColumn("prediction", model.predict(F.col("features")))
+        out = out.withColumn("labeled_lines", labeled_lines(F.col("marks")["text"], F.col("prediction")))
+        out = out.withColumn("document", reconstruct(F.col("lines"), F.col("labeled_lines"))).withColumn("assembled", assembled(F.col("document")))
+        some, has_body, body = F.size("lines") > 0, F.col("assembled.success"), F.col("assembled.body_text")
+        signed, quotes = F.col("assembled.signature_index").isNotNull(), F.col("assembled.inline_quote_count")
+    else:
+        out = mails.withColumn("__found", predicted(F.col(text_col), model)).withColumn("prediction", part(F.col("__found"), "prediction"))
+        out = out.withColumn("labeled_lines", labeled_lines(F.col("__found.content"), F.col("prediction")))
+        some, has_body, body = F.col("__found.n_lines") > 0, F.col("__found.body").isNotNull(), F.col("__found.body")
+        signed, quotes = F.col("__found.signature_index") >= 0, F.col("__found.inline_quote_count")
     sure = F.when(some, F.col("prediction.probability")).otherwise(F.lit(0.0))
-    out = out.withColumn("confidence", sure).withColumn("error", gate(F.col(text_col), F.col("lines"), F.col("assembled.success"), F.col("confidence"), threshold))
-    found = {
-        "body": F.when(some & F.col("assembled.success"), F.col("assembled.body_text")),
-        "success": F.col("error").isNull(),
-        "signature_detected": F.col("assembled.signature_index").isNotNull(),
-        "inline_quotes_included": F.col("assembled.inline_quote_count"),
-    }
+    out = out.withColumn("confidence", sure).withColumn("error", _gate(F.col(text_col), some, has_body, F.col("confidence"), threshold))
+    found = {"body": F.when(some & has_body, body), "success": F.col("error").isNull(), "signature_detected": signed, "inline_quotes_included": quotes}
     out = out.withColumns(found)
     result = ("body", "confidence", "success", "error", "labeled_lines", "signature_detected", "inline_quotes_included")
-    stages = ("lines", "marks", "features", "has_quotes", "has_forward_reply", "first_quote_index", "last_quote_index", "prediction", "document", "assembled") if keep_stages else ()
+    stages = ("lines", "marks", "features", "has_quotes", "has_forward_reply", "first_quote_index", "last_quote_index", "prediction", "document", "assembled") if keep_stages else ("prediction",) if keep_prediction else ()
     own = [c for c in mails.columns if c not in (*result, *stages)]
     return out.select(*own, *stages, *result)
 

@@ -242,8 +242,8 @@ def extract_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract(mails(spark, sf_dir), CrfModel.load())
-    return out.select("mail_id", "body", F.round("confidence", 6).alias("confidence"), "success", F.col("error.type").alias("error_type"), F.array_join(F.col("labeled_lines")["label"], ",").alias("labels"), "signature_detected", "inline_quotes_included")
+    out = extract(mails(spark, sf_dir), CrfModel.load(), keep_prediction=True)
+    return out.select("mail_id", "body", F.round("confidence", 6).alias("confidence"), "success", F.col("error.type").alias("error_type"), F.array_join("prediction.labels", ",").alias("labels"), "signature_detected", "inline_quotes_included")
 
 
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
