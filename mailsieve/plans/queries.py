@@ -253,8 +253,9 @@ def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.exploded(extract(mails(spark, sf_dir), CrfModel.load()), "labeled_lines", "mail_id", names=("idx", "l"))
-    return out.select("mail_id", "idx", "l.label", F.round("l.confidence", 6).alias("confidence"), *(F.round(F.col("l.label_probabilities")[y], 6).alias(f"p_{y.lower()}") for y in evaluate.LABELS))
+    out = extract(mails(spark, sf_dir), CrfModel.load(), keep_prediction=True)
+    rows = lines.exploded(out, F.arrays_zip("prediction.labels", "prediction.confidences", "prediction.marginals"), "mail_id", names=("idx", "l"))
+    return rows.select("mail_id", "idx", "l.labels", F.round("l.confidences", 6).alias("confidence"), *(F.round(F.get("l.marginals", F.lit(k)), 6).alias(f"p_{y.lower()}") for k, y in enumerate(evaluate.LABELS))).withColumnRenamed("labels", "label")
 
 
 def japanese_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
