@@ -249,7 +249,8 @@ def extract_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extraction over long texts that are no mails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("email_text"))
-    return extract(docs, CrfModel.load()).select("doc_id", F.length("body").alias("n_chars"), F.round("confidence", 6).alias("confidence"), "success", F.col("error.type").alias("error_type"), F.size("labeled_lines").alias("n_lines"))
+    out = extract(docs, CrfModel.load(), keep_prediction=True)
+    return out.select("doc_id", F.length("body").alias("n_chars"), F.round("confidence", 6).alias("confidence"), "success", F.col("error.type").alias("error_type"), F.size("prediction.labels").alias("n_lines"))
 
 
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,24 @@ def test_marks_of_a_batch_are_those_of_a_line(spark):
     got = batches.line_marks(pa.array(ODD), set(flags))
     for k in flags:
         assert got[k].tolist() == [r[k] for r in want], k
+
+
+@pytest.mark.parametrize("name", ["extract_full", "crf_marginals", "extract_documents"])
+def test_extraction_is_one_function(spark, name):
+    own = plan(queries.QUERIES[name](spark, SF))
+    assert "rlike" not in own and "regexp" not in own and own.count("arrowevalpython") == 1
+
+
+def test_extraction_at_once_is_that_by_stages(spark):
+    rows = [(r.email_text,) for r in datagen.examples(spark, 150, seed=11).select("email_text").collect()]
+    rows += [(None,), ("",), (" ​\n",), ("\n".join(ODD),), ("--\n\n--",), ("> a\n\n\nb\r\n> c\rd\n以上\n\n",), ("x\n" * 400,)]
+    mails = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, email_text string")
+    model, result = CrfModel.load(), ("i", "body", "confidence", "success", "error", "labeled_lines", "signature_detected", "inline_quotes_included")
+    once, staged = (sorted(extract(mails, model, keep_stages=k).select(*result).collect()) for k in (False, True))
+    assert [repr(r) for r in once] == [repr(r) for r in staged] and len(once) == len(rows)
+
+
+def test_large_batches_are_taken_in_parts():
+    mails = pa.array(["a\n" * 10, None, "b" * 50, "", "c\nd"])
+    assert [*batches.parts(mails, most=1)] == [(i, i + 1) for i in range(5)] and [*batches.parts(mails)] == [(0, 5)] and [*batches.parts(mails[:0])] == []
+    assert [p for a, b in batches.parts(mails, most=900) for p in batches.split(mails[a:b]).lists().to_pylist()] == [["a"] * 10 + [""], [], ["b" * 50], [""], ["c", "d"]]
