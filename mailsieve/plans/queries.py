@@ -102,18 +102,16 @@ _RULED_BY = ("quote_depth", "is_forward_reply_header", "has_contact_info", "has_
 
 
 def _rule_labels(spark: SparkSession, sf_dir: str, mail: str = "email_text") -> DataFrame:
-    """The content lines of each mail as arrays: ``labels`` by rule and ``separators``."""
-    own = mails(spark, sf_dir).withColumn("lines", text.split_lines(F.expr(mail)))
-    marks = F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(x.alias("text"), *(v.alias(k) for k, v in patterns.line_flags(x).items())))
-    out = own.withColumn("marks", marks)
-    rule = lambda m: (
-        F.when((m["quote_depth"] > 0) | m["is_forward_reply_header"], "QUOTE")
-        .when(m["has_contact_info"] | m["has_position_pattern"] | m["has_name_pattern"], "SIGNATURE")
-        .when(m["is_closing"] | m["is_delimiter"], "CLOSING")
-        .when(m["is_greeting"], "GREETING")
-        .otherwise("BODY")
-    )
-    return out.select("mail_id", "lines", F.transform("marks", rule).alias("labels"), F.col("marks")["is_delimiter"].alias("separators"))
+    """The lines of each mail, and the content lines as arrays: ``labels`` by rule and ``separators``."""
+    own = mails(spark, sf_dir).select("mail_id", F.expr(mail).alias("email_text"))
+
+    def make(keys: pa.Array, own: Lines) -> dict[str, pa.Array]:
+        content, _ = own.content()
+        marks = {k: v[content.ids] for k, v in line_marks(own.texts, _RULED_BY).items()}
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(content.offsets, pa.int32()), x)
+        return {"mail_id": keys, "lines": own.lists(), "labels": listed(flat.label_names(flat.by_rule(marks))), "separators": listed(pa.array(marks["is_delimiter"]))}
+
+    return _over_mails(own, make, f"mail_id {own.schema['mail_id'].dataType.simpleString()}, lines array<string>, labels array<string>, separators array<boolean>")
 
 
 def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
