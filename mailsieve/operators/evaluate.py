@@ -85,8 +85,8 @@ def counts_by(rows: DataFrame, column: str, name: str = "n", default: str = "unk
 def label_distribution(labels: DataFrame, column: str = "label") -> DataFrame:
     """Counts and percentages of labels."""
     out = labels.groupBy(column).agg(F.count("*").alias("n"))
-    total = out.agg(F.sum("n").alias("total")).first().total or 1
-    return out.withColumn("percent", 100.0 * F.col("n") / F.lit(total)).orderBy(column)
+    # over a row for each label, so that the labels are made once
+    return out.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(column)
 
 
 def confident_wrong(results: DataFrame, expected: str = "expected_body", threshold: float = 0.5, limit: int | None = None) -> DataFrame:
