@@ -100,3 +100,21 @@ def test_large_batches_are_taken_in_parts():
     mails = pa.array(["a\n" * 10, None, "b" * 50, "", "c\nd"])
     assert [*batches.parts(mails, most=1)] == [(i, i + 1) for i in range(5)] and [*batches.parts(mails)] == [(0, 5)] and [*batches.parts(mails[:0])] == []
     assert [p for a, b in batches.parts(mails, most=900) for p in batches.split(mails[a:b]).lists().to_pylist()] == [["a"] * 10 + [""], [], ["b" * 50], [""], ["c", "d"]]
+
+
+@pytest.mark.parametrize("name", ["label_distribution", "gold_bodies", "eval_label_metrics", "unify_blocks", "fix_transitions", "label_alignment", "reconstruct"])
+def test_labels_by_rule_are_made_once(spark, name):
+    own = plan(queries.QUERIES[name](spark, SF))
+    assert "rlike" not in own and own.count("mapinarrow") == 1
+
+
+def test_label_counts(spark):
+    df = spark.createDataFrame([(["A", "A"], ["A", "B"]), (["B", None], ["B", "C"]), (["A"], ["A", "A"]), (None, None)], "predicted array<string>, truth array<string>")
+    got = {r.label: (r.tp, r.fp, r.fn) for r in evaluate.label_metrics(df).collect()}
+    assert got == {"A": (1, 1, 0), "B": (1, 0, 1), None: (0, 1, 0), "C": (0, 0, 1)}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("distribution", "")
+    found = evaluate.label_distribution(df.select(F.explode("truth").alias("label")))
+    assert len(jobs.getJobIdsForGroup("distribution")) == 0
+    assert [tuple(r) for r in found.collect()] == [("A", 3, 50.0), ("B", 2, 100.0 * 2 / 6), ("C", 1, 100.0 / 6)]
+    spark.sparkContext.setJobGroup("", "")
