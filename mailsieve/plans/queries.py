@@ -151,9 +151,7 @@ def quote_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("is_greeting", "is_closing", "has_contact_info", "has_company_pattern", "has_position_pattern", "has_meta_discussion", "is_inside_quotation_marks")
-    flags = patterns.line_flags(F.col("text"))
-    return mail_lines(spark, sf_dir).select("mail_id", "pos", *(flags[n].alias(n) for n in names))
+    return _flags(spark, sf_dir, "is_greeting", "is_closing", "has_contact_info", "has_company_pattern", "has_position_pattern", "has_meta_discussion", "is_inside_quotation_marks")
 
 
 def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +162,7 @@ def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_lines(spark, sf_dir).select("mail_id", "pos", patterns.is_name(F.col("text")).alias("is_name"), patterns.contains_name(F.col("text")).alias("has_name"))
+    return _flags(spark, sf_dir, "has_name_pattern", "has_name").select("mail_id", "pos", F.col("has_name_pattern").alias("is_name"), "has_name")
 
 
 def separator_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +170,7 @@ def separator_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.class_ratios(F.col("text"))
-    return mail_lines(spark, sf_dir).where("text <> ''").select("mail_id", "pos", *(v.alias(k) for k, v in found.items()))
+    return _flags(spark, sf_dir, *RATIOS, full=True)
 
 
 def _features(spark: SparkSession, sf_dir: str, *names: str, mail: str = "email_text") -> DataFrame:
