@@ -20,7 +20,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..crf.model import CrfModel
 from ..functions import normalize, patterns, text
 from ..functions.batches import Lines, line_marks, parts, split
-from ..operators import assemble, brackets, evaluate, features, flat, lines
+from ..operators import brackets, evaluate, features, flat, lines
 from ..schema import RATIOS
 from .pipeline import error_text, extract, gate
 from .report import by_group
@@ -218,20 +218,19 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mail_id", F.col("r.original_index").alias("pos"), "r.is_blank", "r.label", "r.confidence")
 
 
-_LABEL = """
-  case when text = '' then null when quote_depth > 0 or is_forward_reply_header then 'QUOTE' when has_contact_info or has_position_pattern or has_name_pattern then 'SIGNATURE'
-       when is_closing then 'CLOSING' when is_greeting then 'GREETING' when is_delimiter then 'OTHER' else 'BODY' end"""
-
-
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their flags and a label that follows from these."""
-    out = mail_lines(spark, sf_dir).withColumns(patterns.line_flags(F.col("text")))
-    return out.withColumn("label", F.expr(_LABEL)).withColumn("is_blank", F.col("text") == "")
-
-
 def assemble_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = lines.carried_rows(_marked(spark, sf_dir).select("mail_id", "pos", "text", "label", F.lit(1.0).alias("confidence")))
-    return assemble.assembled_rows(whole).select("mail_id", "body_text", F.coalesce("signature_index", F.lit(-1)).alias("signature_index"), F.col("inline_quote_count").cast("long").alias("inline_quote_count"), "success")
+    def make(keys: pa.Array, own: Lines) -> dict[str, pa.Array]:
+        content, at = own.content()
+        marks = {k: v[content.ids] for k, v in line_marks(own.texts, _RULED_BY).items()}
+        # a delimiter that is nothing else is no closing here
+        other = marks["is_delimiter"] & ~marks["is_closing"] & (flat.by_rule(marks) == flat.CODE["CLOSING"])
+        codes = np.where(other, np.where(marks["is_greeting"], flat.CODE["GREETING"], flat.CODE["OTHER"]), flat.by_rule(marks))
+        body, signature, quotes = flat.bodies(own, at, content, flat.label_names(codes))
+        text = pc.fill_null(body, "")
+        return {"mail_id": keys, "body_text": text, "signature_index": pa.array(signature), "inline_quote_count": pa.array(quotes), "success": pc.not_equal(text, "")}
+
+    own = mails(spark, sf_dir)
+    return _over_mails(own, make, f"mail_id {own.schema['mail_id'].dataType.simpleString()}, body_text string, signature_index int, inline_quote_count long, success boolean")
 
 
 def extract_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

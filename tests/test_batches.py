@@ -118,3 +118,9 @@ def test_label_counts(spark):
     assert len(jobs.getJobIdsForGroup("distribution")) == 0
     assert [tuple(r) for r in found.collect()] == [("A", 3, 50.0), ("B", 2, 100.0 * 2 / 6), ("C", 1, 100.0 / 6)]
     spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("name", ["name_lines", "char_ratios", "pattern_flags", "document_flags", "assemble_body"])
+def test_lines_are_told_apart_in_batches(spark, name):
+    own = plan(queries.QUERIES[name](spark, SF))
+    assert "rlike" not in own and "regexp" not in own and own.count("mapinarrow") == 1 and "window" not in own
