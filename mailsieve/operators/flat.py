@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,23 @@ def label_names(codes: np.ndarray) -> pa.Array:
     return _NAMES.take(pa.array(codes))
 
 
+def carried(lines: Lines, at: np.ndarray, own: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the row of the content line whose label it has, -1 before the first one, and whether it is blank."""
+    blank = np.ones(len(lines.ids), bool)
+    blank[np.repeat(lines.offsets[:-1], own.sizes) + at] = False
+    row = np.cumsum(~blank) - 1
+    return np.where(row < np.repeat(own.offsets[:-1], lines.sizes), -1, row), blank
+
+
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as Spark does: by the decimal form, halves away from zero."""
+    scaled = x * 10.0**digits
+    out = np.rint(scaled) / 10.0**digits
+    for k in np.flatnonzero(np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-6):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
 def settled(own: Lines, codes: np.ndarray, separators: np.ndarray, labels: list[str]) -> np.ndarray:
     """``unified(repaired(...))`` of the labels of each mail, as codes."""
     code = {y: k for k, y in enumerate(labels)} | {y: len(labels) + k for k, y in enumerate(y for y in ("BODY", "SIGNATURE") if y not in labels)}

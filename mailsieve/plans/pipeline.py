@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
@@ -67,8 +69,8 @@ def prepared(mails: DataFrame, text_col: str = "email_text") -> DataFrame:
 FOUND = f"struct<n_lines:int,content:array<string>,prediction:{PREDICTION},body:string,signature_index:int,inline_quote_count:int>"
 
 
-def predicted(text: Column, model: CrfModel) -> Column:
-    """What the extraction finds in a mail (``FOUND``), from its text, in one Arrow function."""
+def finder(model: CrfModel) -> Callable[[pa.Array], pa.Array]:
+    """What the extraction finds in the mails of a batch (rows of ``FOUND``), as a function of their texts."""
     marked = {*FLAGS, "quote_depth", "is_forward_reply_header", "is_delimiter", "line_length", *RATIOS} - {"is_visual_separator"}
     kind = to_arrow_type(_parse_datatype_string(FOUND))
 
@@ -81,8 +83,15 @@ def predicted(text: Column, model: CrfModel) -> Column:
         body, signature, quotes = bodies(lines, at, own, prediction.field("labels").flatten())
         return pa.StructArray.from_arrays([pa.array(lines.sizes, pa.int32()), own.lists(), prediction.cast(kind.field("prediction").type), body, pa.array(signature, pa.int32()), pa.array(quotes, pa.int32())], fields=list(kind))
 
+    return lambda x: in_parts(x, some, kind)
+
+
+def predicted(text: Column, model: CrfModel) -> Column:
+    """The same in a column."""
+    find = finder(model)
+
     def run(x: pa.Array) -> pa.Array:
-        return in_parts(x, some, kind)
+        return find(x)
 
     run.__annotations__ = {"x": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, FOUND).asNondeterministic()(text)

@@ -22,7 +22,7 @@ from ..functions import normalize, patterns, text
 from ..functions.batches import Lines, line_marks, parts, split
 from ..operators import brackets, evaluate, features, flat, lines
 from ..schema import RATIOS
-from .pipeline import error_text, extract, gate
+from .pipeline import error_text, extract, finder, gate
 from .report import by_group
 from .training import with_expected_body
 
@@ -68,20 +68,25 @@ def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.explode_lines(mails(spark, sf_dir).withColumn("lines", text.split_lines(F.col("email_text"))), "lines", "mail_id")
 
 
-def _over_mails(own: DataFrame, make: Callable[[pa.Array, Lines], dict[str, pa.Array]], schema: str, key: str = "mail_id", text: str = "email_text") -> DataFrame:
-    """What ``make`` finds in the mails of a batch, given their keys and lines, as rows."""
+def _in_batches(own: DataFrame, make: Callable[[pa.Array, pa.Array], dict[str, pa.Array]], schema: str, key: str = "mail_id", text: str = "email_text") -> DataFrame:
+    """What ``make`` finds in the mails of a batch, given their keys and texts, as rows."""
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, mail = batch.columns
             for a, b in parts(mail):
-                found = make(keys[a:b], split(mail[a:b]))
+                found = make(keys[a:b], mail[a:b])
                 yield pa.RecordBatch.from_arrays([found[f.name].cast(f.type) for f in kind], schema=kind)
 
     return own.select(key, text).mapInArrow(run, schema)
 
 
+def _over_mails(own: DataFrame, make: Callable[[pa.Array, Lines], dict[str, pa.Array]], schema: str, key: str = "mail_id", text: str = "email_text") -> DataFrame:
+    """The same, given the lines."""
+    return _in_batches(own, lambda keys, mail: make(keys, split(mail)), schema, key, text)
+
+
 def _flags(spark: SparkSession, sf_dir: str, *names: str, full: bool = False) -> DataFrame:
     """A row for each line of the mails (with ``full``, for each that is not empty) with its marks."""
 
@@ -210,6 +215,14 @@ def unify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("mail_id", F.array_join("one", ",").alias("labels"))
 
 
+def _carried(own: Lines) -> tuple[pa.Array, np.ndarray]:
+    """The label by rule of each line, blank ones too, and whether it is blank."""
+    content, at = own.content()
+    marks = {k: v[content.ids] for k, v in line_marks(own.texts, _RULED_BY).items()}
+    row, blank = flat.carried(own, at, content)
+    return flat.label_names(flat.by_rule(marks)).take(pa.array(row, mask=row < 0)), blank
+
+
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _rule_labels(spark, sf_dir)
     none = F.lit(None).cast("map<string,double>")
@@ -253,9 +266,20 @@ def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract(mails(spark, sf_dir), CrfModel.load(), keep_prediction=True)
-    rows = lines.exploded(out, F.arrays_zip("prediction.labels", "prediction.confidences", "prediction.marginals"), "mail_id", names=("idx", "l"))
-    return rows.select("mail_id", "idx", "l.labels", F.round("l.confidences", 6).alias("confidence"), *(F.round(F.get("l.marginals", F.lit(k)), 6).alias(f"p_{y.lower()}") for k, y in enumerate(evaluate.LABELS))).withColumnRenamed("labels", "label")
+    find = finder(CrfModel.load())
+
+    def make(keys: pa.Array, mail: pa.Array) -> dict[str, pa.Array]:
+        prediction = find(mail).field("prediction")
+        labels = prediction.field("labels")
+        offsets = labels.offsets.to_numpy().astype(np.int64)
+        places = Lines(offsets, np.zeros(offsets[-1], np.int32), pa.array([], pa.string()))
+        p = prediction.field("marginals").flatten().flatten().to_numpy().reshape(-1, len(evaluate.LABELS))
+        known = {f"p_{y.lower()}": pa.array(flat.rounded(p[:, k])) for k, y in enumerate(evaluate.LABELS)}
+        return {"mail_id": keys.take(pa.array(places.mail)), "idx": pa.array(places.place), "label": labels.flatten(), "confidence": pa.array(flat.rounded(prediction.field("confidences").flatten().to_numpy()))} | known
+
+    own = mails(spark, sf_dir)
+    kinds = (f"p_{y.lower()} double" for y in evaluate.LABELS)
+    return _in_batches(own, make, ", ".join([f"mail_id {own.schema['mail_id'].dataType.simpleString()}", "idx int", "label string", "confidence double", *kinds]))
 
 
 def japanese_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:

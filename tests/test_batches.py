@@ -2,15 +2,17 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mailsieve.crf import kernels
 from mailsieve.functions import batches, normalize, patterns, text
 from mailsieve import CrfModel
-from mailsieve.operators import evaluate, features
-from mailsieve.plans import datagen, queries
-from mailsieve.plans.pipeline import extract
+from mailsieve.operators import brackets, evaluate, features, flat, lines
+from mailsieve.plans import datagen, queries, training
+from mailsieve.plans.pipeline import extract, finder
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -45,7 +47,7 @@ def test_lines_are_normalised_once_and_alike(monkeypatch):
     assert all(normalize.normalized_line(x) == plain(x) for x in ("ｶﾞｲﾄﾞ　ＡＢＣ", "すごーーーい〜 ", "ば a", "x ~ y"))
     calls = []
     monkeypatch.setattr(normalize, "normalized_line", lambda x: calls.append(x) or x.strip())
-    own = normalize.normalized_batch(pa.array(["\n a b \n漢字\r\n\n"] * 500 + [None, " "]))
+    own = normalize.normalized_batch(pa.array(["\n　a b \n漢字\r\n\n"] * 500 + [None, " "]))
     assert own.lists().to_pylist() == [["a b", "漢字"]] * 500 + [[], []] and len(calls) == 1
 
 
@@ -84,7 +86,7 @@ def test_marks_of_a_batch_are_those_of_a_line(spark):
 @pytest.mark.parametrize("name", ["extract_full", "crf_marginals", "extract_documents"])
 def test_extraction_is_one_function(spark, name):
     own = plan(queries.QUERIES[name](spark, SF))
-    assert "rlike" not in own and "regexp" not in own and own.count("arrowevalpython") == 1
+    assert "rlike" not in own and "regexp" not in own and own.count("arrowevalpython") + own.count("mapinarrow") == 1
 
 
 def test_extraction_at_once_is_that_by_stages(spark):
@@ -102,6 +104,13 @@ def test_large_batches_are_taken_in_parts():
     assert [p for a, b in batches.parts(mails, most=900) for p in batches.split(mails[a:b]).lists().to_pylist()] == [["a"] * 10 + [""], [], ["b" * 50], [""], ["c", "d"]]
 
 
+def test_rounding_is_that_of_spark(spark):
+    r = random.Random(1)
+    xs = [0.0, 1.0, 5e-07, 1.5e-06, 0.0000025, 0.1234565, 0.1234575, 0.99999949999999, 0.9999995, 2.5e-07, *(r.random() for _ in range(2000)), *(round(r.random(), 7) for _ in range(2000))]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
+    assert flat.rounded(np.array(xs)).tolist() == [r.y for r in df.select(F.round("x", 6).alias("y")).collect()]
+
+
 @pytest.mark.parametrize("name", ["label_distribution", "gold_bodies", "eval_label_metrics", "unify_blocks", "fix_transitions", "label_alignment", "reconstruct"])
 def test_labels_by_rule_are_made_once(spark, name):
     own = plan(queries.QUERIES[name](spark, SF))
