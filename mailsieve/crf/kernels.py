@@ -37,52 +37,73 @@ def viterbi(e: np.ndarray, a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The best label of each row; of equal paths the one with the smaller labels, from the end."""
     out = np.zeros(len(e), np.int64)
     for own, n, rows in groups(offsets):
+        rows = rows.T
         s = e[rows]
-        best = s[:, 0]
-        back = np.zeros(s.shape, np.int64)
+        best = s[0]
+        back = np.zeros(s.shape, np.int16)
         final = np.where((n == 1)[:, None], best, 0.0)
-        for t in range(1, s.shape[1]):
-            total = best[:, :, None] + a[None]
-            back[:, t] = total.argmax(1)
-            best = total.max(1) + s[:, t]
+        for t in range(1, len(s)):
+            top = best[:, :1] + a[0]
+            for k in range(1, len(a)):
+                other = best[:, k, None] + a[k]
+                # of equal ones the first stays
+                back[t][other > top] = k
+                top = np.maximum(top, other)
+            best = top + s[t]
             final[n == t + 1] = best[n == t + 1]
         y = final.argmax(1)
         k = np.arange(len(own))
-        for t in range(s.shape[1] - 1, -1, -1):
+        for t in range(len(s) - 1, -1, -1):
             live = n > t
-            out[rows[live, t]] = y[live]
+            out[rows[t, live]] = y[live]
             if t:
-                y = np.where(live, back[k, t, y], y)
+                y = np.where(live, back[t, k, y], y)
     return out
 
 
+def _step(a: np.ndarray):
+    """``log(sum(exp(x + a)))`` over the first side of ``a``, for rows ``x``."""
+    if np.ptp(a) > 500:  # the exponentials alone would vanish
+        return lambda x: _lse(x[:, :, None] + a[None], 1)
+    high = a.max()
+    factor = np.exp(a - high)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        top = x.max(axis=1, keepdims=True)
+        return np.log(np.exp(x - top) @ factor) + (top + high)
+
+    return run
+
+
 def log_partition(e: np.ndarray, a: np.ndarray, offsets: np.ndarray, marginals: bool = True, pairs: bool = False):
     """The log of the sum over all paths, per sequence; the label marginals of each row; the expected transitions of all."""
     z = np.zeros(len(offsets) - 1)
     m = np.zeros_like(e)
     expected = np.zeros_like(a)
+    forward, backward = _step(a), _step(a.T)
     for own, n, rows in groups(offsets):
+        rows = rows.T
         s = e[rows]
-        size, length, k = s.shape
+        length, size, k = s.shape
         alpha = np.empty_like(s)
-        alpha[:, 0] = s[:, 0]
+        alpha[0] = s[0]
         for t in range(1, length):
-            alpha[:, t] = _lse(alpha[:, t - 1][:, :, None] + a[None], 1) + s[:, t]
-        last = alpha[np.arange(size), n - 1]
+            alpha[t] = forward(alpha[t - 1]) + s[t]
+        last = alpha[n - 1, np.arange(size)]
         z[own] = _lse(last, 1)
         if not marginals:
             continue
         beta = np.zeros((size, k))
-        live = np.arange(length)[None, :] < n[:, None]
         for t in range(length - 1, -1, -1):
-            p = np.exp(np.minimum(alpha[:, t] + beta - z[own][:, None], 0.0))
-            m[rows[live[:, t], t]] = p[live[:, t]]
+            live = n > t
+            p = np.exp(np.minimum(alpha[t] + beta - z[own][:, None], 0.0))
+            m[rows[t, live]] = p[live]
             if t:
-                ahead = s[:, t] + beta
+                ahead = s[t] + beta
                 if pairs:
-                    joint = np.exp(np.minimum(alpha[:, t - 1][:, :, None] + a[None] + ahead[:, None, :] - z[own][:, None, None], 0.0))
-                    expected += joint[live[:, t]].sum(0)
-                beta = np.where(live[:, t][:, None], _lse(a[None] + ahead[:, None, :], 2), 0.0)
+                    joint = np.exp(np.minimum(alpha[t - 1][:, :, None] + a[None] + ahead[:, None, :] - z[own][:, None, None], 0.0))
+                    expected += joint[live].sum(0)
+                beta = np.where(live[:, None], backward(ahead), 0.0)
     return z, m, expected
 
 

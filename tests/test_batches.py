@@ -133,3 +133,23 @@ def test_label_counts(spark):
 def test_lines_are_told_apart_in_batches(spark, name):
     own = plan(queries.QUERIES[name](spark, SF))
     assert "rlike" not in own and "regexp" not in own and own.count("mapinarrow") == 1 and "window" not in own
+
+
+def test_partition_of_extreme_transitions():
+    e, offsets = np.random.default_rng(0).normal(size=(9, 3)), np.array([0, 4, 9])
+    a = np.array([[0.0, -3.0, 1.0], [2.0, 0.5, -1.0], [-2.0, 0.0, 3.0]])
+    for scale in (1, 100, 400):
+        z, m, _ = kernels.log_partition(e, scale * a, offsets)
+        score = kernels.path_score(e, scale * a, offsets, kernels.viterbi(e, scale * a, offsets))
+        assert np.isfinite(z).all() and np.allclose(m.sum(1), 1) and (score <= z + 1e-9).all()
+
+
+def test_many_mails_take_little_time():
+    import time
+
+    mail = "田中様\n\nお世話になっております。\n\n番号%dの件です。\n状態はOです。\n\n以上、よろしくお願いします。\n\n----------\n田中太郎\nTEL: 03-1234-5678"
+    find, mails = finder(CrfModel.load()), pa.array([mail % i for i in range(20_000)])
+    find(mails[:10])
+    began = time.process_time()
+    assert find(mails).field("n_lines").to_pylist() == [12] * 20_000
+    assert time.process_time() - began < 10
