@@ -93,36 +93,83 @@ def unified_dashes(line: Column) -> Column:
     return F.when(s.rlike("^[-ー]+$"), outer).otherwise(line)
 
 
-_TO_HYPHEN, _NO_WIDTH = str.maketrans(dict.fromkeys(LONG_MARKS, "-")), str.maketrans(dict.fromkeys(ZERO_WIDTH))
-#: Characters that some step of the normalisation may move, of those that are their own compatibility form.
-_MOVED = {*LONG_MARKS, *DELIMITERS, *HYPHENS, *TILDES, *ZERO_WIDTH, *WS_CHARS, *map(chr, _WIDE), "-"}
+_TO_HYPHEN = str.maketrans(dict.fromkeys(LONG_MARKS, "-"))
+#: Characters that some step of the normalisation may move, of those that are their own compatibility form; spaces apart.
+_MOVED = {*LONG_MARKS, *HYPHENS, *TILDES, *ZERO_WIDTH, *WS_CHARS, *map(chr, _WIDE)} - {" "}
+_ODD, _SPACE, _DASH = 1, 2, 4
 
 
-def normalized_line(line: str) -> str:
-    """One line normalised and stripped."""
-    bare = line.translate(_NO_WIDTH)
+def _with_dashes(line: str, rest) -> str:
+    """A line of delimiters with its dashes as ``-``, others by ``rest``; stripped, and with dashes of one kind if it has nothing else."""
+    bare = _ZERO.sub("", line)
     inside = bare.strip(WS_CHARS)
-    s = bare.translate(_TO_HYPHEN).strip(WS_CHARS) if inside and not inside.strip(DELIMITERS) else japanese(line).strip(WS_CHARS)
+    s = inside.translate(_TO_HYPHEN) if inside and not inside.strip(DELIMITERS) else rest(line).strip(WS_CHARS)
     if s and not s.strip("-ー"):
         return ("-" if s.count("-") >= s.count("ー") else "ー") * len(s)
     return s
 
 
-def _may_move(chars: list[str]) -> np.ndarray:
-    """Characters that are not left alone in any line: also those that may join the one before them."""
-    return np.array([c in _MOVED or unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or unicodedata.normalize("NFKC", c) != c for c in chars], np.uint8)
+def normalized_line(line: str) -> str:
+    """One line normalised and stripped."""
+    return _with_dashes(line, japanese)
+
+
+def unified_line(line: str) -> str:
+    """One line with its dashes unified and without invisible characters, stripped."""
+    return _with_dashes(line, lambda x: _ZERO.sub("", x))
+
+
+def _moves(chars: list[str]) -> np.ndarray:
+    """What may happen to characters; those are odd, too, that may join the one before them."""
+
+    def one(c: str) -> int:
+        odd = c in _MOVED or unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or unicodedata.normalize("NFKC", c) != c
+        return _ODD * odd | _SPACE * (c == " ") | _DASH * (c in LONG_MARKS or c in ZERO_WIDTH)
+
+    return np.array([one(c) for c in chars], np.uint8)
+
 
+_moving = PointTable(_moves)
 
-_moving = PointTable(_may_move)
+
+def _replaced(texts: pa.Array, at: np.ndarray, made: pa.Array) -> pa.Array:
+    return pc.replace_with_mask(texts, pa.array(at), made.cast(texts.type))
+
+
+def _one_by_one(texts: pa.Array, at: np.ndarray, by) -> pa.Array:
+    return _replaced(texts, at, pa.array([by(x) for x in texts.filter(pa.array(at)).to_pylist()], pa.string())) if at.any() else texts
 
 
 def normalized_texts(texts: pa.Array) -> pa.Array:
-    """``normalized_line`` of each text; those without a character that may move are taken as they are."""
+    """``normalized_line`` of each text; those without a character that may move are taken as they are, and those with
+    no other one than spaces have them removed together."""
     points = CodePoints(texts)
-    moved = points.count(_moving(points.points) > 0) > 0
-    if not moved.any():
-        return texts
-    return pc.replace_with_mask(texts, pa.array(moved), pa.array([normalized_line(x) for x in texts.filter(pa.array(moved)).to_pylist()], texts.type))
+    kinds = _moving(points.points)
+    odd = points.count((kinds & _ODD) > 0) > 0
+    spaced = ~odd & (points.count((kinds & _SPACE) > 0) > 0)
+    out = _one_by_one(texts, odd, normalized_line)
+    if spaced.any():
+        s = pc.utf8_trim(pc.replace_substring_regex(texts.filter(pa.array(spaced)), " {2,}", " "), characters=" ")
+        s = pc.replace_substring_regex(s, f"([{_JAPANESE}]) +", r"\1")
+        out = _replaced(out, spaced, pc.replace_substring_regex(s, f"([!-~]) +([{_JAPANESE}])", r"\1\2"))
+    return out
+
+
+def unified_texts(texts: pa.Array) -> pa.Array:
+    """``unified_line`` of each text."""
+    points = CodePoints(texts)
+    return _one_by_one(pc.utf8_trim(texts, characters=WS_CHARS), points.count((_moving(points.points) & _DASH) > 0) > 0, unified_line)
+
+
+def unified_lines(line: Column) -> Column:
+    """``unified_line`` of a column; each distinct line of a batch once."""
+
+    def run(x: pa.Array) -> pa.Array:
+        d = x.cast(pa.string()).dictionary_encode()
+        return unified_texts(d.dictionary).take(d.indices)
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string").asNondeterministic()(line)
 
 
 def normalized_batch(text: pa.Array) -> Lines:

@@ -138,12 +138,8 @@ def newline_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delimiter_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = mail_lines(spark, sf_dir)
-    raw = F.expr(RAW_LINE)
-    own = own.withColumn("raw", raw)
-    plain = normalize.without_zero_width(F.col("raw"))
-    line = F.when(normalize.is_delimiter_line(F.col("raw")), normalize.delimiter_line(F.col("raw"))).otherwise(plain)
-    return own.select("mail_id", "pos", text.strip(normalize.unified_dashes(line)).alias("line"))
+    own = mail_lines(spark, sf_dir).withColumn("raw", F.expr(RAW_LINE))
+    return own.select("mail_id", "pos", normalize.unified_lines(F.col("raw")).alias("line"))
 
 
 def quote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,11 @@ def test_many_mails_take_little_time():
     began = time.process_time()
     assert find(mails).field("n_lines").to_pylist() == [12] * 20_000
     assert time.process_time() - began < 10
+
+
+def test_dashes_in_batches(spark):
+    assert plan(queries.delimiter_unify(spark, SF)).count("arrowevalpython") == 1
+    df = spark.createDataFrame([(x,) for x in [*ODD, "ーー━━──﻿", "  -----ー--ーー ", "★━━━★", "ー-", "​--​", None, "a ー"]], "x string").coalesce(1)
+    plain = F.when(normalize.is_delimiter_line(F.col("x")), normalize.delimiter_line(F.col("x"))).otherwise(normalize.without_zero_width(F.col("x")))
+    got = df.select("x", text.strip(normalize.unified_dashes(plain)).alias("want")).withColumn("got", normalize.unified_lines(F.col("x"))).collect()
+    assert [r.got for r in got] == [r.want for r in got]
