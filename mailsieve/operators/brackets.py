@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,23 +151,24 @@ def repaired_native(labels: Column, separators: Column) -> Column:
     return let(F.struct(labels.alias("ys"), separators.alias("marks")), both)
 
 
-def bracket_flags(texts: Column, separators: Column, signature: Column) -> Column:
-    """``section_flags`` of arrays: an array of ``inside`` and ``flagged``."""
-
-    def run(t: pa.Array, s: pa.Array, g: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("inside", pa.bool_()), ("flagged", pa.bool_())]))
-        rows = []
-        for a, b, c in zip(t.to_pylist(), s.to_pylist(), g.to_pylist(), strict=True):
-            rows.append(None if a is None else [{"inside": x, "flagged": y} for x, y in zip(*section_flags(a, b, c), strict=True)])
-        return pa.array(rows, kind)
-
-    run.__annotations__ = {"t": pa.Array, "s": pa.Array, "g": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<inside:boolean,flagged:boolean>>").asNondeterministic()(texts, separators, signature)
-
-
 def unified_blocks(labels: Column, separators: Column) -> Column:
+    """``unified`` of two arrays; mails with the same labels and separators are worked on once a batch."""
+
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else unified(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.string()))
+        flat = a.flatten().dictionary_encode()
+        codes, names = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        code = {y: k for k, y in enumerate(dict.fromkeys([*names, *_WHOLE]))}
+        marks = b.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        out, seen = codes.copy(), {}
+        for start, end in zip(offsets, offsets[1:], strict=False):
+            key = codes[start:end].tobytes(), marks[start:end].tobytes()
+            if (found := seen.get(key)) is None:
+                found = seen[key] = [code[y] for y in unified([names[k] for k in codes[start:end]], marks[start:end])]
+            out[start:end] = found
+        ends = pa.array(offsets, pa.int32(), mask=np.append(a.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(ends, pa.array([*code], pa.string()).take(pa.array(out)))
 
     run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<string>").asNondeterministic()(labels, separators)

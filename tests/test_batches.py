@@ -161,3 +161,11 @@ def test_dashes_in_batches(spark):
     plain = F.when(normalize.is_delimiter_line(F.col("x")), normalize.delimiter_line(F.col("x"))).otherwise(normalize.without_zero_width(F.col("x")))
     got = df.select("x", text.strip(normalize.unified_dashes(plain)).alias("want")).withColumn("got", normalize.unified_lines(F.col("x"))).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_blocks_of_like_mails_are_searched_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(brackets, "unified", lambda labels, marks: calls.append(1) or ["SIGNATURE"] * len(labels))
+    monkeypatch.setattr(brackets.F, "arrow_udf", lambda run, kind: type("Call", (), {"asNondeterministic": lambda self: lambda *x: run(*x)})())
+    labels, marks = pa.array([["BODY", "QUOTE"]] * 90 + [None, []]), pa.array([[True, True]] * 90 + [None, []])
+    assert brackets.unified_blocks(labels, marks).to_pylist() == [["SIGNATURE"] * 2] * 90 + [None, []] and len(calls) == 2
