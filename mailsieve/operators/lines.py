@@ -56,9 +56,10 @@ def exploded(rows: DataFrame, array: str | Column, *keep: str | Column, names: t
 
 
 def _places(lines: Column) -> Column:
-    """After one -1: the place of each line among the content lines; a blank one has that of the line before."""
-    start = F.array(F.lit(-1))
-    return F.aggregate(lines, start, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.when(is_blank(x), 0).otherwise(1)))
+    """The place of each line among the content lines; a blank one has that of the line before, -1 if there is none."""
+    starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(lines, lambda x, i: F.when(~is_blank(x), i)), lambda i: i.isNotNull()))
+    run = lambda s: lambda x, k: F.array_repeat(k - 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - x)
+    return let(starts, lambda s: F.flatten(F.transform(s, run(s))))
 
 
 def reconstruct(lines: Column, labeled: Column) -> Column:
@@ -66,14 +67,15 @@ def reconstruct(lines: Column, labeled: Column) -> Column:
     before it, and has no confidence and no probabilities."""
     def all_of(known: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            found, blank = F.when(F.get(known["places"], i + 1) >= 0, F.get(known["labeled"], F.get(known["places"], i + 1))), is_blank(x)
+            at, blank = F.get(known["places"], i), is_blank(x)
+            found = lambda name: F.when(at >= 0, F.get(known["labeled"], at)[name])
             return F.struct(
                 x.alias("text"),
                 i.alias("original_index"),
                 blank.alias("is_blank"),
-                found["label"].alias("label"),
-                F.when(~blank, found["confidence"]).alias("confidence"),
-                F.when(~blank, found["label_probabilities"]).alias("label_probabilities"),
+                found("label").alias("label"),
+                F.when(~blank, found("confidence")).alias("confidence"),
+                F.when(~blank, found("label_probabilities")).alias("label_probabilities"),
             )
 
         return F.transform(known["lines"], one)

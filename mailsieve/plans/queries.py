@@ -220,11 +220,12 @@ def _carried(own: Lines) -> tuple[pa.Array, np.ndarray]:
 
 
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _rule_labels(spark, sf_dir)
-    none = F.lit(None).cast("map<string,double>")
-    labeled = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(0.5).alias("confidence"), none.alias("label_probabilities")))
-    rows = lines.exploded(own, lines.reconstruct(F.col("lines"), labeled), "mail_id", names=("idx", "r"))
-    return rows.select("mail_id", F.col("r.original_index").alias("pos"), "r.is_blank", "r.label", "r.confidence")
+    def make(keys: pa.Array, own: Lines) -> dict[str, pa.Array]:
+        labels, blank = _carried(own)
+        return {"mail_id": keys.take(pa.array(own.mail)), "pos": pa.array(own.place), "is_blank": pa.array(blank), "label": labels, "confidence": pa.array(np.full(len(blank), 0.5), mask=blank)}
+
+    own = mails(spark, sf_dir)
+    return _over_mails(own, make, f"mail_id {own.schema['mail_id'].dataType.simpleString()}, pos int, is_blank boolean, label string, confidence double")
 
 
 def assemble_body(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,19 @@ def test_blocks_of_like_mails_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(brackets.F, "arrow_udf", lambda run, kind: type("Call", (), {"asNondeterministic": lambda self: lambda *x: run(*x)})())
     labels, marks = pa.array([["BODY", "QUOTE"]] * 90 + [None, []]), pa.array([[True, True]] * 90 + [None, []])
     assert brackets.unified_blocks(labels, marks).to_pylist() == [["SIGNATURE"] * 2] * 90 + [None, []] and len(calls) == 2
+
+
+def test_reconstruct_grows_with_the_lines(spark):
+    texts = [x for _ in range(3000) for x in ("", "a", " ")]
+    df = spark.createDataFrame([(texts, [str(i) for i in range(3000)]), (["", ""], []), ([], [])], "lines array<string>, y array<string>").coalesce(1)
+    none = F.lit(None).cast("map<string,double>")
+    labeled = F.transform("y", lambda x: F.struct(x.alias("label"), F.lit(1.0).alias("confidence"), none.alias("label_probabilities")))
+    own = df.select(lines.reconstruct(F.col("lines"), labeled).alias("r"))
+    assert "array_append" not in plan(own)
+    got = [[(x.label, x.is_blank, x.confidence) for x in r.r] for r in own.collect()]
+    assert got[0][:4] == [(None, True, None), ("0", False, 1.0), ("0", True, None), ("0", True, None)] and got[0][-1][0] == "2999"
+    assert got[1:] == [[(None, True, None)] * 2, []]
+    one = batches.Lines.of(pa.array([texts[:7], ["", ""], [], ["b"]]))
+    content, at = one.content()
+    row, blank = flat.carried(one, at, content)
+    assert row.tolist() == [-1, 0, 0, 0, 1, 1, 1, -1, -1, 2] and blank.tolist() == [True, False, True, True, False, True, True, True, True, False]
