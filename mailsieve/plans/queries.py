@@ -346,11 +346,14 @@ def find_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body that labelled lines stand for; the same as assembling them, so both have the same SQL."""
-    own = _rule_labels(spark, sf_dir)
-    none = F.lit(None).cast("map<string,double>")
-    labeled = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(1.0).alias("confidence"), none.alias("label_probabilities")))
-    gold = F.transform(lines.reconstruct(F.col("lines"), labeled), lambda r: F.struct(r["text"].alias("text"), r["label"].alias("label")))
-    return with_expected_body(own.withColumn("lines_gold", gold)).select("mail_id", F.length(F.replace("expected_body", F.lit(" "))).alias("n_chars"), F.size(F.split("expected_body", "\n")).alias("n_lines"))
+
+    def make(keys: pa.Array, own: Lines) -> dict[str, pa.Array]:
+        rows = pa.StructArray.from_arrays([own.texts.take(pa.array(own.ids)), _carried(own)[0]], names=["text", "label"])
+        return {"mail_id": keys, "lines_gold": pa.ListArray.from_arrays(pa.array(own.offsets, pa.int32()), rows)}
+
+    own = mails(spark, sf_dir)
+    gold = _over_mails(own, make, f"mail_id {own.schema['mail_id'].dataType.simpleString()}, lines_gold array<struct<text:string,label:string>>")
+    return with_expected_body(gold).select("mail_id", F.length(F.replace("expected_body", F.lit(" "))).alias("n_chars"), F.size(F.split("expected_body", "\n")).alias("n_lines"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..crf.model import CrfModel
 from ..crf.train import CrfEstimator
-from ..functions.normalize import normalized
+from ..functions.batches import Lines, filled
+from ..functions.normalize import normalized_texts
 from ..functions.text import is_blank
-from ..operators.assemble import assembled
 from ..operators.evaluate import label_distribution, outcomes
+from ..operators.flat import bodies
 from ..schema import LABELS
 from .pipeline import extract, prepared
 
@@ -36,12 +40,22 @@ def train(examples: DataFrame, estimator: CrfEstimator | None = None) -> tuple[C
 def with_expected_body(examples: DataFrame, gold: str = "lines_gold") -> DataFrame:
     """Adds ``expected_body``, the body that gold lines (``text``, ``label``) stand for: each line is normalised by
     itself, blank lines at the ends go, and blank lines take the label before them."""
-    out = examples.withColumn("__texts", normalized(F.transform(gold, lambda x: F.coalesce(x["text"], F.lit("")))))
-    full = F.transform("__texts", lambda x, i: F.when(x != "", i))
-    out = out.withColumn("__first", F.coalesce(F.array_min(full), F.lit(0))).withColumn("__n", F.coalesce(F.array_max(full) - F.col("__first") + 1, F.lit(0)))
-    rows = F.transform(F.arrays_zip(F.col("__texts").alias("text"), F.col(gold)["label"].alias("label")), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"), (x["text"] == "").alias("is_blank")))
-    out = out.withColumn("expected_body", assembled(F.slice(rows, F.col("__first") + 1, F.col("__n")))["body_text"])
-    return out.drop("__texts", "__first", "__n")
+
+    def run(texts: pa.Array, labels: pa.Array) -> pa.Array:
+        own = Lines.of(texts)
+        lines = Lines(own.offsets, own.ids, normalized_texts(own.texts))
+        content, at = lines.content()
+        full = filled(lines.texts)[lines.ids] if len(lines.ids) else np.zeros(0, bool)
+        # a body starts after a quote or with the first line that is not blank
+        start = np.repeat(lines.first(full, 0), lines.sizes)
+        kept = lines.place >= start
+        at = at - start[full]
+        body, _, _ = bodies(lines.where(kept), at, content, labels.flatten().cast(pa.string()).filter(pa.array(full)))
+        return pc.fill_null(body, "")
+
+    run.__annotations__ = {"texts": pa.Array, "labels": pa.Array, "return": pa.Array}
+    texts = F.transform(gold, lambda x: F.coalesce(x["text"], F.lit("")))
+    return examples.withColumn("expected_body", F.arrow_udf(run, "string").asNondeterministic()(texts, F.col(gold)["label"]))
 
 
 def evaluate(examples: DataFrame, model: CrfModel, threshold: float = 0.5) -> DataFrame:

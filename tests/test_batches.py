@@ -185,3 +185,13 @@ def test_reconstruct_grows_with_the_lines(spark):
     content, at = one.content()
     row, blank = flat.carried(one, at, content)
     assert row.tolist() == [-1, 0, 0, 0, 1, 1, 1, -1, -1, 2] and blank.tolist() == [True, False, True, True, False, True, True, True, True, False]
+
+
+def test_expected_body_in_one_function(spark):
+    cases = [
+        ([("", None), ("> q", "QUOTE"), (" ａ ", "BODY"), ("", "BODY"), ("> r", "QUOTE"), ("以上", "CLOSING"), ("--", "OTHER"), ("x", "SIGNATURE"), ("", "SIGNATURE")], "a\n\n> r\n以上"),
+        ([("", None), (None, None), ("b", "BODY"), ("", None)], "b"), ([("x", "SIGNATURE"), ("y", "BODY")], ""), ([("x", None)], ""), ([], ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, lines_gold array<struct<text:string,label:string>>, want string").coalesce(1)
+    own = training.with_expected_body(df)
+    assert plan(own).count("arrowevalpython") == 1 and [r.expected_body for r in own.orderBy("i").collect()] == [r[1] for r in cases]
