@@ -79,7 +79,7 @@ def with_features(mails: DataFrame, lines: str = "lines", names: Collection[str]
     )
     kind = to_arrow_type(types)
 
-    def run(x: pa.Array) -> pa.Array:
+    def run(x: pa.Array, sizes: pa.Array) -> pa.Array:
         own = Lines.of(x)
         content, at = own.content()
         n_lines = own.sizes
@@ -103,8 +103,9 @@ def with_features(mails: DataFrame, lines: str = "lines", names: Collection[str]
         columns = [listed(described, kind.field("marks").type.value_type), *(found[k]() for k in structured), listed(made_features(content, marks, at, n_lines, ordered), kind.field("features").type.value_type)]
         return pa.StructArray.from_arrays(columns, fields=list(kind))
 
-    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-    out = mails.withColumn("__found", F.arrow_udf(run, types).asNondeterministic()(F.col(lines)))
+    run.__annotations__ = {"x": pa.Array, "sizes": pa.Array, "return": pa.Array}
+    # the lines are named twice, so that an Arrow function that makes them stays a step of its own
+    out = mails.withColumn("__found", F.arrow_udf(run, types).asNondeterministic()(F.col(lines), F.size(lines)))
     return out.withColumns({f.name: part(F.col("__found"), f.name) for f in types}).drop("__found")
 
 

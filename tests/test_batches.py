@@ -195,3 +195,9 @@ def test_expected_body_in_one_function(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, lines_gold array<struct<text:string,label:string>>, want string").coalesce(1)
     own = training.with_expected_body(df)
     assert plan(own).count("arrowevalpython") == 1 and [r.expected_body for r in own.orderBy("i").collect()] == [r[1] for r in cases]
+
+
+def test_features_of_lines_that_a_function_made(spark):
+    df = spark.createDataFrame([("ａ\n\n以上",)], "t string").withColumn("all", normalize.normalized_lines(F.col("t"))).withColumn("lines", normalize.trimmed(F.col("all")))
+    rows = lines.exploded(features.with_features(df), "features", names=("idx", "f")).select("f.line_length", "f.is_closing").collect()
+    assert [tuple(r) for r in rows] == [(1, False), (2, True)]
